@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import url_filter
+from attestry.llm import exact_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -42,9 +42,29 @@ FROM fits
 """
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the document that stays in its place."""
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP2_SQL = r"""
+WITH hashed AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, CAST(count(*) OVER same AS BIGINT) AS group_size,
+  doc_id = min(doc_id) OVER same AS kept, text_sha256
+FROM hashed WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
 def queries() -> dict:
-    return {"op10_url_filter": op10_url_filter}
+    return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op10_url_filter": op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL}
+    return {
+        "op2_exact_dedup": OP2_SQL,
+        "op10_url_filter": OP10_SQL,
+    }
