@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import exact_dedup, url_filter
+from attestry.llm import exact_dedup, packing, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -13,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return read.select(*columns) if columns else read
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the box keeps a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
+
+
 #: The rules of op10, as (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -58,6 +70,7 @@ FROM hashed WINDOW same AS (PARTITION BY text_sha256)
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op2_exact_dedup": op2_exact_dedup,
         "op10_url_filter": op10_url_filter,
     }
