@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import exact_dedup, packing, url_filter
+from attestry.llm import exact_dedup, packing, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint over three-word shingles and its component at two bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, radius=2)
+
+
 #: The rules of op10, as (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -72,6 +77,7 @@ def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_simhash": op4_simhash,
         "op10_url_filter": op10_url_filter,
     }
 
