@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import exact_dedup, packing, simhash, url_filter
+from attestry.llm import exact_dedup, licences, packing, preferences, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -25,6 +25,81 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with a swapped last answer; digests of what is rendered, and what the masks cover."""
+    pairs = preferences.format_pairs(*preferences.swapped_answers(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+    covered = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return pairs.select(
+        "pair_id", "block", "prompt_turns", F.sha2("prompt", 256).alias("prompt_sha256"), F.sha2("chosen", 256).alias("chosen_sha256"), F.sha2("rejected", 256).alias("rejected_sha256"),
+        covered(F.col("chosen_mask")).alias("chosen_masked"), covered(F.col("rejected_mask")).alias("rejected_masked"),
+    )
+
+
+OP3_SQL = """
+WITH talk AS (
+  SELECT DISTINCT conv_id AS pair_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+answers AS (SELECT pair_id, max(turn) AS last FROM talk WHERE role = 'assistant' GROUP BY pair_id),
+closing AS (
+  SELECT a.pair_id, a.last, max(t.text) AS text FROM answers a JOIN talk t ON t.pair_id = a.pair_id AND t.turn = a.last AND t.role = 'assistant'
+  GROUP BY a.pair_id, a.last),
+paired AS (
+  SELECT DISTINCT t.*, CASE WHEN t.turn = a.last AND t.role = 'assistant' THEN o.text ELSE t.text END AS other
+  FROM talk t JOIN closing a USING (pair_id) JOIN closing o ON o.pair_id = xor(t.pair_id, 1)),
+said AS (SELECT pair_id, turn, role, text, 'c' AS side FROM paired UNION SELECT pair_id, turn, role, other, 'r' FROM paired),
+at_turn AS (SELECT pair_id, turn, side, list({'role': role, 'text': text} ORDER BY role, text) AS said FROM said GROUP BY ALL),
+split AS (
+  SELECT c.pair_id, min(CASE WHEN c.said IS DISTINCT FROM r.said THEN coalesce(c.turn, r.turn) END) AS split
+  FROM (SELECT * FROM at_turn WHERE side = 'c') c FULL JOIN (SELECT * FROM at_turn WHERE side = 'r') r ON c.pair_id = r.pair_id AND c.turn = r.turn
+  GROUP BY c.pair_id),
+marked AS (
+  SELECT pair_id, turn, role, text, CASE WHEN split IS NULL OR turn < split THEN 'p' ELSE side END AS part, side,
+    '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered, CAST(floor(greatest(turn, 0) / 512.0) AS BIGINT) AS block
+  FROM said JOIN split USING (pair_id)),
+once AS (SELECT * FROM marked WHERE part <> 'p' OR side = 'c')
+SELECT pair_id, block,
+  CAST(count(DISTINCT CASE WHEN part = 'p' THEN turn END) AS BIGINT) AS prompt_turns,
+  sha256(coalesce(string_agg(rendered, '' ORDER BY turn, role, text) FILTER (part = 'p'), '')) AS prompt_sha256,
+  sha256(coalesce(string_agg(rendered, '' ORDER BY turn, role, text) FILTER (part = 'c'), '')) AS chosen_sha256,
+  sha256(coalesce(string_agg(rendered, '' ORDER BY turn, role, text) FILTER (part = 'r'), '')) AS rejected_sha256,
+  CAST(coalesce(sum(length(text) + 7) FILTER (part = 'c' AND role = 'assistant'), 0) AS BIGINT) AS chosen_masked,
+  CAST(coalesce(sum(length(text) + 7) FILTER (part = 'r' AND role = 'assistant'), 0) AS BIGINT) AS rejected_masked
+FROM once GROUP BY pair_id, block
+"""
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's best licence notice, if any line, paragraph or the whole of it comes close to a template."""
+    return licences.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _licence_sql() -> str:
+    rows = ", ".join("(%s, [%s], %d)" % (f"'{name}'", ", ".join(f"'{b}'" for b in grams), len(grams)) for name, grams, _ in licences.template_bigrams(licences.TEMPLATES))
+    return rf"""
+WITH templates(licence, b, n) AS (VALUES {rows}),
+units AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, unit FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '
+[ 	
+]*
+')) AS unit FROM documents WHERE text LIKE '%' || chr(10) || '%') WHERE unit LIKE '%' || chr(10) || '%'
+  UNION ALL SELECT doc_id, text FROM documents WHERE text LIKE '%' || chr(10) || chr(10) || '%'),
+words AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w, row_number() OVER () AS u FROM units),
+bigrams AS (
+  SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) >= 2),
+scored AS (
+  SELECT doc_id, u, licence, 2.0 * len(list_intersect(g, b)) / (len(g) + n) AS score FROM bigrams JOIN templates ON 5 * n >= 2 * len(g) AND 5 * len(g) >= 2 * n
+  WHERE list_has_any(g, b)),
+best AS (SELECT doc_id, u, max(score) AS score FROM scored WHERE score >= 0.8 GROUP BY doc_id, u),
+named AS (SELECT s.doc_id, s.u, s.score, min(s.licence) AS licence FROM scored s JOIN best b ON s.u = b.u AND s.score = b.score GROUP BY ALL),
+top AS (SELECT doc_id, max(score) AS score, count(*) AS n_units FROM named GROUP BY doc_id)
+SELECT d.doc_id, min(n.licence) AS licence, CAST(t.score AS DOUBLE) AS score, CAST(coalesce(t.n_units, 0) AS INTEGER) AS n_units
+FROM documents d LEFT JOIN top t ON d.doc_id = t.doc_id LEFT JOIN named n ON n.doc_id = t.doc_id AND n.score = t.score
+GROUP BY d.doc_id, t.score, t.n_units
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint over three-word shingles and its component at two bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, radius=2)
@@ -77,7 +152,9 @@ def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_preferences": op3_preferences,
         "op4_simhash": op4_simhash,
+        "op5_licences": op5_licences,
         "op10_url_filter": op10_url_filter,
     }
 
@@ -85,5 +162,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": OP2_SQL,
+        "op3_preferences": OP3_SQL,
+        "op5_licences": _licence_sql(),
         "op10_url_filter": OP10_SQL,
     }
