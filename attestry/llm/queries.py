@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import exact_dedup, licences, packing, preferences, simhash, url_filter
+from attestry.llm import exact_dedup, licences, nearest, packing, preferences, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -81,7 +81,8 @@ units AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents WHERE text IS NOT NULL
   UNION ALL SELECT doc_id, unit FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '
 [ 	
-]*
+
+]*
 ')) AS unit FROM documents WHERE text LIKE '%' || chr(10) || '%') WHERE unit LIKE '%' || chr(10) || '%'
   UNION ALL SELECT doc_id, text FROM documents WHERE text LIKE '%' || chr(10) || chr(10) || '%'),
 words AS (
@@ -105,6 +106,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, radius=2)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every hundredth vector, among all others."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return nearest.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 #: The rules of op10, as (host, path, verdict).
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -155,6 +162,7 @@ def queries() -> dict:
         "op3_preferences": op3_preferences,
         "op4_simhash": op4_simhash,
         "op5_licences": op5_licences,
+        "op9_nearest": op9_nearest,
         "op10_url_filter": op10_url_filter,
     }
 
