@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import exact_dedup, licences, nearest, packing, preferences, simhash, url_filter
+from attestry.llm import exact_dedup, language, licences, nearest, packing, preferences, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -106,6 +106,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, radius=2)
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the two thirds that are not held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    predicted = language.predict(docs, language.fit(docs))
+    return predicted.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest found of every hundredth vector, among all others."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -162,6 +169,7 @@ def queries() -> dict:
         "op3_preferences": op3_preferences,
         "op4_simhash": op4_simhash,
         "op5_licences": op5_licences,
+        "op6_language": op6_language,
         "op9_nearest": op9_nearest,
         "op10_url_filter": op10_url_filter,
     }
