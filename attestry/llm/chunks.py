@@ -8,6 +8,7 @@ concatenation of its chunks' encodings. Any other text is encoded whole. The cac
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -26,42 +27,92 @@ def split(text: str) -> list[str]:
     return ([first] if first else []) + [x if x[:1] == "\n" else " " + x for x in rest]
 
 
+#: Below this, Python, the regex module and the tokenizers library agree on what a letter is.
+LATIN = "\u0250"
+
+#: Ids of words, kept as long as the Python worker lives: tasks that follow in the same worker find them.
+_words: dict[tuple[str, str], bytes] = {}
+_most_words = 300_000
+
+
+def words(chunk: str, find) -> list[str]:
+    """The pattern's matches in a chunk of Latin text; what is plainly one word, or one and a mark, needs no pattern."""
+    body = chunk[1:]
+    if body.isalpha():
+        return ["\n", body] if chunk[0] == "\n" else [chunk] if chunk[0] == " " or chunk[0].isalpha() else find(chunk)
+    if chunk[0] == " " and body[-1:] in (",", ".", "!", "?", ";", ":") and body[:-1].isalpha():
+        return [chunk[:-1], body[-1]]
+    return find(chunk)
+
+
 class Encoder:
-    """Texts -> little-endian unsigned 32-bit ids as bytes, by the tokenizers library."""
+    """Texts -> little-endian unsigned 32-bit ids as bytes, by the tokenizers library.
+
+    A new chunk of Latin text is cut into the pattern's matches here, and the library's model encodes each new match; any other chunk goes
+    through the library's whole encoding.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, pattern: str, most: int = 300_000):
         os_environ_off()
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        self.path, self.find = path, regex.compile(pattern).findall
+        self.alphabet = byte_alphabet()
         self.cache: dict[str, bytes] = {}
         self.most = most
 
-    def _learn(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        found = _words.get((self.path, word))
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+            if len(_words) < _most_words:
+                _words[self.path, word] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        if max(chunk) >= LATIN:
+            return self._whole(chunk)
+        return b"".join([self._word(w) for w in words(chunk, self.find)])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
+        cache = self.cache
         for text in texts:
             if not text:
                 out.append(b"")
                 continue
             if not plain(text):
-                out.extend(self._learn([text]))
+                out.append(self._whole(text))
                 continue
             parts = split(text)
-            cache = self.cache
-            new = [x for x in dict.fromkeys(parts) if x not in cache]
-            if new:
-                if len(cache) + len(new) > self.most:
-                    cache.clear()
-                    new = list(dict.fromkeys(parts))
-                cache.update(zip(new, self._learn(new), strict=True))
+            try:
+                out.append(b"".join(map(cache.__getitem__, parts)))
+                continue
+            except KeyError:
+                pass
+            if len(cache) > self.most:
+                cache.clear()
+            for part in parts:
+                if part not in cache:
+                    cache[part] = self._chunk(part)
             out.append(b"".join(map(cache.__getitem__, parts)))
         return out
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next free one from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
 def os_environ_off() -> None:
     """One thread a task: the cores belong to Spark's tasks."""
     import os

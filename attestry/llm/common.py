@@ -74,3 +74,18 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int)
     cold = rest.join(facts.where(F.col(weight) <= limit), key, "left")
     columns = [*rows.columns, *others]
     return warm.select(*columns).unionByName(cold.select(*columns))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python, once per context: their workers import it by name."""
+    import shutil
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if not getattr(context, "_attestry_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        target = Path(tempfile.mkdtemp(prefix="attestry-code-"))
+        context.addPyFile(shutil.make_archive(str(target / "attestry"), "zip", root, "attestry"))
+        atexit.register(shutil.rmtree, target, True)
+        context._attestry_shipped = True
+    return spark

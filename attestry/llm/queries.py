@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import exact_dedup, language, licences, nearest, packing, preferences, simhash, url_filter
+from attestry.llm import byte_bpe, common, exact_dedup, language, licences, nearest, packing, preferences, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    read = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = common.ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return read.select(*columns) if columns else read
 
 
@@ -22,7 +22,9 @@ def tokenizer_file(name: str) -> str:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 1024 tokens."""
-    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +115,16 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, and what they decode to, as digests."""
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(tokenizer_file("byte_bpe_50k.tiktoken"))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    ids = F.sha2(F.array_join("ids", " "), 256)
+    return byte_bpe.decode(encoded, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest found of every hundredth vector, among all others."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -170,6 +182,7 @@ def queries() -> dict:
         "op4_simhash": op4_simhash,
         "op5_licences": op5_licences,
         "op6_language": op6_language,
+        "op7_byte_bpe": op7_byte_bpe,
         "op9_nearest": op9_nearest,
         "op10_url_filter": op10_url_filter,
     }
