@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import byte_bpe, common, exact_dedup, language, licences, nearest, packing, preferences, simhash, url_filter
+from attestry.llm import byte_bpe, common, exact_dedup, language, licences, nearest, packing, preferences, simhash, suffixes, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -125,6 +125,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(encoded, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of repeated 400-byte strings."""
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest found of every hundredth vector, among all others."""
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -183,6 +189,7 @@ def queries() -> dict:
         "op5_licences": op5_licences,
         "op6_language": op6_language,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_nearest": op9_nearest,
         "op10_url_filter": op10_url_filter,
     }
