@@ -180,8 +180,16 @@ FROM hashed WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_preferences": op3_preferences,

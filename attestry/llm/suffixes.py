@@ -29,9 +29,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attestry.llm import common
 
@@ -359,6 +361,12 @@ def _rewrite(length: int, text_place: int, runs_place: int):
     return run
 
 
+@F.pandas_udf(T.StringType())
+def whole_characters(kept: pd.Series) -> pd.Series:
+    """Bytes as text, without the parts of characters that a cut has left."""
+    return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 128, group_places: int = 20_000) -> DataFrame:
     """docs without its text, and with kept (the remaining bytes), n_bytes, n_removed and n_spans (columns of these names are replaced)."""
     own = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
