@@ -114,7 +114,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     first = Window.partitionBy("_y").orderBy("_k")
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     labelled = labelled.select(F.col(text_col).alias("_t"), F.col(lang_col).alias("_y"), F.xxhash64(F.col(id_col).cast("string")).alias("_k"))
-    sample = labelled.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_language).select("_t", "_y")
+    ranked = labelled.select("_y", "_k").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_language)  # without the texts
+    highest = ranked.groupBy("_y").agg(F.max("_k").alias("_highest"))
+    sample = labelled.join(F.broadcast(highest), "_y").where(F.col("_k") <= F.col("_highest")).select("_t", "_y")  # one row a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
