@@ -50,13 +50,13 @@ def literal_ranks(ranks: dict[bytes, int]) -> Column:
 def fold(word: Column, table: Column) -> Column:
     """The ids of a word (Latin-1 bytes): ranked merges over its array of bytes."""
     # two's complement: the low bits of the signed hash are those of the unsigned one
-    rank = lambda piece: table.getItem(F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).getItem(piece)
+    rank = lambda piece: table[F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")][piece]
     size = F.length(word)
     start = F.transform(F.sequence(F.lit(1), size), lambda i: word.substr(i, F.lit(1)))
 
     def merged(parts: Column, ranks: Column) -> Column:
         at = F.array_position(ranks, F.array_min(ranks)).cast("int")
-        joined = F.array(F.concat(parts.getItem(at - 1), parts.getItem(at)))
+        joined = F.array(F.concat(parts[at - 1], parts[at]))
         return F.when(F.array_min(ranks).isNull(), parts).otherwise(F.concat(F.slice(parts, F.lit(1), at - 1), joined, F.slice(parts, at + 2, F.size(parts))))
 
     def step(parts: Column, _: Column) -> Column:
@@ -69,9 +69,28 @@ def fold(word: Column, table: Column) -> Column:
 
 
 def fold_here(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same for one word in Python: a heap of candidate merges over a linked list."""
+    """The same for one word in Python."""
     if word in ranks:
         return [ranks[word]]
+    return _fold_long(word, ranks) if len(word) > 24 else _fold_short(word, ranks)
+
+
+def _fold_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    parts = [word[i : i + 1] for i in range(len(word))]
+    rank = ranks.get
+    while True:
+        best = at = None
+        for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)):
+            r = rank(a + b)
+            if r is not None and (best is None or r < best):
+                best, at = r, i
+        if best is None:
+            return [ranks[p] for p in parts]
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+
+def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """A heap of candidate merges over a linked list: n log n."""
     n = len(word)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
@@ -98,24 +117,42 @@ def _pieces(text: str | None) -> list[str]:
     return ([] if not text else chunks.split(text) if chunks.plain(text) else [text])
 
 
-def word_counts(docs: DataFrame, text_col: str, pattern: str) -> DataFrame:
-    """word (Latin-1) and n, summed over the corpus."""
+def _matches(chunk: str, find) -> list[str]:
+    return chunks.words(chunk, find) if max(chunk) < chunks.LATIN else find(chunk)
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that only a part at a time is Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def word_counts(docs: DataFrame, text_col: str, pattern: str, most: int = 200_000) -> DataFrame:
+    """word (Latin-1) and n, summed over the corpus. A task hands its counts on whenever it holds most chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        for batch in batches:
-            found: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                found.update(_pieces(text))
+
+        def counted(found: Counter) -> Iterator[pa.RecordBatch]:
             words: Counter = Counter()
             for chunk, n in found.items():
-                for word in find(chunk):
+                for word in _matches(chunk, find):
                     words[word] += n
-            names = [w.encode().decode("latin-1") for w in words]
+            names, numbers = [w.encode().decode("latin-1") for w in words], list(words.values())
             for at in range(0, len(names), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 50_000]), pa.array(list(words.values())[at : at + 50_000], pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 50_000]), pa.array(numbers[at : at + 50_000], pa.int64())], ["word", "n"])
+
+        found: Counter = Counter()
+        for batch in batches:
+            for part in _slices(batch):
+                for text in part.column(0).to_pylist():
+                    found.update(_pieces(text))
+                if len(found) > most:
+                    yield from counted(found)
+                    found.clear()
+        yield from counted(found)
 
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -157,41 +194,37 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             return np.array(fold_here(word.encode(), ranks), dtype="<i4").tobytes()
 
         def chunk_ids(chunk: str) -> bytes:
-            return b"".join([known.get(w) or word_ids(w) for w in find(chunk)])
+            return b"".join([known.get(w) or word_ids(w) for w in _matches(chunk, find)])
+
+        def text_ids(text: str | None) -> bytes:
+            own = _pieces(text)
+            if len(own) == 1:
+                return chunk_ids(own[0])
+            if len(cache) > 150_000:
+                cache.clear()
+            for chunk in own:
+                if chunk not in cache:
+                    cache[chunk] = chunk_ids(chunk)
+            return b"".join(map(cache.__getitem__, own))
 
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                own = _pieces(text)
-                if len(own) == 1:
-                    out.append(chunk_ids(own[0]))
-                    continue
-                if len(cache) + len(own) > 300_000:
-                    cache.clear()
-                for chunk in own:
-                    if chunk not in cache:
-                        cache[chunk] = chunk_ids(chunk)
-                out.append(b"".join(map(cache.__getitem__, own)))
-            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(out), dtype="<i4"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), values)], [id_col, "ids"])
+            for part in _slices(batch):
+                out = list(map(text_ids, part.column(1).to_pylist()))
+                at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(out), dtype="<i4"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), values)], [id_col, "ids"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
-    """encoded with a binary column decoded beside its own: the pieces of the ids, concatenated. A null array gives null; an unknown id fails."""
-    held = encoded.sparkSession.sparkContext.broadcast([piece for piece, _ in sorted(ranks.items(), key=lambda x: x[1])])
+    """encoded with a binary column decoded beside its own: the pieces of the ids, concatenated. A null array gives null; an id without a piece fails.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = held.value.__getitem__
-        place = None
-        for batch in batches:
-            place = batch.schema.get_field_index(ids_col)
-            ids = batch.column(place)
-            flat, ends = ids.flatten().to_pylist(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            texts = [None if not ok else b"".join(map(piece, flat[a:b])) for ok, a, b in zip(ids.is_valid().to_pylist(), ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
-
-    own = encoded.drop("decoded")
-    return own.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in own.schema)}, decoded binary")
+    The pieces are a literal array of hexadecimal strings, addressed by id; no Python runs on the executors.
+    """
+    pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece.hex()
+    table = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+    hexed = F.transform(ids_col, lambda i: F.coalesce(table[i], F.raise_error(F.lit("an id has no piece")).cast("string")))
+    return encoded.withColumn("decoded", F.unhex(F.array_join(hexed, "")))
