@@ -32,8 +32,8 @@ def render(role: Column, text: Column) -> Column:
 
 def _turns(side: DataFrame, name: str) -> DataFrame:
     """pair_id, turn and the sorted distinct messages at that turn."""
-    clean = side.where(F.col("pair_id").isNotNull()).select("pair_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    return clean.groupBy("pair_id", "turn").agg(F.sort_array(F.collect_list(F.struct("role", "text"))).alias(name))
+    clean = side.where(F.col("pair_id").isNotNull()).select("pair_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return clean.groupBy("pair_id", "turn").agg(F.sort_array(F.collect_set(F.struct("role", "text"))).alias(name))
 
 
 def _joined(turns: Column) -> Column:
