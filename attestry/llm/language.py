@@ -16,7 +16,6 @@ result. Repeated rows each get their row. Extra columns are not read.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,26 +25,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.llm import common
+
 UNKNOWN = "und"
-BUCKETS = 1 << 14
+LOG_BUCKETS, GRAMS = 14, 4
+BUCKETS = 1 << LOG_BUCKETS
 WORDS = re.compile(r"[^\W\d_]+")
 OUT = "lang_pred string, score double, rejected boolean"
 
 
-def subwords(word: str) -> list[int]:
-    """Hashed buckets of a word's grams."""
-    marked = f"<{word}>".encode("utf-32-le")
-    n = len(marked) // 4
-    return [zlib.crc32(marked[4 * i : 4 * (i + k)]) & (BUCKETS - 1) for k in (1, 2, 3, 4) for i in range(n - k + 1)]
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed buckets of all grams of all words, and which word each is of."""
+    points = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    buckets, owners = [], []
+    h = np.zeros(len(points), dtype=np.uint64)
+    for k in range(min(GRAMS, len(points))):
+        h = h[: len(points) - k] * np.uint64(0x100000001B3) + points[k:] + np.uint64(1)
+        inside = owner[: len(h)] == owner[k:]
+        x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        buckets.append((x >> np.uint64(64 - LOG_BUCKETS)).astype(np.int64)[inside])
+        owners.append(owner[: len(h)][inside])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a whole text and how often each occurs."""
-    total = np.zeros(BUCKETS, dtype=np.int64)
-    for word, n in Counter(WORDS.findall((text or "").lower())).items():
-        np.add.at(total, subwords(word), n)
+    found = Counter(WORDS.findall((text or "").lower()))
+    if not found:
+        return (np.zeros(0, dtype=np.int64),) * 2
+    buckets, owner = subwords(list(found))
+    total = np.bincount(buckets, weights=np.array(list(found.values()))[owner], minlength=BUCKETS)
     at = np.flatnonzero(total)
-    return at, total[at]
+    return at, total[at].astype(np.int64)
 
 
 class Model:
@@ -123,7 +135,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             pairs = [counted(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([a.astype("<i4").tobytes() for a, _ in pairs], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in pairs], pa.binary()), batch.column(1)], ["at", "n", "y"])
 
-    got = sample.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(count, "at binary, n binary, y string").toArrow()
+    got = sample.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(common.tidy(count), "at binary, n binary, y string").toArrow()
     rows = [(np.frombuffer(a, "<i4"), np.frombuffer(n, "<i4"), y) for a, n, y in zip(*(got.column(k).to_pylist() for k in range(3)), strict=True)]
     return train(sorted(rows, key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes())))
 
@@ -131,24 +143,24 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 class Predictor:
     """Texts -> (language, score, rejected), with a bounded cache of words."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most = model, most
         self.place: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.names) + 1))
 
     def _learn(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.place]
-        if len(self.place) + len(new) > self.most:
+        if self.place and len(self.place) + len(new) > self.most:
             self.place.clear()
             new = list(dict.fromkeys(words))
         while len(self.place) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for word in new:
-            at = subwords(word)
-            row = len(self.place)
-            self.table[row, :-1] = self.model.sums[at].sum(axis=0)
-            self.table[row, -1] = len(at)
-            self.place[word] = row
+        buckets, owner = subwords(new)
+        rows = np.arange(len(self.place), len(self.place) + len(new))
+        for k in range(len(self.model.names)):
+            self.table[rows, k] = np.bincount(owner, weights=self.model.sums[buckets, k], minlength=len(new))
+        self.table[rows, -1] = np.bincount(owner, minlength=len(new))
+        self.place.update(zip(new, rows.tolist(), strict=True))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         words = WORDS.findall(text.lower()) if text and self.model.names else []
