@@ -154,7 +154,7 @@ def word_counts(docs: DataFrame, text_col: str, pattern: str, most: int = 200_00
                     found.clear()
         yield from counted(found)
 
-    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(common.tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def common_words(counts: DataFrame, most: int) -> DataFrame:
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 values = pa.array(np.frombuffer(b"".join(out), dtype="<i4"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), values)], [id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(common.tidy(run), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:

@@ -31,8 +31,8 @@ def split(text: str) -> list[str]:
 LATIN = "\u0250"
 
 #: Ids of words, kept as long as the Python worker lives: tasks that follow in the same worker find them.
-_words: dict[tuple[str, str], bytes] = {}
-_most_words = 300_000
+_words: dict[str, dict[str, bytes]] = {}
+_most_words = 200_000
 
 
 def words(chunk: str, find) -> list[str]:
@@ -52,7 +52,7 @@ class Encoder:
     through the library's whole encoding.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 300_000):
+    def __init__(self, path: str, pattern: str, most: int = 200_000):
         os_environ_off()
         import regex
         from tokenizers import Tokenizer
@@ -60,7 +60,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.path, self.find = path, regex.compile(pattern).findall
+        self.known = _words.setdefault(path, {})
+        self.find = regex.compile(pattern).findall
         self.alphabet = byte_alphabet()
         self.cache: dict[str, bytes] = {}
         self.most = most
@@ -69,11 +70,11 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = _words.get((self.path, word))
+        found = self.known.get(word)
         if found is None:
             found = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
-            if len(_words) < _most_words:
-                _words[self.path, word] = found
+            if len(self.known) < _most_words:
+                self.known[word] = found
         return found
 
     def _chunk(self, chunk: str) -> bytes:

@@ -88,4 +88,34 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(shutil.make_archive(str(target / "attestry"), "zip", root, "attestry"))
         atexit.register(shutil.rmtree, target, True)
         context._attestry_shipped = True
+    if spark.conf.get(BATCH_BYTES, "64m") in ("64m", "67108864b", "67108864"):  # the default: texts would fill the workers' memory
+        spark.conf.set(BATCH_BYTES, "8m")
     return spark
+
+
+#: How much Spark sends to a Python worker at a time.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def tidy(run):
+    """A batch function that leaves its worker, which later tasks and stages use again, without the memory that it took."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

@@ -80,7 +80,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def repeated_bits(hashes: DataFrame, log_bits: int) -> np.ndarray:
     """First pass over a DataFrame of one long column: the filter's bits (packed) that more than one row has set."""
-    marked = hashes.mapInArrow(_mark(log_bits), "segment long, seen binary, again binary")
+    marked = hashes.mapInArrow(common.tidy(_mark(log_bits)), "segment long, seen binary, again binary")
     merged = marked.groupBy("segment").applyInArrow(_merge, "segment long, bits binary")
     found = merged.where(F.col("bits") != F.lit(bytes(1 << SEGMENT - 3))).toArrow()  # bounded by max_bits
     bits = np.zeros(1 << log_bits - 3, dtype=np.uint8)

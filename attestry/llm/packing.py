@@ -54,7 +54,7 @@ def tokenised(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, size:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), *[pa.int64()] * 4), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return common.stage(docs.mapInArrow(run, PIECES))
+    return common.stage(docs.mapInArrow(common.tidy(run), PIECES))
 
 
 def patterns(size: int) -> np.ndarray:

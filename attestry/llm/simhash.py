@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], [id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return common.stage(docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long"))
+    return common.stage(docs.select(id_col, text_col).mapInArrow(common.tidy(run), f"`{id_col}` {kind}, fp long"))
 
 
 def _near_masks(bits: int, radius: int) -> list[int]:
@@ -166,7 +166,7 @@ def links(distinct: DataFrame, radius: int, cell_rows: int = 1 << 16, per_cell:
         role = F.when(F.col("cell") == F.col("own"), 0).otherwise(1)
         parts = common.spread(spark, total, cell_rows)
         sorted_ = routed.select("cell", role.alias("role"), "fp").repartition(parts, "cell").sortWithinPartitions("cell", "role")
-        part = common.stage(sorted_.mapInArrow(_forest(radius), "a long, b long"))
+        part = common.stage(sorted_.mapInArrow(common.tidy(_forest(radius)), "a long, b long"))
         found = part if found is None else found.unionByName(part)
         if heavy is None:
             return found

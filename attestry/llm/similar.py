@@ -163,15 +163,15 @@ def groups(docs: DataFrame, row_col: str, text_col: str, words: int = 5, similar
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t.as_py(), words) for t in batch.column(1).cast(pa.binary())], pa.binary())], [row_col, "print"])
 
-    prints = common.stage(docs.select(row_col, text_col).mapInArrow(run, f"`{row_col}` long, print binary"))
+    prints = common.stage(docs.select(row_col, text_col).mapInArrow(common.tidy(run), f"`{row_col}` long, print binary"))
     total = prints.count()
     distinct = common.stage(prints.groupBy("print").agg(F.min(row_col).alias("key"), F.count("*").alias("n")))
     different = distinct.count()
     bits = min(WIDTH - 4, max(0, math.ceil(math.log2(max(1, different / per_cell)))))
-    dealt = distinct.select("key", "print").mapInArrow(_dealt(bits), "cell long, role int, value long, key long, print binary")
+    dealt = distinct.select("key", "print").mapInArrow(common.tidy(_dealt(bits)), "cell long, role int, value long, key long, print binary")
     parts = common.spread(docs.sparkSession, different * SLICES, per_cell)
     sorted_ = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "role")
-    links = common.stage(sorted_.mapInArrow(_forest(most_bits(similarity)), "a long, b long"))
+    links = common.stage(sorted_.mapInArrow(common.tidy(_forest(most_bits(similarity))), "a long, b long"))
     roots = graph.components(links).withColumnRenamed("node", "key")
     facts = distinct.join(roots, "key", "left").select("print", "n", F.coalesce("root", "key").alias("root"))
     return common.attach(prints, common.stage(facts), "print", "n", total).select(row_col, "root")

@@ -303,7 +303,7 @@ def _windows(length: int):
 def repeated_runs(texts: DataFrame, length: int = 400, gram: int = 128, group_places: int = 20_000) -> DataFrame:
     """texts: doc (long, unique) and text. Returns doc, start, windows: runs of windows, by their first bytes, that also start elsewhere."""
     spark = texts.sparkSession
-    places = common.stage(texts.mapInArrow(_sample(length, gram), PLACES))
+    places = common.stage(texts.mapInArrow(common.tidy(_sample(length, gram)), PLACES))
     total = places.count()
     by_context = places.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "windows", "offset")).alias("head"))
     by_gram = by_context.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("places"), F.count_if(F.col("n") == 1).alias("singles"))
@@ -322,10 +322,10 @@ def repeated_runs(texts: DataFrame, length: int = 400, gram: int = 128, group_pl
     near = contexts.where(F.col("contexts") <= group_places).drop("contexts")
     parts = common.spread(spark, total // 8, 50_000)
     sorted_ = near.select("gram", "doc", "first", "windows", "offset", "n", "bytes").repartition(parts, "gram").sortWithinPartitions("gram")
-    compared = sorted_.mapInArrow(_compare(length, gram), "doc long, start long, windows long")
+    compared = sorted_.mapInArrow(common.tidy(_compare(length, gram)), "doc long, start long, windows long")
 
     crowded = contexts.where(F.col("contexts") > group_places).select("doc", "first", "windows", "n", "bytes")
-    singly = crowded.mapInArrow(_windows(length), "hash binary, doc long, start long, n long")
+    singly = crowded.mapInArrow(common.tidy(_windows(length)), "hash binary, doc long, start long, n long")
     often = singly.groupBy("hash").agg(F.sum("n").alias("times")).where("times > 1")
     apart = singly.where("n = 1").join(often, "hash", "left_semi").select("doc", "start", F.lit(1).cast("long").alias("windows"))
     return runs.unionByName(compared).unionByName(apart)
@@ -380,4 +380,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = keyed.join(by_doc, keyed["_doc"] == by_doc["doc"], "left").select(*own.columns, "_runs")
     rest = [f for f in own.schema if f.name != text_col]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return joined.mapInArrow(_rewrite(length, own.columns.index(text_col), len(own.columns)), f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.mapInArrow(common.tidy(_rewrite(length, own.columns.index(text_col), len(own.columns))), f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
