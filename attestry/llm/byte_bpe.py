@@ -18,6 +18,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +32,17 @@ from attestry.llm import chunks, common
 
 BUCKETS = 8192
 
+#: Ids of words that a worker has folded, by encoding run; kept as long as the worker lives, for the last run only.
+_folded: dict[str, dict[str, bytes]] = {}
+_most_folded = 200_000
+
+
+def _folded_in(token: str) -> dict[str, bytes]:
+    """The worker's own: a function is sent by name, where a closure's globals would be sent by value."""
+    if token not in _folded:
+        _folded.clear()
+    return _folded.setdefault(token, {})
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
@@ -72,21 +85,23 @@ def fold_here(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same for one word in Python."""
     if word in ranks:
         return [ranks[word]]
-    return _fold_long(word, ranks) if len(word) > 24 else _fold_short(word, ranks)
+    return _fold_long(word, ranks) if len(word) > 64 else _fold_short(word, ranks)
 
 
 def _fold_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """A list of the ranks of neighbours, of which a merge changes two."""
     parts = [word[i : i + 1] for i in range(len(word))]
-    rank = ranks.get
-    while True:
-        best = at = None
-        for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)):
-            r = rank(a + b)
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            return [ranks[p] for p in parts]
+    rank, none = ranks.get, len(ranks)
+    pairs = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (best := min(pairs)) < none:
+        at = pairs.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at < len(pairs):
+            pairs[at] = rank(parts[at] + parts[at + 1], none)
+        if at:
+            pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+    return [ranks[p] for p in parts]
 
 
 def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -181,6 +196,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     flat, ends = ids.flatten().to_numpy().astype("<i4"), ids.offsets.to_numpy()
     held = spark.sparkContext.broadcast(([w.encode("latin-1").decode() for w in got.column("word").to_pylist()], flat, ends - ends[0] if len(ends) else ends, ranks))
     kind = docs.schema[id_col].dataType.simpleString()
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -190,8 +206,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         known = {w: flat[ends[k] : ends[k + 1]].tobytes() for k, w in enumerate(names)}
         cache: dict[str, bytes] = {}
 
+        folded = _folded_in(token)
+
         def word_ids(word: str) -> bytes:
-            return np.array(fold_here(word.encode(), ranks), dtype="<i4").tobytes()
+            found = folded.get(word)
+            if found is None:
+                found = array("i", fold_here(word.encode(), ranks)).tobytes()
+                if len(folded) < _most_folded:
+                    folded[word] = found
+            return found
 
         def chunk_ids(chunk: str) -> bytes:
             return b"".join([known.get(w) or word_ids(w) for w in _matches(chunk, find)])
