@@ -123,12 +123,13 @@ def held_out(ident: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500) -> Model:
     """Learns from labelled rows that are not held out, at most per_language of each language."""
-    first = Window.partitionBy("_y").orderBy("_k")
+    first = Window.partitionBy("_y").orderBy(F.pmod("_k", F.lit(1 << 31)), "_k")
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     labelled = labelled.select(F.col(text_col).alias("_t"), F.col(lang_col).alias("_y"), F.xxhash64(F.col(id_col).cast("string")).alias("_k"))
-    ranked = labelled.select("_y", "_k").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_language)  # without the texts
-    highest = ranked.groupBy("_y").agg(F.max("_k").alias("_highest"))
-    sample = labelled.join(F.broadcast(highest), "_y").where(F.col("_k") <= F.col("_highest")).select("_t", "_y")  # one row a language
+    sizes = labelled.groupBy("_y").agg(F.count("*").alias("_n"))  # one row a language
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 200) / F.col("_n"))
+    near = labelled.join(F.broadcast(sizes), "_y").where(F.pmod("_k", F.lit(1 << 31)) < share * float(1 << 31))  # about twice as many as are wanted
+    sample = near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_language).select("_t", "_y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
