@@ -32,7 +32,7 @@ LATIN = "\u0250"
 
 #: Ids of words, kept as long as the Python worker lives: tasks that follow in the same worker find them.
 _words: dict[str, dict[str, bytes]] = {}
-_most_words = 200_000
+_most_words = 100_000
 
 
 def words(chunk: str, find) -> list[str]:
@@ -52,7 +52,7 @@ class Encoder:
     through the library's whole encoding.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 200_000):
+    def __init__(self, path: str, pattern: str, most: int = 150_000):
         os_environ_off()
         import regex
         from tokenizers import Tokenizer

@@ -144,7 +144,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 class Predictor:
     """Texts -> (language, score, rejected), with a bounded cache of words."""
 
-    def __init__(self, model: Model, most: int = 150_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most = model, most
         self.place: dict[str, int] = {}
         self.table = np.zeros((1024, len(model.names) + 1))
@@ -184,9 +184,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf(OUT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        one = Predictor(held.value)
+        one, texts = Predictor(held.value), None
         for texts in batches:
             yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+        del one, texts
+        common.trim()
 
     own = docs.drop("lang_pred", "score", "rejected")
     return own.withColumn("_p", run(text_col)).select(*own.columns, "_p.lang_pred", "_p.score", "_p.rejected")

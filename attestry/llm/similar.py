@@ -76,7 +76,7 @@ def _dealt(bits: int):
     return run
 
 
-def _forest(limit: int, most_pairs: int = 1 << 20):
+def _forest(limit: int, most_pairs: int = 1 << 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, parts, held = None, [], None
 
@@ -85,7 +85,7 @@ def _forest(limit: int, most_pairs: int = 1 << 20):
             q_uniq, q_at = np.unique(values, return_inverse=True)
             q_order = np.argsort(q_at, kind="stable")
             q_starts = np.searchsorted(q_at[q_order], np.arange(len(q_uniq) + 1))
-            for qu, mu in index.search(q_uniq.astype(np.uint64) << np.uint64(64 - WIDTH), RADIUS):
+            for qu, mu in index.search(q_uniq.astype(np.uint64) << np.uint64(64 - WIDTH), RADIUS, 512):
                 sizes = (q_starts[qu + 1] - q_starts[qu]) * (starts[mu + 1] - starts[mu])
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // most_pairs)) + 1, [len(qu)]])
                 for lo, hi in zip(edges, edges[1:], strict=False):
