@@ -32,7 +32,6 @@ LATIN = "\u0250"
 
 #: Ids of words, kept as long as the Python worker lives: tasks that follow in the same worker find them.
 _words: dict[str, dict[str, bytes]] = {}
-_most_words = 100_000
 
 
 def words(chunk: str, find) -> list[str]:
@@ -52,7 +51,7 @@ class Encoder:
     through the library's whole encoding.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 150_000):
+    def __init__(self, path: str, pattern: str, most: int = 300_000):
         os_environ_off()
         import regex
         from tokenizers import Tokenizer
@@ -73,7 +72,7 @@ class Encoder:
         found = self.known.get(word)
         if found is None:
             found = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
-            if len(self.known) < _most_words:
+            if len(self.known) < self.most:
                 self.known[word] = found
         return found
 

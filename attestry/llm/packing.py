@@ -37,12 +37,12 @@ def cut(ids: int, size: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, size) for at in range(first, ids, size))]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, size: int) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, pattern: str, end_id: int, size: int, cached: int) -> DataFrame:
     """docs: id and text. The pieces of every document, staged."""
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunks.Encoder(tokenizer, pattern)
+        encode = chunks.Encoder(tokenizer, pattern, cached)
         salt = TaskContext.get().partitionId() << 40  # another for every row, the same when a task runs again
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
@@ -165,10 +165,10 @@ def runs(planned: list[tuple[tuple[int, ...], int]], size: int) -> dict[int, np.
     return {length: np.array(rows, dtype=np.int64) for length, rows in out.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, bucket_rows: int = 50_000) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, bucket_rows: int = 50_000, cached: int = 300_000) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset. A worker keeps the ids of at most cached words and chunks."""
     spark = docs.sparkSession
-    pieces = tokenised(docs.select(F.col(id_col).cast("long"), F.col(text_col)), tokenizer, pattern, end_id, size)
+    pieces = tokenised(docs.select(F.col(id_col).cast("long"), F.col(text_col)), tokenizer, pattern, end_id, size, cached)
     total = pieces.count()
     buckets = max(1, -(-total // bucket_rows))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("salt"), F.lit(buckets)))

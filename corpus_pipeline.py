@@ -50,7 +50,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     common.ship(spark)
-    return packing.pack(docs, queries.tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(docs, queries.tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN, cached=50_000)
 
 
 STAGES = [("language ID", language_id), ("exact dedup", exact), ("near-dedup", near), ("suffix-array dedup", passages), ("best-fit packing", pack)]
