@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import zlib
@@ -43,12 +44,17 @@ def empty(spark):
 # --- 1 -----------------------------------------------------------------------------------------------------------------------
 
 
-def ids_of(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def ids_of(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def pack(df, size):
