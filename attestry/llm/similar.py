@@ -1,13 +1,19 @@
-"""Groups of similar documents by a long SimHash: an estimated Jaccard similarity of word shingles of 0.8 or more.
+"""Groups of similar documents: a Jaccard similarity of their sets of word shingles of 0.8 or more, links being transitive.
 
-The fingerprint has 504 bits in 21 slices of 24. Two documents of similarity 0.8 differ in about 15 of 100 bits, far too many for a search of the whole
-fingerprint, but in some slice nearly always in 2 or fewer. So each slice has its own hierarchical index in Gray order (see gray_index)
-that is searched within 2 bits; what it finds is verified on all 504 bits. Cells by leading bits, members and queries are those of
-simhash.links. Pairs that already hang together are not verified again, and links that join nothing new in a cell are not emitted.
+Candidates come from a SimHash of 504 bits in 21 slices of 24. Two documents of similarity 0.8 differ in about 15 of 100 bits, far too many for a
+search of the whole fingerprint, but in some slice nearly always in 2 or fewer. So each slice has its own hierarchical index in Gray order (see gray_index)
+that is searched within 2 bits; what differs in no more of the 504 bits than the mean at the threshold and four standard deviations is a candidate.
+A candidate is a link only if the shingle sets themselves, as 64-bit hashes, are that similar.
 
-Missed pairs: at similarity 0.8, one slice in 3.6 agrees within 2 bits, so that all 21 fail for one pair in 1000.
+Sets are large, so few pairs should meet. First, of each document (then of each group that hangs together) the candidate with the smallest key and the
+nearest one are compared. A second search, among documents with a candidate, gives all candidates across the groups found so far; all are compared.
+Only pairs that hang together already are left out, so the groups are those of all candidates. Cells by leading bits, members and queries
+are as in simhash.links.
 
-Defined results: as in simhash. Documents without a word are all alike. Fewer words than a shingle: the whole sequence is the one shingle.
+Missed pairs: at similarity 0.8, one slice in 3.6 agrees within 2 bits, so that all 21 fail for one pair in 1000; of sets of a few shingles more do.
+
+Defined results: as in simhash. Documents without a word are all alike, as are those of one fingerprint. Fewer words than a shingle: the whole sequence
+is the one shingle.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ SLICES, WIDTH, RADIUS = 21, 24, 2
 WORDS64 = 8
 
 
-def most_bits(similarity: float, slack: float = 0.5) -> int:
+def most_bits(similarity: float, slack: float = 4) -> int:
     """Differing bits of 504 at this similarity of sets of one size, with slack standard deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = SLICES * WIDTH
@@ -57,12 +63,12 @@ def _rows_of(column: pa.Array) -> np.ndarray:
 
 
 def _dealt(bits: int):
-    """(key, print) -> (cell, role, value, key, print): each slice's own cell, and lower ones within the radius."""
+    """(key, label, print) -> (cell, role, value, key, label, print): each slice's own cell, and lower ones within the radius."""
     masks = np.array(simhash._near_masks(bits, RADIUS), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, prints = batch.column(0), batch.column(1)
+            keys, labels, prints = (batch.column(k) for k in range(3))
             if not batch.num_rows:
                 continue
             cut = slices(_rows_of(prints))
@@ -71,73 +77,83 @@ def _dealt(bits: int):
                 to = own[:, None] ^ masks[None, :]
                 who, which = np.nonzero((masks[None, :] == 0) | (to < own[:, None]))
                 at = pa.array(who)
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(t) << bits) | to[who, which]), pa.array((which > 0).astype(np.int32)), pa.array(cut[who, t].astype(np.int64)), keys.take(at), prints.take(at)], ["cell", "role", "value", "key", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(t) << bits) | to[who, which]), pa.array((which > 0).astype(np.int32)), pa.array(cut[who, t].astype(np.int64)), keys.take(at), labels.take(at), prints.take(at)], ["cell", "role", "value", "key", "label", "print"])
 
     return run
 
 
-def _forest(limit: int, most_pairs: int = 1 << 16):
+class _Grouped:
+    """Rows of a cell by slice value: those of uniq[u] are order[starts[u]:starts[u + 1]]."""
+
+    def __init__(self, values: np.ndarray, keys: np.ndarray, labels: np.ndarray, prints: np.ndarray):
+        self.keys, self.labels, self.prints = keys, labels, prints
+        self.uniq, at = np.unique(values, return_inverse=True)
+        self.order = np.argsort(at, kind="stable")
+        self.starts = np.searchsorted(at[self.order], np.arange(len(self.uniq) + 1))
+
+
+def _chosen(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs, those of the smallest and of the nearest partner of every key, which comes first."""
+    a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+    kept = []
+    for order in (np.lexsort((b, a)), np.lexsort((b, d, a))):
+        kept.append(order[np.flatnonzero(np.diff(a[order], prepend=a[order[:1]] - 1))])
+    at = np.unique(np.concatenate(kept))
+    return a[at], b[at], d[at]
+
+
+def _candidates(limit: int, every: bool, most_pairs: int = 1 << 16):
+    """Rows (cell, role, value, key, label, print) sorted by cell and role, members (role 0) first -> candidates a, b of d differing bits.
+
+    every: all those of different labels. Otherwise of each fingerprint, as a, the smallest and the nearest b.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, parts, held = None, [], None
 
-        def links(values: np.ndarray, keys: np.ndarray, prints: np.ndarray, inner: bool) -> Iterator[pa.RecordBatch]:
-            index, uniq, starts, order, m_keys, m_prints, group = held
-            q_uniq, q_at = np.unique(values, return_inverse=True)
-            q_order = np.argsort(q_at, kind="stable")
-            q_starts = np.searchsorted(q_at[q_order], np.arange(len(q_uniq) + 1))
-            for qu, mu in index.search(q_uniq.astype(np.uint64) << np.uint64(64 - WIDTH), RADIUS, 512):
-                sizes = (q_starts[qu + 1] - q_starts[qu]) * (starts[mu + 1] - starts[mu])
+        def near(q: _Grouped, m: _Grouped, x: np.ndarray, y: np.ndarray, inner: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keep = q.labels[x] != m.labels[y]
+            if inner:
+                keep &= y < x
+            x, y = x[keep], y[keep]
+            d = np.zeros(len(x), dtype=np.int64)
+            for at in range(0, len(x), most_pairs):
+                s = slice(at, at + most_pairs)
+                d[s] = np.bitwise_count(q.prints[x[s]] ^ m.prints[y[s]]).sum(axis=1)
+            keep = d <= limit
+            return q.keys[x[keep]], m.keys[y[keep]], d[keep]
+
+        def found(q: _Grouped, inner: bool) -> Iterator[pa.RecordBatch]:
+            index, m = held
+            for qu, mu in index.search(q.uniq.astype(np.uint64) << np.uint64(64 - WIDTH), RADIUS, 512):
+                sizes = (q.starts[qu + 1] - q.starts[qu]) * (m.starts[mu + 1] - m.starts[mu])
                 edges = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // most_pairs)) + 1, [len(qu)]])
                 for lo, hi in zip(edges, edges[1:], strict=False):
                     if lo == hi:
                         continue
-                    n_m = starts[mu[lo:hi] + 1] - starts[mu[lo:hi]]
                     size = sizes[lo:hi]
                     pair = np.repeat(np.arange(lo, hi), size)
                     within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    each = np.repeat(n_m, size)
-                    q = q_order[q_starts[qu[pair]] + within // each]
-                    m = order[starts[mu[pair]] + within % each]
-                    if inner:
-                        keep = m < q
-                        keep[keep] = group[q[keep]] != group[m[keep]]
-                        q, m = q[keep], m[keep]
-                    near = np.zeros(len(q), dtype=bool)
-                    for at in range(0, len(q), most_pairs):
-                        s = slice(at, at + most_pairs)
-                        near[s] = np.bitwise_count(prints[q[s]] ^ m_prints[m[s]]).sum(axis=1) <= limit
-                    q, m = q[near], m[near]
-                    a, b = [], []
-                    first: dict[int, int] = {}
-                    for x, y in zip(q.tolist(), m.tolist(), strict=True):
-                        one = group[x] if inner else first.setdefault(x, -1)
-                        other = group[y]
-                        if one == other:
-                            continue
-                        a.append(keys[x])
-                        b.append(m_keys[y])
-                        if inner or one >= 0:
-                            group[group == other] = one
-                        else:
-                            first[x] = other
-                    if a:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    each = np.repeat(m.starts[mu[lo:hi] + 1] - m.starts[mu[lo:hi]], size)
+                    x = q.order[q.starts[qu[pair]] + within // each]
+                    y = m.order[m.starts[mu[pair]] + within % each]
+                    a, b, d = near(q, m, x, y, inner)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in ((a, b, d) if every else _chosen(a, b, d))], ["a", "b", "d"])
 
         def build() -> Iterator[pa.RecordBatch]:
             nonlocal parts, held
-            values, keys, prints = (np.concatenate([p[k] for p in parts]) if parts else np.zeros((0, WORDS64) if k == 2 else 0, dtype=(np.int64, np.int64, np.uint64)[k]) for k in range(3))
+            columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros((0, WORDS64) if k == 3 else 0, dtype=np.uint64 if k == 3 else np.int64) for k in range(4)]
             parts = []
-            uniq, at = np.unique(values, return_inverse=True)
-            order = np.argsort(at, kind="stable")
-            starts = np.searchsorted(at[order], np.arange(len(uniq) + 1))
-            held = (GrayIndex(uniq.astype(np.uint64) << np.uint64(64 - WIDTH)), uniq, starts, order, keys, prints, np.arange(len(keys)))
-            yield from links(values, keys, prints, True)
+            members = _Grouped(*columns)
+            held = (GrayIndex(members.uniq.astype(np.uint64) << np.uint64(64 - WIDTH)), members)
+            yield from found(members, True)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells, roles, values, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            prints = _rows_of(batch.column(4)).view(np.uint64)
+            cells, roles, *columns = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            columns.append(_rows_of(batch.column(5)).view(np.uint64))
             cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(roles) != 0)) + 1
             for own in np.split(np.arange(len(cells)), cuts):
                 if cells[own[0]] != cell:
@@ -145,17 +161,93 @@ def _forest(limit: int, most_pairs: int = 1 << 16):
                         yield from build()
                     cell, held, parts = cells[own[0]], None, []
                 if roles[own[0]] == 0:
-                    parts.append((values[own], keys[own], prints[own]))
+                    parts.append([c[own] for c in columns])
                 else:
                     if held is None:
                         yield from build()
-                    yield from links(values[own], keys[own], prints[own], False)
+                    yield from found(_Grouped(*(c[own] for c in columns)), False)
         if held is None and parts:
             yield from build()
 
     return run
 
 
+def _searched(prints: DataFrame, similarity: float, every: bool, per_cell: int) -> DataFrame:
+    """prints: key, label, print, staged. Candidates a, b, d, staged."""
+    total = prints.count()
+    bits = min(WIDTH - 4, max(0, math.ceil(math.log2(max(1, total / per_cell)))))
+    dealt = prints.select("key", "label", "print").mapInArrow(common.tidy(_dealt(bits)), "cell long, role int, value long, key long, label long, print binary")
+    parts = common.spread(prints.sparkSession, total * SLICES, per_cell)
+    sorted_ = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "role")
+    return common.stage(sorted_.mapInArrow(common.tidy(_candidates(most_bits(similarity), every)), "a long, b long, d long"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b), staged, those whose sets are so similar. sets: key, hashes, staged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                small, large = sorted((len(x), len(y)))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if small >= similarity * large - 1e-9 else 0
+                alike.append(both >= similarity * (small + large - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    total, held, both = pairs.count(), [], pairs
+    for side in ("a", "b"):
+        uses = pairs.groupBy(F.col(side).alias("key")).agg(F.count("*").alias("uses"))
+        held.append(common.stage(sets.join(uses, "key").select(F.col("key").alias(side), F.col("hashes").alias(f"{side}_hashes"), "uses")))
+        both = common.attach(both, held[-1], side, "uses", total).drop("uses")
+    out = common.stage(both.mapInArrow(common.tidy(run), "a long, b long"))
+    for facts in held:
+        common.release(facts)
+    return out
+
+
+def _links(docs: DataFrame, row_col: str, text_col: str, distinct: DataFrame, words: int, similarity: float, per_cell: int, rounds: int = 2) -> DataFrame:
+    """distinct: key, print, staged. Links a, b between keys, whose components are those of all candidates that are so similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(simhash.shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "hashes"])
+
+    first = _searched(distinct.withColumn("label", F.col("key")), similarity, False, per_cell)
+    keys = common.stage(first.select(F.col("a").alias("key")).distinct())
+    sets = common.stage(docs.join(keys, docs[row_col] == keys["key"], "left_semi").select(row_col, text_col).mapInArrow(common.tidy(run), "key long, hashes binary"))
+    labels, tried, links = keys.withColumn("label", F.col("key")), None, None
+
+    def compare(pairs: DataFrame) -> bool:
+        nonlocal labels, tried, links
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = common.stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            return False
+        more = _confirmed(pairs, sets, similarity)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = more if links is None else links.unionByName(more)
+        return True
+
+    def label() -> None:
+        nonlocal labels
+        roots = graph.components(links).withColumnRenamed("node", "key")
+        labels = common.stage(keys.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("label")))
+
+    for _ in range(rounds):
+        sides = first.join(labels.toDF("a", "a_label"), "a").join(labels.toDF("b", "b_label"), "b").where("a_label <> b_label")
+        if tried is not None:
+            sides = sides.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).join(tried.toDF("low", "high"), ["low", "high"], "left_anti")
+        best = sides.groupBy("a_label").agg(F.min(F.struct("b_label", "d", "a", "b")).alias("small"), F.min(F.struct("d", "b_label", "a", "b")).alias("near"))
+        if not compare(best.select(F.explode(F.array(*[F.struct(f"{c}.a", f"{c}.b") for c in ("small", "near")])).alias("p")).select("p.a", "p.b")):
+            break
+        label()
+    if links is not None:
+        compare(_searched(common.stage(distinct.join(labels, "key").select("key", "label", "print")), similarity, True, per_cell))
+    return links if links is not None else first.select("a", "b")
+
+
 def groups(docs: DataFrame, row_col: str, text_col: str, words: int = 5, similarity: float = 0.8, per_cell: int = 1 << 18) -> DataFrame:
     """docs: a unique long row_col and a text. row_col and root (the smallest row of its group) for every row."""
 
@@ -166,12 +258,7 @@ def groups(docs: DataFrame, row_col: str, text_col: str, words: int = 5, similar
     prints = common.stage(docs.select(row_col, text_col).mapInArrow(common.tidy(run), f"`{row_col}` long, print binary"))
     total = prints.count()
     distinct = common.stage(prints.groupBy("print").agg(F.min(row_col).alias("key"), F.count("*").alias("n")))
-    different = distinct.count()
-    bits = min(WIDTH - 4, max(0, math.ceil(math.log2(max(1, different / per_cell)))))
-    dealt = distinct.select("key", "print").mapInArrow(common.tidy(_dealt(bits)), "cell long, role int, value long, key long, print binary")
-    parts = common.spread(docs.sparkSession, different * SLICES, per_cell)
-    sorted_ = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "role")
-    links = common.stage(sorted_.mapInArrow(common.tidy(_forest(most_bits(similarity))), "a long, b long"))
+    links = common.stage(_links(docs, row_col, text_col, distinct, words, similarity, per_cell))
     roots = graph.components(links).withColumnRenamed("node", "key")
     facts = distinct.join(roots, "key", "left").select("print", "n", F.coalesce("root", "key").alias("root"))
     return common.attach(prints, common.stage(facts), "print", "n", total).select(row_col, "root")

@@ -224,6 +224,23 @@ def test_similar(spark, empty):
     assert similar.keep_one(empty).collect() == []
 
 
+def with_jaccard(seed, similarity, union=180):
+    """Two texts of equally large sets of five-word shingles; how similar the sets are."""
+    words = [f"w{seed}x{k}" for k in range(union)]
+    n = round((1 - similarity) / (1 + similarity) * (union - 4))
+    return " ".join(words), " ".join(words[:-n] + [f"v{seed}x{k}" for k in range(n)]), (union - 4 - n) / (union - 4 + n)
+
+
+def test_similar_decides_by_the_sets(spark):
+    cases = {0.75: False, 0.79: False, 0.805: True, 0.85: True}
+    pairs = [(similarity, *with_jaccard(f"{similarity}k{k}", similarity)) for similarity in cases for k in range(60)]
+    assert all((exact >= 0.8) == cases[similarity] for similarity, _, _, exact in pairs)
+    rows = [(2 * k + side, pair[1 + side]) for k, pair in enumerate(pairs) for side in (0, 1)]
+    root = {r._row: r.root for r in similar.groups(spark.createDataFrame(rows, "_row long, text string"), "_row", "text").collect()}
+    linked = {similarity: sum(root[2 * k + 1] == 2 * k for k, pair in enumerate(pairs) if pair[0] == similarity) for similarity in cases}
+    assert linked == {similarity: 60 * yes for similarity, yes in cases.items()}
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------------------
 
 
