@@ -82,14 +82,51 @@ def _dealt(bits: int):
     return run
 
 
+def _cut(lo: np.ndarray, hi: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges in pieces of at most step: of which range, from, to."""
+    n = -(-(hi - lo) // step)
+    of = np.repeat(np.arange(len(lo)), n)
+    start = lo[of] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step[of]
+    return of, start, np.minimum(start + step[of], hi[of])
+
+
+def _blocks(q_lo: np.ndarray, q_hi: np.ndarray, m_lo: np.ndarray, m_hi: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All of each range of q with all of the range of m beside it, in blocks of at most twice so many pairs, however long a range is."""
+    of, m_lo, m_hi = _cut(m_lo, m_hi, np.full(len(m_lo), most))
+    again, q_lo, q_hi = _cut(q_lo[of], q_hi[of], most // np.maximum(m_hi - m_lo, 1))
+    m_lo, m_hi = m_lo[again], m_hi[again]
+    sizes = (q_hi - q_lo) * (m_hi - m_lo)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1, [len(sizes)]])
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        if lo < hi:
+            size, each = sizes[lo:hi], np.repeat(m_hi[lo:hi] - m_lo[lo:hi], sizes[lo:hi])
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            yield np.repeat(q_lo[lo:hi], size) + within // each, np.repeat(m_lo[lo:hi], size) + within % each
+
+
 class _Grouped:
-    """Rows of a cell by slice value: those of uniq[u] are order[starts[u]:starts[u + 1]]."""
+    """Rows of a cell by slice value, then label: of uniq[u] starts[u] to starts[u + 1]; those of one label too from subs[k] to subs[k + 1]."""
 
     def __init__(self, values: np.ndarray, keys: np.ndarray, labels: np.ndarray, prints: np.ndarray):
-        self.keys, self.labels, self.prints = keys, labels, prints
-        self.uniq, at = np.unique(values, return_inverse=True)
-        self.order = np.argsort(at, kind="stable")
-        self.starts = np.searchsorted(at[self.order], np.arange(len(self.uniq) + 1))
+        order = np.lexsort((keys, labels, values))
+        values, self.keys, self.labels, self.prints = values[order], keys[order], labels[order], prints[order]
+        self.uniq, starts = np.unique(values, return_index=True)
+        self.starts = np.append(starts, len(values))
+        changed = (np.diff(values) != 0) | (np.diff(self.labels) != 0)
+        self.subs = np.concatenate([[0], np.flatnonzero(changed) + 1, [len(values)]]) if len(values) else np.zeros(1, dtype=np.int64)
+        self.sub_starts = np.searchsorted(self.subs, self.starts)
+
+    def choose_pivots(self, limit: int, few: int = 16) -> None:
+        """Of few rows of a value all are pivots; of more, so many that each row is one or is within the limit of one."""
+        is_pivot = np.ones(len(self.keys), dtype=bool)
+        for u in np.flatnonzero(np.diff(self.starts) > few):
+            rest = np.arange(self.starts[u], self.starts[u + 1])
+            is_pivot[rest] = False
+            while len(rest):
+                is_pivot[rest[0]] = True
+                rest = rest[1:][np.bitwise_count(self.prints[rest[1:]] ^ self.prints[rest[0]]).sum(axis=1) > limit]
+        self.is_pivot, self.pivots = is_pivot, np.flatnonzero(is_pivot)
+        self.pivot_starts = np.searchsorted(self.pivots, self.starts)
 
 
 def _chosen(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,47 +142,76 @@ def _chosen(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np
 def _candidates(limit: int, every: bool, most_pairs: int = 1 << 16):
     """Rows (cell, role, value, key, label, print) sorted by cell and role, members (role 0) first -> candidates a, b of d differing bits.
 
-    every: all those of different labels. Otherwise of each fingerprint, as a, the smallest and the nearest b.
+    every: all those of different labels; groups of one value and label are left out whole. Otherwise of each fingerprint, as a, the smallest and the
+    nearest b; where many have one value they meet only pivots, so a group of near copies costs in proportion to its size, but each that has a candidate gets one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, parts, held = None, [], None
 
-        def near(q: _Grouped, m: _Grouped, x: np.ndarray, y: np.ndarray, inner: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            keep = q.labels[x] != m.labels[y]
-            if inner:
-                keep &= y < x
-            x, y = x[keep], y[keep]
-            d = np.zeros(len(x), dtype=np.int64)
-            for at in range(0, len(x), most_pairs):
-                s = slice(at, at + most_pairs)
-                d[s] = np.bitwise_count(q.prints[x[s]] ^ m.prints[y[s]]).sum(axis=1)
+        def near(q: _Grouped, m: _Grouped, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            d = np.bitwise_count(q.prints[x] ^ m.prints[y]).sum(axis=1).astype(np.int64)
             keep = d <= limit
-            return q.keys[x[keep]], m.keys[y[keep]], d[keep]
+            return x[keep], y[keep], d[keep]
+
+        def to_pivots(q: _Grouped, m: _Grouped, qu: np.ndarray, mu: np.ndarray, inner: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            alone = np.ones(len(q.keys), dtype=bool)
+            for x, k in _blocks(q.starts[qu], q.starts[qu + 1], m.pivot_starts[mu], m.pivot_starts[mu + 1], most_pairs):
+                y = m.pivots[k]
+                if inner:
+                    keep = np.where(q.is_pivot[x], y < x, True)
+                    x, y = x[keep], y[keep]
+                x, y, d = near(q, m, x, y)
+                alone[x] = False
+                yield x, y, d
+            if inner:  # whatever is near a row that is no pivot is a pivot or near one, and that row is, too
+                return
+            more = np.flatnonzero(m.pivot_starts[mu + 1] - m.pivot_starts[mu] < m.starts[mu + 1] - m.starts[mu])
+            of, x, _ = _cut(q.starts[qu[more]], q.starts[qu[more] + 1], np.ones(len(more), dtype=np.int64))
+            of, x = of[alone[x]], x[alone[x]]
+            for x, y in _blocks(x, x + 1, m.starts[mu[more[of]]], m.starts[mu[more[of]] + 1], most_pairs):
+                yield near(q, m, x, y)
+
+        def across_labels(q: _Grouped, m: _Grouped, qu: np.ndarray, mu: np.ndarray, inner: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for s, t in _blocks(q.sub_starts[qu], q.sub_starts[qu + 1], m.sub_starts[mu], m.sub_starts[mu + 1], most_pairs):
+                keep = q.labels[q.subs[s]] != m.labels[m.subs[t]]
+                if inner:
+                    keep &= t < s
+                s, t = s[keep], t[keep]
+                for x, y in _blocks(q.subs[s], q.subs[s + 1], m.subs[t], m.subs[t + 1], most_pairs):
+                    yield near(q, m, x, y)
+
+        def batch_of(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "d"])
 
         def found(q: _Grouped, inner: bool) -> Iterator[pa.RecordBatch]:
             index, m = held
             for qu, mu in index.search(q.uniq.astype(np.uint64) << np.uint64(64 - WIDTH), RADIUS, 512):
-                sizes = (q.starts[qu + 1] - q.starts[qu]) * (m.starts[mu + 1] - m.starts[mu])
-                edges = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // most_pairs)) + 1, [len(qu)]])
-                for lo, hi in zip(edges, edges[1:], strict=False):
-                    if lo == hi:
+                pending, size = [], 0
+                for x, y, d in (across_labels if every else to_pivots)(q, m, qu, mu, inner):
+                    if not len(x):
+                        continue
+                    if every:
+                        yield batch_of((q.keys[x], m.keys[y], d))
                         continue
-                    size = sizes[lo:hi]
-                    pair = np.repeat(np.arange(lo, hi), size)
-                    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    each = np.repeat(m.starts[mu[lo:hi] + 1] - m.starts[mu[lo:hi]], size)
-                    x = q.order[q.starts[qu[pair]] + within // each]
-                    y = m.order[m.starts[mu[pair]] + within % each]
-                    a, b, d = near(q, m, x, y, inner)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in ((a, b, d) if every else _chosen(a, b, d))], ["a", "b", "d"])
+                    pending.append(_chosen(q.keys[x], m.keys[y], d))
+                    size += len(pending[-1][0])
+                    if size > 4 * most_pairs:
+                        pending = [_chosen(*(np.concatenate(c) for c in zip(*pending, strict=True)))]
+                        size = len(pending[0][0])
+                        if size > 2 * most_pairs:
+                            yield batch_of(pending[0])
+                            pending, size = [], 0
+                if pending:
+                    yield batch_of(_chosen(*(np.concatenate(c) for c in zip(*pending, strict=True))))
 
         def build() -> Iterator[pa.RecordBatch]:
             nonlocal parts, held
             columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros((0, WORDS64) if k == 3 else 0, dtype=np.uint64 if k == 3 else np.int64) for k in range(4)]
             parts = []
             members = _Grouped(*columns)
+            if not every:
+                members.choose_pivots(limit)
             held = (GrayIndex(members.uniq.astype(np.uint64) << np.uint64(64 - WIDTH)), members)
             yield from found(members, True)
 

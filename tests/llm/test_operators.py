@@ -5,9 +5,11 @@ from __future__ import annotations
 import functools
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,11 +238,41 @@ def test_similar_decides_by_the_sets(spark):
     pairs = [(similarity, *with_jaccard(f"{similarity}k{k}", similarity)) for similarity in cases for k in range(60)]
     assert all((exact >= 0.8) == cases[similarity] for similarity, _, _, exact in pairs)
     rows = [(2 * k + side, pair[1 + side]) for k, pair in enumerate(pairs) for side in (0, 1)]
-    root = {r._row: r.root for r in similar.groups(spark.createDataFrame(rows, "_row long, text string"), "_row", "text").collect()}
+    root = {r._row: r.root for r in similar.groups(spark.createDataFrame(rows, "_row long, text string"), "_row", "text", per_cell=1 << 7).collect()}
     linked = {similarity: sum(root[2 * k + 1] == 2 * k for k, pair in enumerate(pairs) if pair[0] == similarity) for similarity in cases}
     assert linked == {similarity: 60 * yes for similarity, yes in cases.items()}
 
 
+def candidates(values, labels, prints, every):
+    """Of one cell of members, in one task; the most memory that it took in MB."""
+    n = len(values)
+    columns = [pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(values), pa.array(np.arange(n)), pa.array(labels), pa.array([p.tobytes() for p in prints], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["cell", "role", "value", "key", "label", "print"])
+    tracemalloc.start()
+    got = [(a, b) for out in similar._candidates(similar.most_bits(0.8), every)(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return got, peak
+
+
+def test_similar_with_many_of_one_slice_value():
+    n, rng = 4000, np.random.default_rng(3)
+    flips = rng.integers(0, 504, (n, 20))
+    bits = np.zeros((n, 512), dtype=np.uint8)
+    bits[np.arange(n)[:, None], flips] = 1
+    prints = np.packbits(bits, axis=1).view(np.uint64)
+    one = np.zeros(n, dtype=np.int64)
+    got, peak = candidates(one, np.arange(n), prints, False)
+    assert {a for a, _ in got} == set(range(n)) and len(got) <= 4 * n and peak < 100
+    got, peak = candidates(one, np.where(np.arange(n) < n - 3, 0, np.arange(n)), prints, True)
+    assert len(got) == len(set(got)) == 3 * (n - 3) + 3 and peak < 100
+    apart = rng.integers(0, 1 << 63, (60, 8), dtype=np.uint64)  # none near another, but for copies of one that differ in a bit
+    apart[1::2] = apart[::2] ^ np.uint64(1)
+    for every in (False, True):
+        got, _ = candidates(one[:60], np.arange(60), apart, every)
+        assert {(min(p), max(p)) for p in got} == {(k, k + 1) for k in range(0, 60, 2)}
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------------------
 
 
