@@ -184,7 +184,7 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
                     if not node:
                         del out[a]
                         ends.append(a)
-        return pd.DataFrame({"key": [graph["key"].iloc[0]] * len(out), "node": list(out)})
+        return pd.DataFrame({"key": [graph["key"].iloc[0]] * len(out), "node": list(out)}, dtype=object)  # strings of pandas may come in chunks, which Spark refuses
 
     kind = edges.schema["a"].dataType.simpleString()
     return edges.select("key", "a", "b").distinct().groupBy("key").applyInPandas(peel, f"key {edges.schema['key'].dataType.simpleString()}, node {kind}")

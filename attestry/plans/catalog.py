@@ -331,6 +331,19 @@ def cycle_nodes(read):
     return relations.cycle_nodes(events.selectExpr("event_type AS key", "user_id % 150 AS a", "CAST(get_json_object(props, '$.k') AS BIGINT) AS b"))
 
 
+@query("""
+WITH RECURSIVE edges AS (
+  SELECT DISTINCT event_type AS key, user_id AS a, CAST(json_extract(props, '$.k') AS BIGINT) AS b FROM events),
+reach AS (SELECT key, a, b FROM edges UNION SELECT r.key, r.a, e.b FROM reach r JOIN edges e ON r.key = e.key AND r.b = e.a),
+looped AS (SELECT DISTINCT key, a FROM reach WHERE a = b)
+SELECT DISTINCT r.key, r.a AS node FROM reach r JOIN looped l ON r.key = l.key AND r.b = l.a
+""")
+def cycle_nodes_all(read):
+    """As cycle_nodes, of all events and users."""
+    events = read("events", "event_type", "user_id", "props")
+    return relations.cycle_nodes(events.selectExpr("event_type AS key", "user_id AS a", "CAST(get_json_object(props, '$.k') AS BIGINT) AS b"))
+
+
 @query("""
 SELECT o.o_orderkey AS o_orderkey, coalesce(p.o_orderkey, -1) AS prior, p.o_custkey IS DISTINCT FROM o.o_custkey AS other_owner FROM orders o LEFT JOIN orders p ON p.o_orderkey = o.o_orderkey - 7 WHERE p.o_custkey IS NULL OR p.o_custkey <> o.o_custkey
 """)
