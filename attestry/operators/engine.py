@@ -1,75 +1,128 @@
-"""Entry points: whole documents in, issues and verdicts out."""
+"""Entry points: whole documents in, issues and verdicts out.
+
+The issues of a call are computed before it returns, and checkpointed: the documents are parsed and dealt out by key once, the tables of their parts
+are cached dealt out so, and rules are looked at, a few tables of issues a job, without another shuffle. A null key is a key like any other.
+"""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions import staging
 from attestry.functions import values as V
 from attestry.operators import parts, relations
 from attestry.operators.messages import MESSAGES
-from attestry.operators.structure import At
+from attestry.operators.structure import At, Check
 
-ISSUES = "key string, path string, code string"
+#: So many tables of issues are looked at in one job: a task carries the expressions of them all.
+TOGETHER = 6
+ISSUES = "key string, path string, code string, message string"
 
 
 class LedgerError(ValueError):
     """Documents that break rules, with the formatted issues of each."""
 
 
-def _parsed(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.selectExpr("key", *(f"try_parse_json({c}) AS {c}" for c in columns))
+def messages(product: str) -> dict[str, str]:
+    """What each issue code means; one code has the product's name."""
+    return {(f"{product}_version_missing" if code == "product_version_missing" else code): text for code, text in MESSAGES.items()}
+
+
+def _named(product: str) -> str:
+    if not re.fullmatch("[a-z][a-z0-9_]*", product):
+        raise ValueError("a product's name is a lower-case word")
+    return product
+
+
+def _parsed(docs: DataFrame, rules: relations.Rules, *columns: str) -> DataFrame:
+    """key and the columns as VARIANT, null where they are no JSON; dealt out by key, and kept."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rules.keep(docs.selectExpr("CAST(key AS STRING) AS key", *columns).repartition(partitions, "key").selectExpr("key", *(f"try_parse_json({c}) AS {c}" for c in columns)))
 
 
 def _structural(rows: DataFrame, check: str) -> DataFrame:
     return rows.selectExpr("key", f"explode({check}) AS i").select("key", "i.path", "i.code")
 
 
+def _elements(rows: DataFrame, v: str, path: str, checks: dict[str, Check]) -> list[DataFrame]:
+    """The structural issues of the elements of a document's arrays."""
+    found = []
+    for name, check in checks.items():
+        listed = rows.selectExpr("key", f"posexplode({V.items(V.get(v, name))}) AS (at, item)").selectExpr("key", "item", f"concat('{path}.{name}[', at, ']') AS path")
+        found.append(_structural(listed, check(At("item", "path"))))
+    return found
+
+
 def _unreadable(rows: DataFrame, column: str) -> DataFrame:
     """A document that is no JSON at all has this one issue."""
     return rows.where(f"{column} IS NULL").selectExpr("key", "'$' AS path", "'parser_exception' AS code")
 
 
-def _issues(tables: list[DataFrame]) -> DataFrame:
-    union = reduce(DataFrame.unionByName, tables)
-    text = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
-    return union.withColumn("message", F.coalesce(F.try_element_at(text, F.col("code")), F.lit("The document breaks a rule.")))
+def computed(docs: DataFrame, rules_of, product: str) -> DataFrame:
+    """The issues of all tables that rules_of(rules) returns. Tables dealt out by key meet by (key, id) as they are, which Spark has a setting for."""
+    spark = docs.sparkSession
+    rules = relations.Rules(spark)
+    own = {"spark_sql_requireAllClusterKeysForCoPartition": "false", "spark_sql_optimizer_canChangeCachedPlanOutputPartitioning": "false", "spark_sql_autoBroadcastJoinThreshold": "-1"}
+    with staging.settings(spark, **own):
+        try:
+            tables = [*rules_of(rules), *rules.tables]
+            groups = [reduce(DataFrame.unionByName, tables[k : k + TOGETHER]) for k in range(0, len(tables), TOGETHER)]
+            issues = reduce(DataFrame.unionByName, [staging.checkpointed(g) for g in groups])
+        finally:
+            rules.release()
+    text = F.create_map(*[F.lit(x) for pair in messages(product).items() for x in pair])
+    return issues.withColumn("message", F.try_element_at(text, F.col("code")))
 
 
-def validate_context(docs: DataFrame) -> DataFrame:
+def validate_context(docs: DataFrame, product: str = parts.PRODUCT) -> DataFrame:
     """docs: key, raw (a canonical source context as JSON text). Returns issues: key, path, code, message."""
-    rows = _parsed(docs, "raw")
-    read = rows.where("raw IS NOT NULL")
-    rules = relations.Rules(docs.sparkSession)
-    relations.canonical(read, "raw", "$", rules)
-    return _issues([_unreadable(rows, "raw"), _structural(read, parts.context(At("raw", "'$'"))), *rules.tables])
+
+    def rules_of(rules: relations.Rules) -> list[DataFrame]:
+        rows = _parsed(docs, rules, "raw")
+        read = rows.where("raw IS NOT NULL")
+        relations.canonical(read, "raw", "$", rules)
+        return [_unreadable(rows, "raw"), _structural(read, parts.context(At("raw", "'$'"))), *_elements(read, "raw", "$", parts.CONTEXT_ELEMENTS)]
+
+    return computed(docs, rules_of, _named(product))
 
 
-def validate_draft(docs: DataFrame) -> DataFrame:
+def validate_draft(docs: DataFrame, product: str = parts.PRODUCT) -> DataFrame:
     """docs: key, raw (a model draft), context (its canonical sources). Without a context that is an object only that is reported."""
-    rows = _parsed(docs, "raw", "context")
-    bad = _unreadable(rows, "raw").unionByName(_unreadable(rows, "context")).distinct()
-    read = rows.where("raw IS NOT NULL AND context IS NOT NULL")
-    usable = read.where(V.is_object("context"))
-    rules = relations.Rules(docs.sparkSession)
-    known = relations.canonical(read, "context", "$context", rules)
-    relations.analysis(usable.selectExpr("key", "raw AS a"), "a", "$", known, False, rules)
-    return _issues([bad, _structural(read, parts.context(At("context", "'$context'"))), _structural(usable, parts.analysis(False)(At("raw", "'$'"))), *rules.tables])
 
+    def rules_of(rules: relations.Rules) -> list[DataFrame]:
+        rows = _parsed(docs, rules, "raw", "context")
+        bad = rows.where("raw IS NULL OR context IS NULL").selectExpr("key", "'$' AS path", "'parser_exception' AS code")
+        read = rows.where("raw IS NOT NULL AND context IS NOT NULL")
+        usable = read.where(V.is_object("context"))
+        known = relations.canonical(read, "context", "$context", rules)
+        relations.analysis(usable.selectExpr("key", "raw AS a"), "a", "$", known, False, rules)
+        shapes = [_structural(read, parts.context(At("context", "'$context'"))), _structural(usable, parts.analysis(False, product)(At("raw", "'$'")))]
+        return [bad, *shapes, *_elements(read, "context", "$context", parts.CONTEXT_ELEMENTS), *_elements(usable, "raw", "$", parts.analysis_elements(False, product))]
 
-def validate_pack(docs: DataFrame) -> DataFrame:
+    return computed(docs, rules_of, _named(product))
+
+
+def validate_pack(docs: DataFrame, product: str = parts.PRODUCT) -> DataFrame:
     """docs: key, raw (an action pack as JSON text). Returns issues: key, path, code, message."""
-    rows = _parsed(docs, "raw").withColumnRenamed("raw", "doc")
-    read = rows.where("doc IS NOT NULL").selectExpr("key", "doc", *(f"{V.get('doc', k)} AS {n}" for k, n in (("canonicalSources", "context"), ("analysis", "analysis"), ("receipt", "receipt"), ("corrections", "corrections"))))
-    rules = relations.Rules(docs.sparkSession)
-    known = relations.canonical(read, "context", "$.canonicalSources", rules)
-    usable = read.where(f"{V.is_object('doc')} AND {V.is_object('context')}")
-    found = relations.analysis(usable.select("key", "analysis"), "analysis", "$.analysis", known, True, rules)
-    ledger = relations.receipt(usable.select("key", "analysis", "receipt"), known, found, rules)
-    relations.corrections(usable, known, found, ledger["events"], rules)
-    return _issues([_unreadable(rows, "doc"), _structural(read, parts.pack(At("doc", "'$'"))), *rules.tables])
+
+    def rules_of(rules: relations.Rules) -> list[DataFrame]:
+        rows = _parsed(docs, rules, "raw").withColumnRenamed("raw", "doc")
+        read = rows.where("doc IS NOT NULL").selectExpr("key", "doc", *(f"{V.get('doc', k)} AS {n}" for k, n in (("canonicalSources", "context"), ("analysis", "analysis"), ("receipt", "receipt"), ("corrections", "corrections"))))
+        known = relations.canonical(read, "context", "$.canonicalSources", rules)
+        usable = read.where(f"{V.is_object('doc')} AND {V.is_object('context')}")
+        found = relations.analysis(usable.select("key", "analysis"), "analysis", "$.analysis", known, True, rules)
+        ledger = relations.receipt(usable.select("key", "analysis", "receipt"), known, found, product, rules)
+        relations.corrections(usable, known, found, ledger["events"], rules)
+        return [
+            _unreadable(rows, "doc"), _structural(read, parts.pack(At("doc", "'$'"), product)), *_elements(read, "context", "$.canonicalSources", parts.CONTEXT_ELEMENTS), *_elements(usable, "analysis", "$.analysis", parts.analysis_elements(True, product)),
+            *_elements(usable, "receipt", "$.receipt", parts.receipt_elements(product)), *_elements(usable, "doc", "$", {"corrections": parts.correction}),
+        ]
+
+    return computed(docs, rules_of, _named(product))
 
 
 def verdicts(docs: DataFrame, issues: DataFrame) -> DataFrame:

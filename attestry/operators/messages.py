@@ -111,7 +111,7 @@ retention_event_not_completed | An event that failed proves nothing.
 retention_event_time_mismatch | The record and its event differ in time.
 retention_actor_mismatch | The event has the wrong actor for this state.
 retention_subject_mismatch | The event is about something else.
-paperwork_version_missing | The main component is not named.
+product_version_missing | The main component is not named.
 validator_version_missing | The citation validator is not named.
 external_reference_in_source_only_mode | Analysis of sources only has outside references.
 summary_mismatch | The declared count is not the counted one.

@@ -1,13 +1,20 @@
-"""The parts of a document: their members and the rules that need nothing but the part itself. Names, bounds and choices are fixed values."""
+"""The parts of a document: their members and the rules that need nothing but the part itself.
+
+Names, bounds and choices are fixed values of the format. The product that makes documents has a name of its own choice, from which a few of the
+format's values are built: kinds of documents, a place, a subject, a component and a provenance.
+"""
 
 from __future__ import annotations
 
 from attestry.functions import values as V
-from attestry.operators.structure import At, both, bound, choices, day, digest, each, flag, found, given, ident, ids, integer, listed, literal, moment, one_of, plain, real, text, thing, token, url, variants
+from attestry.operators.structure import At, array_of, both, bound, choices, day, digest, each, flag, found, given, ident, ids, integer, listed, literal, moment, one_of, plain, real, text, thing, token, url, variants
+
+#: The product's name where none is given.
+PRODUCT = "ledger"
 
+# Fixed values of the format.
 EPSILON = "2.220446049250313e-16D"
 STATES = ("accepted", "needs_review", "blocked", "stale")
-LOCATIONS = ("browser", "device", "paperwork_service", "provider")
 CATEGORIES = ("full_file", "page_images", "extracted_text", "redacted_text", "document_metadata", "user_question")
 PROVENANCES = ("source_fact", "inference", "suggestion", "not_confirmed", "conflict")
 
@@ -16,6 +23,10 @@ def s(at: At, name: str) -> str:
     return V.string(V.get(at.v, name))
 
 
+def locations(product: str) -> tuple[str, ...]:
+    return ("browser", "device", f"{product}_service", "provider")
+
+
 # --- sources -----------------------------------------------------------------------------------------------------------------
 
 origin = variants("kind", {
@@ -61,7 +72,8 @@ anchor = variants("kind", {
 })
 extraction = thing({"method": one_of("native_text", "ocr", "web", "manual", "sample"), "engine": plain(128), "version": plain(128), "extractedAt": moment})
 segment = thing({"id": ident, "sourceId": ident, "sourceRevisionId": ident, "index": integer(0), "text": text(1, 200_000), "anchor": anchor, "extraction": extraction})
-context = thing({"sources": each(source, 1, 20), "sourceRevisions": each(revision, 1, 100), "sourceSegments": each(segment, 1, 10_000)})
+context = thing({"sources": array_of(1, 20), "sourceRevisions": array_of(1, 100), "sourceSegments": array_of(1, 10_000)})
+CONTEXT_ELEMENTS = {"sources": source, "sourceRevisions": revision, "sourceSegments": segment}
 
 # --- claims ------------------------------------------------------------------------------------------------------------------
 
@@ -164,11 +176,11 @@ def action_validation(at: At, timing_kind: str) -> str:
     return thing(_attested({"basis": one_of("passed", "failed"), "timing": one_of("passed", "failed", "not_applicable"), "safety": one_of("passed", "failed", "needs_review")}), more=own)(at)
 
 
-def action(validated: bool):
+def action(validated: bool, product: str):
     def more(at: At) -> str:
         imposed = both(
             not_imposed("requirement_not_source_imposed", "{p} = 'document_requirement'", "FALSE")(at),
-            not_imposed("suggestion_source_imposed", "{p} = 'paperwork_suggestion'")(at),
+            not_imposed("suggestion_source_imposed", f"{{p}} = '{product}_suggestion'")(at),
         )
         if not validated:
             return imposed
@@ -176,7 +188,7 @@ def action(validated: bool):
         return both(imposed, given(V.is_object(V.get(at.v, "timing")), action_validation(at["validation"], kind)))
 
     return thing(
-        {"id": ident, "provenance": one_of("document_requirement", "paperwork_suggestion"), "order": integer(0, 200), "priority": one_of("critical", "high", "normal", "low"), "title": plain(300), "description": plain(4000), "basisClaimIds": ids(1, 100), "requiredInputs": listed(plain(2000), 0, 100), "sourceImposed": flag, "execution": literal("manual_user_choice"), "timing": timing},
+        {"id": ident, "provenance": one_of("document_requirement", f"{product}_suggestion"), "order": integer(0, 200), "priority": one_of("critical", "high", "normal", "low"), "title": plain(300), "description": plain(4000), "basisClaimIds": ids(1, 100), "requiredInputs": listed(plain(2000), 0, 100), "sourceImposed": flag, "execution": literal("manual_user_choice"), "timing": timing},
         {"consequence": thing({"text": plain(2000), "basisClaimIds": ids(1, 100)})}, more, ["validation"] if validated else [],
     )
 
@@ -187,13 +199,17 @@ SECTIONS = ("briefClaimIds", "factClaimIds", "attentionClaimIds", "missingInform
 sections = thing(dict.fromkeys(SECTIONS, ids(0, 500)))
 
 
-def analysis(validated: bool):
+def analysis(validated: bool, product: str = PRODUCT):
     return thing({
-        "kind": literal("paperwork.validated_analysis" if validated else "paperwork.model_draft"), "schemaVersion": literal("1.0.0"), "analysisId": ident, "knowledgeMode": literal("source_only"), "sourceRevisionIds": ids(1, 100),
-        "document": document, "claims": each(claim(validated), 1, 500), "actions": each(action(validated), 0, 200), "questions": each(question, 0, 100), "sections": sections,
+        "kind": literal(f"{product}.validated_analysis" if validated else f"{product}.model_draft"), "schemaVersion": literal("1.0.0"), "analysisId": ident, "knowledgeMode": literal("source_only"), "sourceRevisionIds": ids(1, 100),
+        "document": document, "claims": array_of(1, 500), "actions": array_of(0, 200), "questions": array_of(0, 100), "sections": sections,
     })
 
 
+def analysis_elements(validated: bool, product: str = PRODUCT) -> dict:
+    return {"claims": claim(validated), "actions": action(validated, product), "questions": question}
+
+
 # --- the receipt -------------------------------------------------------------------------------------------------------------
 
 RELATED = ("source_admitted", "extraction_completed", "payload_previewed", "consent_recorded", "transfer_started", "transfer_completed", "analysis_completed", "validation_completed", "correction_recorded", "deletion_requested", "deletion_reported", "local_cleanup_completed")
@@ -205,39 +221,48 @@ def _needs(member: str, tag: str, tags: tuple[str, ...], code: str):
     return lambda at: found((f"{s(at, tag)} IN ({listed_}) AND NOT {V.has(at.v, member)}", at[member].path, code))
 
 
-event = thing(
-    {"id": ident, "sequence": integer(0, 1000), "occurredAt": moment, "type": one_of(*RELATED, "run_cancelled", "run_failed"), "status": one_of("completed", "failed", "cancelled"), "actor": thing({"location": one_of(*LOCATIONS), "name": plain(128)})},
-    {"relatedId": ident}, _needs("relatedId", "type", RELATED, "related_id_required"),
-)
 party = {"provider": plain(255), "model": plain(255)}
 scope = {"sourceRevisionIds": ids(0, 100), "segmentIds": ids(0, 10_000), "contentCategories": choices(*CATEGORIES), "redactions": listed(plain(2000), 0, 500)}
 consent = thing({"id": ident, "recordedAt": moment, "approvedBy": literal("user"), "recipient": plain(255), "previewDigest": digest, **scope}, party)
 policy = thing({"retention": one_of("none", "temporary", "provider_policy", "unknown"), "trainingUse": one_of("not_used", "may_be_used", "unknown"), "assertedBy": plain(255)}, {"policyUrl": url})
-transfer = thing({"id": ident, "consentId": ident, "startedAt": moment, "recipient": plain(255), "executionLocation": one_of(*LOCATIONS), "payloadDigest": digest, "payloadByteCount": integer(1), "providerPolicy": policy, **scope}, {"completedAt": moment, **party})
-retention = thing(
-    {"id": ident, "subject": one_of("browser", "device", "paperwork", "provider"), "state": one_of("not_stored", *OBSERVED, "status_unavailable"), "assertedBy": plain(255), "recordedAt": moment},
-    {"eventId": ident}, _needs("eventId", "state", OBSERVED, "retention_event_required"),
-)
-component = thing({"component": one_of("paperwork", "parser", "ocr", "prompt_template", "provider_model", "citation_validator"), "name": plain(255), "version": plain(128)})
 CLAIM_COUNTS = ("totalClaims", "accepted", "needsReview", "blocked", "stale")
 ACTION_COUNTS = ("totalActions", "acceptedActions", "needsReviewActions", "blockedActions", "staleActions")
 summary = thing({**dict.fromkeys(CLAIM_COUNTS, integer(0, 500)), **dict.fromkeys(ACTION_COUNTS, integer(0, 200))})
 reference = thing({"id": ident, "url": url, "title": plain(500), "accessedAt": moment})
+
+
 receipt = thing({
-    "id": ident, "createdAt": moment, "processingMode": one_of("sample", "browser_local", "desktop_local", "cloud_redacted", "cloud_full"), "events": each(event, 1, 1000), "consentRecords": each(consent, 0, 1000), "transfers": each(transfer, 0, 1000),
-    "retention": each(retention, 1, 1000), "components": each(component, 1, 50), "validationSummary": summary, "externalReferences": each(reference, 0, 100), "correctionIds": ids(0, 500),
+    "id": ident, "createdAt": moment, "processingMode": one_of("sample", "browser_local", "desktop_local", "cloud_redacted", "cloud_full"), "events": array_of(1, 1000), "consentRecords": array_of(0, 1000), "transfers": array_of(0, 1000),
+    "retention": array_of(1, 1000), "components": array_of(1, 50), "validationSummary": summary, "externalReferences": array_of(0, 100), "correctionIds": ids(0, 500),
 })
+
+
+def receipt_elements(product: str = PRODUCT) -> dict:
+    place = one_of(*locations(product))
+    event = thing(
+        {"id": ident, "sequence": integer(0, 1000), "occurredAt": moment, "type": one_of(*RELATED, "run_cancelled", "run_failed"), "status": one_of("completed", "failed", "cancelled"), "actor": thing({"location": place, "name": plain(128)})},
+        {"relatedId": ident}, _needs("relatedId", "type", RELATED, "related_id_required"),
+    )
+    transfer = thing({"id": ident, "consentId": ident, "startedAt": moment, "recipient": plain(255), "executionLocation": place, "payloadDigest": digest, "payloadByteCount": integer(1), "providerPolicy": policy, **scope}, {"completedAt": moment, **party})
+    retention = thing(
+        {"id": ident, "subject": one_of("browser", "device", product, "provider"), "state": one_of("not_stored", *OBSERVED, "status_unavailable"), "assertedBy": plain(255), "recordedAt": moment},
+        {"eventId": ident}, _needs("eventId", "state", OBSERVED, "retention_event_required"),
+    )
+    component = thing({"component": one_of(product, "parser", "ocr", "prompt_template", "provider_model", "citation_validator"), "name": plain(255), "version": plain(128)})
+    return {"events": event, "consentRecords": consent, "transfers": transfer, "retention": retention, "components": component, "externalReferences": reference}
+
+
 correction = thing({
     "id": ident, "sourceId": ident, "priorRevisionId": ident, "targetSegmentId": ident, "targetSpan": span, "originalText": text(1, 20_000), "replacement": text(1, 20_000), "actor": literal("user"), "createdAt": moment,
     "resultingRevisionId": ident, "invalidatedClaimIds": ids(1, 500), "regeneratedClaimIds": ids(0, 500),
 })
 
 
-def pack(at: At) -> str:
+def pack(at: At, product: str = PRODUCT) -> str:
     """A whole document. Without a context that is an object, only the envelope and the limitations are looked at."""
-    rest = both(analysis(True)(at["analysis"]), receipt(at["receipt"]), each(correction, 0, 500)(at["corrections"]))
+    rest = both(analysis(True, product)(at["analysis"]), receipt(at["receipt"]), array_of(0, 500)(at["corrections"]))
     envelope = thing(
-        {"kind": literal("paperwork.action_pack"), "schemaVersion": literal("1.0.0"), "packId": ident, "createdAt": moment, "runMode": one_of("sample_fixture", "live"), "canonicalSources": context, "limitations": listed(plain(2000), 1, 100)},
+        {"kind": literal(f"{product}.action_pack"), "schemaVersion": literal("1.0.0"), "packId": ident, "createdAt": moment, "runMode": one_of("sample_fixture", "live"), "canonicalSources": context, "limitations": listed(plain(2000), 1, 100)},
         more=lambda at: given(V.is_object(V.get(at.v, "canonicalSources")), rest), open_keys=["analysis", "receipt", "corrections"],
     )
     return envelope(at)

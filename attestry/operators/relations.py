@@ -2,12 +2,13 @@
 
 Every table has the document's key, so every join is an equi-join on (key, id): nothing is joined across documents, and no document is
 collected. The tables are cut from the parsed documents by posexplode; each keeps the part as a VARIANT and the few columns that joins need.
+
+Documents are dealt out by key once. The tables of parts are cached, still dealt out so, and joins, windows and totals by (key, id) find their rows where
+they are (see engine.computed).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,23 +30,39 @@ def _members(parts: DataFrame, name: str, where: str = "TRUE", suffix: str | Non
     return listed.selectExpr("key", "idx", "v", f"concat(path, '.{suffix or name}[', at, ']') AS path", f"{V.string('item')} AS ref").where("ref IS NOT NULL")
 
 
-def _first(parts: DataFrame, by: str = "id", last: bool = False) -> DataFrame:
-    """The first (or last) part with each well-formed id."""
-    order = "idx DESC" if last else "idx"
-    well = parts.where(f"{by} RLIKE '{V.ID}'") if not last else parts.where(f"{by} IS NOT NULL")
-    return well.selectExpr("*", f"row_number() OVER (PARTITION BY key, {by} ORDER BY {order}) AS nth").where("nth = 1").drop("nth")
+def _first(parts: DataFrame) -> DataFrame:
+    """The first part with each well-formed id."""
+    return parts.where(f"nth = 1 AND id RLIKE '{V.ID}'").drop("nth")
+
+
+def _last(parts: DataFrame) -> DataFrame:
+    """The last part with each id."""
+    return parts.where("id IS NOT NULL").drop("nth").selectExpr("*", "row_number() OVER (PARTITION BY key, id ORDER BY idx DESC) AS nth").where("nth = 1").drop("nth")
 
 
 def _again(parts: DataFrame) -> DataFrame:
     """Parts whose well-formed id a former part of the document has."""
-    return parts.where(f"id RLIKE '{V.ID}'").selectExpr("key", "concat(path, '.id') AS path", "row_number() OVER (PARTITION BY key, id ORDER BY idx) AS nth").where("nth > 1").selectExpr("key", "path", "'duplicate_id' AS code")
+    return parts.where(f"nth > 1 AND id RLIKE '{V.ID}'").selectExpr("key", "concat(path, '.id') AS path", "'duplicate_id' AS code")
 
 
 class Rules:
-    """Collects issue tables (key, path, code)."""
+    """Collects issue tables (key, path, code), and the cached tables that they are computed from."""
 
     def __init__(self, spark):
-        self.spark, self.tables = spark, []
+        self.spark, self.tables, self.cached = spark, [], []
+
+    def keep(self, parts: DataFrame) -> DataFrame:
+        """Computed once, and kept dealt out by key until the issues are there; what is lost is computed again."""
+        self.cached.append(parts.persist())
+        return self.cached[-1]
+
+    def numbered(self, parts: DataFrame) -> DataFrame:
+        """Parts with how many of the document have had their id so far (nth), kept."""
+        return self.keep(parts.selectExpr("*", "row_number() OVER (PARTITION BY key, id ORDER BY idx) AS nth"))
+
+    def release(self) -> None:
+        for table in self.cached:
+            table.unpersist()
 
     def add(self, query: str, **tables: DataFrame) -> None:
         self.tables.append(self.spark.sql(query, **tables).select("key", "path", "code"))
@@ -65,12 +82,12 @@ def joined(left: DataFrame, right: DataFrame, ref: str, prefix: str, columns: di
 def canonical(base: DataFrame, v: str, path: str, rules: Rules) -> dict[str, DataFrame]:
     """Sources, revisions and segments of documents whose context is an object; first-wins tables of each."""
     base = base.where(V.is_object(v))
-    src = _exploded(base, V.get(v, "sources"), f"'{path}.sources'", f"{st('id')} AS id")
-    rev = _exploded(base, V.get(v, "sourceRevisions"), f"'{path}.sourceRevisions'", f"{st('id')} AS id", f"{st('sourceId')} AS source", f"{st('supersedesRevisionId')} AS prior", f"{st('status')} AS status", f"{V.string(V.get(V.get('v', 'fingerprint'), 'value'))} AS print")
-    seg = _exploded(
+    src = rules.numbered(_exploded(base, V.get(v, "sources"), f"'{path}.sources'", f"{st('id')} AS id"))
+    rev = rules.numbered(_exploded(base, V.get(v, "sourceRevisions"), f"'{path}.sourceRevisions'", f"{st('id')} AS id", f"{st('sourceId')} AS source", f"{st('supersedesRevisionId')} AS prior", f"{st('status')} AS status", f"{V.string(V.get(V.get('v', 'fingerprint'), 'value'))} AS print"))
+    seg = rules.numbered(_exploded(
         base, V.get(v, "sourceSegments"), f"'{path}.sourceSegments'", f"{st('id')} AS id", f"{st('sourceId')} AS source", f"{st('sourceRevisionId')} AS revision", f"{st('text')} AS text", f"to_json({V.get('v', 'index')}) AS place",
         f"{V.string(V.get(V.get('v', 'extraction'), 'method'))} AS method", f"{V.string(V.get(V.get('v', 'anchor'), 'kind'))} AS anchor", f"{V.number(V.get(V.get('v', 'anchor'), 'page'))} AS page",
-    )
+    ))
     rules.tables += [_again(x) for x in (src, rev, seg)]
     sources, revisions, segments = _first(src), _first(rev), _first(seg)
 
@@ -97,13 +114,12 @@ def analysis(base: DataFrame, a: str, path: str, known: dict[str, DataFrame], va
     """base: key and the analysis. Claims, actions, questions, pointers and sections."""
     base = base.where(V.is_object(a))
     shown = RENDERABLE if validated else "TRUE"
-    own = base.selectExpr("key", f"0 AS idx", f"{a} AS v", f"'{path}' AS path")
-    analyzed = _members(own, "sourceRevisionIds")
+    own = base.selectExpr("key", "0 AS idx", f"{a} AS v", f"'{path}' AS path")
+    analyzed = rules.keep(_members(own, "sourceRevisionIds"))
     rules.raised(joined(analyzed, known["revisions"], "ref", "r", {"status": "status"}), ("r_found IS NULL", "path", "dangling_revision"), ("r_found AND NOT r_status <=> 'active'", "path", "stale_revision"))
     allowed = analyzed.select("key", "ref").distinct()
 
-    clm = _exploded(base, V.get(a, "claims"), f"'{path}.claims'", f"{st('id')} AS id", f"{st('provenance')} AS provenance", f"{shown} AS shown")
-    act = _exploded(base, V.get(a, "actions"), f"'{path}.actions'", f"{st('id')} AS id", f"{st('provenance')} AS provenance", f"{shown} AS shown")
+    clm, act = (rules.numbered(_exploded(base, V.get(a, k), f"'{path}.{k}'", f"{st('id')} AS id", f"{st('provenance')} AS provenance", f"{shown} AS shown")) for k in ("claims", "actions"))
     rules.tables += [_again(clm), _again(act)]
     claims, actions = _first(clm), _first(act)
     claim_columns = {"provenance": "provenance", "shown": "shown", "v": "v"}
@@ -136,7 +152,7 @@ def analysis(base: DataFrame, a: str, path: str, known: dict[str, DataFrame], va
     bases = _members(clm.where("provenance = 'inference'"), "basisClaimIds")
     refer(bases, ("c_found AND NOT coalesce(c_provenance IN ('source_fact', 'inference'), FALSE)", "path", "invalid_inference_basis"))
     refer(_members(clm.where("provenance = 'suggestion'"), "basisClaimIds"), ("c_provenance = 'suggestion'", "path", "suggestion_chain"))
-    _cycles(clm, path, rules)
+    rules.tables.append(_back_edges(clm).selectExpr("key", f"'{path}.claims' AS path", "'claim_cycle' AS code"))
 
     refer(_members(act, "basisClaimIds"), (f"c_found AND {st('provenance')} = 'document_requirement' AND NOT c_provenance <=> 'source_fact'", "path", "requirement_needs_source_fact"))
     timing = V.get("v", "timing")
@@ -164,38 +180,39 @@ def analysis(base: DataFrame, a: str, path: str, known: dict[str, DataFrame], va
     return {"claims": clm, "actions": act, "analyzed": allowed}
 
 
-def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """edges: key, a, b. Nodes (key, node) left when those that lead only to ends have been peeled off: they are on a cycle or lead to one.
+def _back_edges(claims: DataFrame) -> DataFrame:
+    """key, node: an inference that a depth-first walk over bases meets while it is still on the way down from it, once for every such meeting.
 
-    Each document's graph is small (at most 500 nodes); documents are independent groups.
+    Of inferences with one id the last one's bases count, at the place of the first. A walk is over one document's inferences, a part of one row.
     """
-
-    def peel(graph: pd.DataFrame) -> pd.DataFrame:
-        out = graph.groupby("a")["b"].agg(set).to_dict()
-        back: dict = {}
-        for a, b in zip(graph["a"], graph["b"], strict=True):
-            back.setdefault(b, set()).add(a)
-        ends = [n for n in back if n not in out]
-        while ends:
-            for a in back.get(ends.pop(), ()):
-                node = out.get(a)
-                if node is not None:
-                    node -= {b for b in node if b not in out}
-                    if not node:
-                        del out[a]
-                        ends.append(a)
-        return pd.DataFrame({"key": [graph["key"].iloc[0]] * len(out), "node": list(out)}, dtype=object)  # strings of pandas may come in chunks, which Spark refuses
-
-    kind = edges.schema["a"].dataType.simpleString()
-    return edges.select("key", "a", "b").distinct().groupBy("key").applyInPandas(peel, f"key {edges.schema['key'].dataType.simpleString()}, node {kind}")
-
-
-def _cycles(claims: DataFrame, path: str, rules: Rules) -> None:
-    """Of inferences with one id the last one's bases count."""
-    last = _first(claims.where("provenance = 'inference'"), last=True)
-    edges = _members(last, "basisClaimIds").selectExpr("key", f"{st('id')} AS a", "ref AS b")
-    among = edges.join(last.selectExpr("key", "id AS b"), ["key", "b"], "left_semi")
-    rules.tables.append(cycle_nodes(among).select("key").distinct().selectExpr("key", f"'{path}.claims' AS path", "'claim_cycle' AS code"))
+    inferences = claims.where("provenance = 'inference' AND id IS NOT NULL")
+    place = inferences.groupBy("key", "id").agg(F.min("idx").alias("place"))
+    last = _last(inferences).join(place, ["key", "id"])
+    listed = last.selectExpr("key", "place", "id AS a", f"posexplode({V.items(V.get('v', 'basisClaimIds'))}) AS (at, item)").selectExpr("key", "place", "a", "at", f"{V.string('item')} AS b")
+    among = listed.join(last.selectExpr("key", "id AS b"), ["key", "b"], "left_semi")
+
+    def walk(graph: pd.DataFrame) -> pd.DataFrame:
+        ordered = graph.sort_values(["place", "at"])
+        after = {a: list(own) for a, own in ordered.groupby("a", sort=False)["b"]}
+        met, done, down = [], set(), set()
+        for start in after:
+            way = [] if start in done else [(start, iter(after[start]))]
+            down.update(node for node, _ in way)
+            while way:
+                node, rest = way[-1]
+                to = next(rest, None)
+                if to is None:
+                    way.pop()
+                    down.discard(node)
+                    done.add(node)
+                elif to in down:
+                    met.append(to)
+                elif to not in done and to in after:
+                    way.append((to, iter(after[to])))
+                    down.add(to)
+        return pd.DataFrame({"key": pd.Series([graph["key"].iloc[0]] * len(met), dtype=object), "node": pd.Series(met, dtype=object)})
+
+    return among.groupBy("key").applyInPandas(walk, "key string, node string")
 
 
 def _completed(events: DataFrame, kind: str) -> DataFrame:
@@ -204,15 +221,15 @@ def _completed(events: DataFrame, kind: str) -> DataFrame:
     return own.groupBy("key", "related").agg(F.min_by(F.struct("at", "sequence", "location", "actor"), "idx").alias("e")).select("key", "related", "e.*")
 
 
-def receipt(base: DataFrame, known: dict[str, DataFrame], parts: dict[str, DataFrame], rules: Rules) -> dict[str, DataFrame]:
+def receipt(base: DataFrame, known: dict[str, DataFrame], parts: dict[str, DataFrame], product: str, rules: Rules) -> dict[str, DataFrame]:
     """base: key, analysis and receipt. Events, consents, transfers, retention, components and totals."""
     base = base.where(V.is_object("receipt"))
     path = "$.receipt"
     r = lambda name: V.get("receipt", name)
-    ev = _exploded(
+    ev = rules.numbered(_exploded(
         base, r("events"), f"'{path}.events'", f"{st('id')} AS id", f"{V.number(V.get('v', 'sequence'))} AS sequence", f"{st('occurredAt')} AS at", f"{V.instant(st('occurredAt'))} AS instant", f"{st('type')} AS type", f"{st('status')} AS status",
         f"{st('relatedId')} AS related", f"{V.string(V.get(V.get('v', 'actor'), 'location'))} AS location", f"{V.is_object(V.get('v', 'actor'))} AS actor",
-    )
+    ))
     rules.tables.append(_again(ev))
     before = "OVER (PARTITION BY key ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     seen = ev.selectExpr("*", f"coalesce(last(sequence, TRUE) {before}, -1) AS last_sequence", f"last(instant, TRUE) {before} AS last_instant")
@@ -221,7 +238,7 @@ def receipt(base: DataFrame, known: dict[str, DataFrame], parts: dict[str, DataF
     head = base.selectExpr("key", f"{V.instant(V.string(r('createdAt')))} AS created", f"{V.string(r('processingMode'))} AS mode", f"{V.string(V.get('analysis', 'analysisId'))} AS analysis_id", f"{V.string(V.get('analysis', 'knowledgeMode'))} AS knowledge", f"size({V.items(r('externalReferences'))}) AS outside", f"size({V.records(r('transfers'))}) AS sent", f"transform({V.records(r('components'))}, c -> {V.string(V.get('c', 'component'))}) AS kinds")
     rules.raised(
         head.join(closing, "key", "left"), ("created < latest", f"'{path}.createdAt'", "receipt_time_order"), ("mode IN ('sample', 'browser_local', 'desktop_local') AND sent > 0", f"'{path}.transfers'", "unexpected_external_transfer"),
-        ("mode IN ('cloud_redacted', 'cloud_full') AND sent = 0", f"'{path}.transfers'", "missing_external_transfer"), ("NOT coalesce(array_contains(kinds, 'paperwork'), FALSE)", f"'{path}.components'", "paperwork_version_missing"),
+        ("mode IN ('cloud_redacted', 'cloud_full') AND sent = 0", f"'{path}.transfers'", "missing_external_transfer"), (f"NOT coalesce(array_contains(kinds, '{product}'), FALSE)", f"'{path}.components'", f"{product}_version_missing"),
         ("NOT coalesce(array_contains(kinds, 'citation_validator'), FALSE)", f"'{path}.components'", "validator_version_missing"), ("knowledge = 'source_only' AND outside > 0", f"'{path}.externalReferences'", "external_reference_in_source_only_mode"),
     )
 
@@ -235,11 +252,11 @@ def receipt(base: DataFrame, known: dict[str, DataFrame], parts: dict[str, DataF
     timed = attested.join(both.where("c_at IS NOT NULL").select("key", "c_at"), "key")
     rules.raised(timed, (f"NOT {V.string(V.get(V.get('v', 'validation'), 'validatedAt'))} <=> c_at", at, "validation_time_mismatch"))
 
-    con = _exploded(base, r("consentRecords"), f"'{path}.consentRecords'", f"{st('id')} AS id", f"{st('recordedAt')} AS recorded")
+    con = rules.numbered(_exploded(base, r("consentRecords"), f"'{path}.consentRecords'", f"{st('id')} AS id", f"{st('recordedAt')} AS recorded"))
     rules.tables.append(_again(con))
     rules.raised(joined(con, _completed(ev, "consent_recorded"), "id", "e", {"at": "at"}, key="related"), ("e_found IS NULL", "path", "consent_event_missing"), ("e_found AND NOT e_at <=> recorded", "concat(path, '.recordedAt')", "consent_event_time_mismatch"))
 
-    tra = _exploded(base, r("transfers"), f"'{path}.transfers'", f"{st('id')} AS id", f"{st('consentId')} AS consent", f"{st('startedAt')} AS started", f"{st('completedAt')} AS completed", f"{st('executionLocation')} AS place")
+    tra = rules.numbered(_exploded(base, r("transfers"), f"'{path}.transfers'", f"{st('id')} AS id", f"{st('consentId')} AS consent", f"{st('startedAt')} AS started", f"{st('completedAt')} AS completed", f"{st('executionLocation')} AS place"))
     rules.tables.append(_again(tra))
     t = joined(tra, _first(con), "consent", "k", {"v": "v", "recorded": "recorded"})
     t = joined(t, _completed(ev, "transfer_started"), "id", "b", columns, key="related")
@@ -264,7 +281,7 @@ def receipt(base: DataFrame, known: dict[str, DataFrame], parts: dict[str, DataF
         (f"mode = 'cloud_full' AND NOT arrays_overlap({categories}, {whole})", "concat(path, '.contentCategories')", "full_mode_content_mismatch"),
     )
 
-    ret = _exploded(base, r("retention"), f"'{path}.retention'", f"{st('id')} AS id", f"{st('eventId')} AS event", f"{st('state')} AS state", f"{st('recordedAt')} AS recorded")
+    ret = rules.numbered(_exploded(base, r("retention"), f"'{path}.retention'", f"{st('id')} AS id", f"{st('eventId')} AS event", f"{st('state')} AS state", f"{st('recordedAt')} AS recorded"))
     rules.tables.append(_again(ret))
     n = joined(ret.where("event IS NOT NULL"), _first(ev), "event", "e", {k: k for k in ("type", "status", "at", "actor", "location", "related")})
     n = joined(joined(n, parts["analyzed"], "e_related", "a", {}, key="ref"), tra.where("id IS NOT NULL").select("key", "id").distinct(), "e_related", "t", {})
@@ -315,7 +332,7 @@ def corrections(base: DataFrame, known: dict[str, DataFrame], parts: dict[str, D
         ("e_found AND NOT e_at <=> created", at("createdAt"), "correction_event_time_mismatch"), ("e_found AND NOT coalesce(e_location IN ('browser', 'device'), FALSE)", "path", "correction_actor_mismatch"),
     )
     refs = f"if(provenance = 'conflict', flatten(transform({V.records(V.get('v', 'alternatives'))}, x -> {V.records(V.get('x', 'evidence'))})), {V.records(V.get('v', 'evidence'))})"
-    latest = _first(parts["claims"], last=True).selectExpr("key", "id", f"transform({refs}, x -> {V.string(V.get('x', 'sourceRevisionId'))}) AS cited")
+    latest = _last(parts["claims"]).selectExpr("key", "id", f"transform({refs}, x -> {V.string(V.get('x', 'sourceRevisionId'))}) AS cited")
     again = joined(_members(cor, "regeneratedClaimIds"), latest, "ref", "c", {"cited": "cited"})
     rules.raised(again, ("c_found IS NULL", "path", "dangling_claim"), (f"c_found AND NOT exists(c_cited, x -> x <=> {st('resultingRevisionId')})", "path", "regenerated_claim_revision_mismatch"))
 

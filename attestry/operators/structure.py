@@ -1,7 +1,7 @@
 """Structural rules: what each part of a document may look like, as a table of fields compiled to one SQL expression per part.
 
-A check is SQL for an array of (path, code) structs. Parts are looked at where they stand; arrays of them are gone through with higher-order
-functions, so a document is checked in its own row, without a join or a shuffle.
+A check is SQL for an array of (path, code) structs. Parts are looked at where they stand, and small arrays in them are gone through with higher-order
+functions; the elements of a document's long arrays (sources, claims, events, ...) are rows of their own. Neither needs a join or a shuffle.
 """
 
 from __future__ import annotations
@@ -170,6 +170,11 @@ def size(at: At, low: int, high: int) -> str:
     return found((f"NOT {V.is_array(at.v)}", at.path, "invalid_type"), (f"{V.is_array(at.v)} AND {n} < {low}", at.path, "too_few_items"), (f"{V.is_array(at.v)} AND {n} > {high}", at.path, "too_many_items"))
 
 
+def array_of(low: int, high: int) -> Check:
+    """An array of so many elements, which are checked elsewhere."""
+    return lambda at: bound(at, lambda at: size(at, low, high))
+
+
 def each(check: Check, low: int, high: int) -> Check:
     """An array of so many of these."""
 

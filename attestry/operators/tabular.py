@@ -7,35 +7,43 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quote_matches(texts: DataFrame, quotes: DataFrame, text_id: str, quote_id: str, anchor_words: int = 4, broadcast_quotes: int = 100_000) -> DataFrame:
+def quote_matches(texts: DataFrame, quotes: DataFrame, text_id: str, quote_id: str, anchor_words: int = 4, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Which quotes stand in which texts, letter for letter, and where first: text id, quote id, start, end (characters).
 
-    texts, quotes: an id and a column text. An occurrence has all words of the quote, the first and the last perhaps as parts of longer
-    ones. So a text and a quote meet by the run of words that follows the quote's first, in an equi-join, and are then compared. Quotes with fewer
-    words than that meet by nothing and go with each text in turn as an array, if they are at most broadcast_quotes.
+    texts, quotes: a unique id and a column text. An occurrence has all words of the quote, the first and the last perhaps as parts of longer
+    ones. So a text and a quote meet by the hash of the run of words that follows the quote's first: as many words as the quote has between its ends, at
+    most anchor_words. Only hashes and ids are dealt out to meet, each run of a text once; the texts and the quotes of the pairs join them afterwards. Quotes
+    of one or two words have no word between their ends: they are looked for in every text, all of them in blocks of bounded size, as there is no
+    place where they could meet. Quotes of no more than broadcast_bytes in all are broadcast. Null and empty quotes and null texts match nothing.
     """
     words = lambda c: F.split(c, r"\s+", -1)
-    need = anchor_words + 2
-    asked = quotes.select(F.col(quote_id), F.col("text").alias("quote")).where(F.length("quote") > 0).withColumn("w", words(F.col("quote")))
-    long = asked.where(F.size("w") >= need).select(quote_id, "quote", F.xxhash64(F.slice("w", 2, anchor_words)).alias("anchor"))
-    long = F.broadcast(long) if long.limit(broadcast_quotes + 1).count() <= broadcast_quotes else long
-    with_words = texts.select(F.col(text_id), F.col("text")).withColumn("w", words(F.col("text")))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - anchor_words + 1), lambda i: F.xxhash64(F.slice("w", i, anchor_words)))
-    anchored = with_words.where(F.size("w") >= need).select(text_id, "text", F.explode(F.array_distinct(runs)).alias("anchor"))
-    hits = anchored.join(long, "anchor").where(F.contains("text", "quote")).dropDuplicates([text_id, quote_id]).select(text_id, quote_id, "text", "quote")
-    short = asked.where(F.size("w") < need).select(F.struct(quote_id, "quote").alias("q")).limit(broadcast_quotes + 1).collect()
-    if len(short) > broadcast_quotes:
-        raise ValueError("too many quotes of so few words; lower anchor_words")
-    if short:
-        few = F.broadcast(texts.sparkSession.createDataFrame([([r["q"] for r in short],)], f"qs array<struct<{quote_id}:{quotes.schema[quote_id].dataType.simpleString()},quote:string>>"))
-        each = texts.select(text_id, "text").join(few, F.lit(True)).select(text_id, "text", F.explode(F.filter("qs", lambda q: F.contains(F.col("text"), q["quote"]))).alias("q"))
-        hits = hits.unionByName(each.select(text_id, f"q.{quote_id}", "text", "q.quote"))
+    asked = quotes.select(F.col(quote_id).alias("q"), F.col("text").alias("quote")).where(F.length("quote") > 0).withColumn("w", words(F.col("quote")))
+    size = F.least(F.size("w") - 2, F.lit(anchor_words))
+    anchored = asked.where(size >= 1).select("q", size.alias("size"), F.xxhash64(size, F.slice("w", F.lit(2), size)).alias("anchor"))
+    sizes = [r["size"] for r in anchored.select("size").distinct().orderBy("size").collect()]  # at most anchor_words
+    split = texts.select(F.col(text_id).alias("t"), words(F.col("text")).alias("w"))
+    runs = lambda n: F.when(F.size("w") >= n + 2, F.transform(F.sequence(F.lit(2), F.size("w") - n), lambda i: F.xxhash64(F.lit(n), F.slice("w", i, n)))).otherwise(F.array().cast("array<bigint>"))
+    none = texts.sparkSession.createDataFrame([], f"t {texts.schema[text_id].dataType.simpleString()}, q {quotes.schema[quote_id].dataType.simpleString()}")
+    pairs = none
+    if sizes:
+        met = split.select("t", F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes]))).alias("anchor"))
+        by_anchor = anchored.select("q", "anchor")
+        few = anchored.count() * 64 <= broadcast_bytes
+        pairs = met.join(F.broadcast(by_anchor) if few else by_anchor, "anchor").select("t", "q").distinct()
+    short = asked.where(F.size("w") < 3).select("q", "quote")
+    block = F.floor(F.sum(F.octet_length("quote") + 64).over(Window.partitionBy("part").orderBy("q").rowsBetween(Window.unboundedPreceding, 0)) / (1 << 20))
+    blocks = short.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(64))).withColumn("block", block).groupBy("part", "block").agg(F.collect_list(F.struct("q", "quote")).alias("qs")).select("qs")
+    if not short.isEmpty():
+        seen = texts.select(F.col(text_id).alias("t"), "text").join(blocks, F.lit(True))  # a stated set against all texts, in blocks
+        pairs = pairs.unionByName(seen.select("t", F.explode(F.filter("qs", lambda q: F.contains(F.col("text"), q["quote"]))).alias("m")).select("t", "m.q"))
+    both = pairs.join(asked.select("q", "quote"), "q").join(texts.select(F.col(text_id).alias("t"), "text"), "t")
     start = F.instr("text", F.col("quote")) - 1
-    return hits.select(text_id, quote_id, start.cast("long").alias("start"), (start + F.length("quote")).cast("long").alias("end"))
+    return both.where(F.contains("text", "quote")).select(F.col("t").alias(text_id), F.col("q").alias(quote_id), start.cast("long").alias("start"), (start + F.length("quote")).cast("long").alias("end"))
 
 
 def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
@@ -106,6 +114,51 @@ def without_pair(rows: DataFrame, allowed: DataFrame, on: list[str]) -> DataFram
     return rows.join(allowed.select(*on).distinct(), on, "left_anti")
 
 
+def cycle_nodes(edges: DataFrame, in_one_task: int = 100_000) -> DataFrame:
+    """edges: key, a, b. Nodes (key, node) on a cycle of their key's graph or leading to one.
+
+    What leads only to ends is peeled off. A graph of at most in_one_task edges is peeled by one task; larger ones in rounds of a semi-join by
+    (key, node), each checkpointed, until nothing goes any more or they are small enough. Rounds are as many as the longest way to an end is long.
+    An edge with a null leads nowhere. Repeated edges count once.
+    """
+    from attestry.functions.staging import checkpointed
+
+    left = checkpointed(edges.select("key", "a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    done, kind = [], edges.schema["a"].dataType.simpleString()
+    schema = f"key {edges.schema['key'].dataType.simpleString()}, node {kind}"
+    before = -1
+    while True:
+        sizes = left.groupBy("key").agg(F.count("*").alias("n"))
+        small = sizes.where(F.col("n") <= in_one_task).select(F.col("key").alias("k"))
+        own = lambda how: left.join(small, left["key"].eqNullSafe(small["k"]), how)
+        done.append(own("left_semi").groupBy("key").applyInPandas(_peeled, schema))
+        large = checkpointed(own("left_anti"))
+        total = large.count()
+        if total in (0, before):
+            return reduce(DataFrame.unionByName, [*done, large.select("key", F.col("a").alias("node")).distinct()])
+        before = total
+        starts = large.select(F.col("key").alias("k"), F.col("a").alias("start")).distinct()
+        left = checkpointed(large.join(starts, large["key"].eqNullSafe(starts["k"]) & (large["b"] == starts["start"]), "left_semi"))
+
+
+def _peeled(graph: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of one graph that are left when those that lead only to ends have gone."""
+    out = graph.groupby("a")["b"].agg(set).to_dict()
+    back: dict = {}
+    for a, b in zip(graph["a"], graph["b"], strict=True):
+        back.setdefault(b, set()).add(a)
+    ends = [n for n in back if n not in out]
+    while ends:
+        gone = ends.pop()
+        for a in back.get(gone, ()):
+            if a in out:
+                out[a].discard(gone)
+                if not out[a]:
+                    del out[a]
+                    ends.append(a)
+    return pd.DataFrame({"key": pd.Series([graph["key"].iloc[0]] * len(out), dtype=graph["key"].dtype if len(out) else object), "node": pd.Series(list(out), dtype=object)})
+
+
 def issue_union(*streams: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, streams)
 

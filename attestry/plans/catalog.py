@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions import values as V
-from attestry.operators import relations, structure, tabular
+from attestry.operators import structure, tabular
+from attestry.plans import ledgers
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -318,30 +319,29 @@ def url_display(read):
     return read("pages", "page_id", "url").select("page_id", tabular.url_label(F.col("url")).alias("label"))
 
 
-@query("""
+_CYCLES = """
 WITH RECURSIVE edges AS (
-  SELECT DISTINCT event_type AS key, user_id % 150 AS a, CAST(json_extract(props, '$.k') AS BIGINT) AS b FROM events WHERE value < 6),
+  SELECT DISTINCT {key} AS key, user_id AS a, CAST(json_extract(props, '$.k') AS BIGINT) AS b FROM events),
 reach AS (SELECT key, a, b FROM edges UNION SELECT r.key, r.a, e.b FROM reach r JOIN edges e ON r.key = e.key AND r.b = e.a),
 looped AS (SELECT DISTINCT key, a FROM reach WHERE a = b)
 SELECT DISTINCT r.key, r.a AS node FROM reach r JOIN looped l ON r.key = l.key AND r.b = l.a
-""")
+"""
+
+
+def _edges(read, key: str) -> DataFrame:
+    return read("events", "event_type", "user_id", "props").selectExpr(f"{key} AS key", "user_id AS a", "CAST(get_json_object(props, '$.k') AS BIGINT) AS b")
+
+
+@query(_CYCLES.format(key="event_type"))
 def cycle_nodes(read):
-    """Nodes on a cycle or leading to one."""
-    events = read("events", "event_type", "user_id", "props", "value").where("value < 6")
-    return relations.cycle_nodes(events.selectExpr("event_type AS key", "user_id % 150 AS a", "CAST(get_json_object(props, '$.k') AS BIGINT) AS b"))
+    """Nodes on a cycle or leading to one, in the graph of each type of event."""
+    return tabular.cycle_nodes(_edges(read, "event_type"))
 
 
-@query("""
-WITH RECURSIVE edges AS (
-  SELECT DISTINCT event_type AS key, user_id AS a, CAST(json_extract(props, '$.k') AS BIGINT) AS b FROM events),
-reach AS (SELECT key, a, b FROM edges UNION SELECT r.key, r.a, e.b FROM reach r JOIN edges e ON r.key = e.key AND r.b = e.a),
-looped AS (SELECT DISTINCT key, a FROM reach WHERE a = b)
-SELECT DISTINCT r.key, r.a AS node FROM reach r JOIN looped l ON r.key = l.key AND r.b = l.a
-""")
+@query(_CYCLES.format(key="'all'"))
 def cycle_nodes_all(read):
-    """As cycle_nodes, of all events and users."""
-    events = read("events", "event_type", "user_id", "props")
-    return relations.cycle_nodes(events.selectExpr("event_type AS key", "user_id AS a", "CAST(get_json_object(props, '$.k') AS BIGINT) AS b"))
+    """As cycle_nodes, in one graph of all events."""
+    return tabular.cycle_nodes(_edges(read, "'all'"))
 
 
 @query("""
@@ -366,6 +366,10 @@ def unpivoted_pointers(read):
     return pointers.join(names, "ref", "left").select("c_custkey", "field", "found")
 
 
+for _f, _text in ledgers.QUERIES.values():
+    query(_text)(_f)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,11 @@ def read_json_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One document per line; the key is a hash of the line, so equal lines are one document."""
+    """One document per line that is not blank; the key is a hash of the line, and for the second and further equal lines a number behind it."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.sha2("value", 256).alias("key"), F.col("value").alias("raw")).dropDuplicates(["key"])
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("place"))
+    placed = lines.select(F.sha2("value", 256).alias("key"), F.col("value").alias("raw"), F.monotonically_increasing_id().alias("place")).withColumn("nth", nth)
+    return placed.select(F.when(F.col("nth") == 1, F.col("key")).otherwise(F.concat_ws("-", "key", "nth")).alias("key"), "raw")
 
 
 def from_objects(spark: SparkSession, documents: dict[str, object]) -> DataFrame:

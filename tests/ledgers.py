@@ -40,7 +40,7 @@ def actions() -> list[dict]:
     common = {"priority": "high", "requiredInputs": ["A letter"], "execution": "manual_user_choice"}
     return [
         {"id": "action.reply", "provenance": "document_requirement", "order": 0, "title": "Reply", "description": "Object in writing.", "timing": {"kind": "calendar_date", "date": "2027-04-05", "basisClaimId": "claim.reply"}, "basisClaimIds": ["claim.reply"], "consequence": {"text": "Not stated.", "basisClaimIds": ["claim.parking"]}, "sourceImposed": True, **common},
-        {"id": "action.ask", "provenance": "paperwork_suggestion", "order": 1, "title": "Ask", "description": "Ask about the deposit.", "timing": {"kind": "condition", "label": "Before replying", "basisClaimId": "claim.deposit"}, "basisClaimIds": ["claim.deposit"], "sourceImposed": False, **common},
+        {"id": "action.ask", "provenance": "ledger_suggestion", "order": 1, "title": "Ask", "description": "Ask about the deposit.", "timing": {"kind": "condition", "label": "Before replying", "basisClaimId": "claim.deposit"}, "basisClaimIds": ["claim.deposit"], "sourceImposed": False, **common},
     ]
 
 
@@ -55,7 +55,7 @@ def context() -> dict:
 
 def draft() -> dict:
     return {
-        "kind": "paperwork.model_draft", "schemaVersion": "1.0.0", "analysisId": "analysis.1", "knowledgeMode": "source_only", "sourceRevisionIds": ["rev.1"],
+        "kind": "ledger.model_draft", "schemaVersion": "1.0.0", "analysisId": "analysis.1", "knowledgeMode": "source_only", "sourceRevisionIds": ["rev.1"],
         "document": {"documentType": "rent_notice", "titleClaimId": "claim.title", "purposeClaimId": "claim.rent", "actionRequiredClaimId": "claim.reply", "nearestDeadlineClaimId": "claim.reply", "primaryActionId": "action.reply"},
         "claims": claims(), "actions": actions(), "questions": [{"id": "question.1", "text": "Which deposit applies?", "reason": "Two are given.", "basisClaimIds": ["claim.deposit"]}],
         "sections": {"briefClaimIds": ["claim.title", "claim.reply"], "factClaimIds": ["claim.rent", "claim.order"], "attentionClaimIds": ["claim.deposit"], "missingInformationClaimIds": ["claim.parking"], "conflictClaimIds": ["claim.deposit"], "planActionIds": ["action.reply", "action.ask"]},
@@ -73,17 +73,17 @@ def event(k: int, kind: str, related: str, place: str = "browser", at: str | Non
 
 
 def pack() -> dict:
-    analysis = draft() | {"kind": "paperwork.validated_analysis"}
+    analysis = draft() | {"kind": "ledger.validated_analysis"}
     analysis["claims"] = [_checked(c) for c in analysis["claims"]]
     done = {"state": "accepted", "validatorVersion": "v1", "validatedAt": T % 4, "issueCodes": [], "checks": {"basis": "passed", "timing": "passed", "safety": "passed"}}
     analysis["actions"] = [{**a, "validation": copy.deepcopy(done)} for a in analysis["actions"]]
     return {
-        "kind": "paperwork.action_pack", "schemaVersion": "1.0.0", "packId": "pack.1", "createdAt": T % 6, "runMode": "sample_fixture", "canonicalSources": context(), "analysis": analysis,
+        "kind": "ledger.action_pack", "schemaVersion": "1.0.0", "packId": "pack.1", "createdAt": T % 6, "runMode": "sample_fixture", "canonicalSources": context(), "analysis": analysis,
         "receipt": {
             "id": "receipt.1", "createdAt": T % 5, "processingMode": "sample",
             "events": [event(0, "source_admitted", "src.1"), event(1, "extraction_completed", "rev.1"), event(3, "analysis_completed", "analysis.1"), event(4, "validation_completed", "analysis.1")],
             "consentRecords": [], "transfers": [], "retention": [{"id": "retention.1", "subject": "browser", "state": "not_stored", "assertedBy": "ledger", "recordedAt": T % 5}],
-            "components": [{"component": "paperwork", "name": "ledger", "version": "1"}, {"component": "citation_validator", "name": "checks", "version": "1"}],
+            "components": [{"component": "ledger", "name": "ledger", "version": "1"}, {"component": "citation_validator", "name": "checks", "version": "1"}],
             "validationSummary": {"totalClaims": 7, "accepted": 5, "needsReview": 2, "blocked": 0, "stale": 0, "totalActions": 2, "acceptedActions": 2, "needsReviewActions": 0, "blockedActions": 0, "staleActions": 0},
             "externalReferences": [], "correctionIds": [],
         },
@@ -98,7 +98,7 @@ def cloud() -> dict:
     r["processingMode"], r["createdAt"] = "cloud_redacted", T % 9
     for c in p["analysis"]["claims"] + p["analysis"]["actions"]:
         c["validation"]["validatedAt"] = T % 7
-    r["events"] = [event(0, "source_admitted", "src.1"), event(1, "payload_previewed", "consent.1"), event(2, "consent_recorded", "consent.1"), event(3, "transfer_started", "transfer.1", "paperwork_service"), event(4, "transfer_completed", "transfer.1", "provider"), event(5, "analysis_completed", "analysis.1", "provider"), event(7, "validation_completed", "analysis.1", "paperwork_service"), event(8, "local_cleanup_completed", "rev.1"), event(9, "deletion_reported", "transfer.1", "provider")]
+    r["events"] = [event(0, "source_admitted", "src.1"), event(1, "payload_previewed", "consent.1"), event(2, "consent_recorded", "consent.1"), event(3, "transfer_started", "transfer.1", "ledger_service"), event(4, "transfer_completed", "transfer.1", "provider"), event(5, "analysis_completed", "analysis.1", "provider"), event(7, "validation_completed", "analysis.1", "ledger_service"), event(8, "local_cleanup_completed", "rev.1"), event(9, "deletion_reported", "transfer.1", "provider")]
     shared = {"recipient": "Provider", "provider": "P", "model": "m", "sourceRevisionIds": ["rev.1"], "segmentIds": ["seg.0", "seg.1"], "contentCategories": ["redacted_text"], "redactions": ["Name"]}
     print_ = {"algorithm": "sha-256", "value": "2" * 64}
     r["consentRecords"] = [{"id": "consent.1", "recordedAt": T % 2, "approvedBy": "user", "previewDigest": print_, **copy.deepcopy(shared)}]

@@ -8,9 +8,9 @@ import json
 import pytest
 
 from attestry.operators import engine
-from attestry.operators.messages import MESSAGES
 from tests import ledgers as L
 
+MESSAGES = engine.messages("ledger")
 PACKS = {"pack": L.pack, "cloud": L.cloud, "corrected": L.corrected}
 
 
@@ -30,7 +30,7 @@ MUTATIONS = {
     "invalid_type": ("pack", f"{A}.claims.0.title", 5),
     "unknown_field": ("pack", f"{A}.claims.0.confidence", 0.9),
     "too_few_items": ("pack", f"{A}.claims.0.evidence", []),
-    "too_many_items": ("pack", f"{R}.components", [{"component": "paperwork", "name": "n", "version": "1"}] * 50 + [{"component": "citation_validator", "name": "n", "version": "1"}]),
+    "too_many_items": ("pack", f"{R}.components", [{"component": "ledger", "name": "n", "version": "1"}] * 50 + [{"component": "citation_validator", "name": "n", "version": "1"}]),
     "string_too_short": ("pack", f"{A}.claims.0.title", ""),
     "string_too_long": ("pack", f"{A}.claims.0.title", "😀" * 151),
     "control_character": ("pack", f"{A}.claims.0.title", "a\u0007"),
@@ -135,7 +135,7 @@ MUTATIONS = {
     "retention_event_time_mismatch": ("cloud", f"{R}.retention.0.recordedAt", L.T % 5),
     "retention_actor_mismatch": ("cloud", f"{R}.events.7.actor.location", "provider"),
     "retention_subject_mismatch": ("cloud", f"{R}.events.8.relatedId", "transfer.9"),
-    "paperwork_version_missing": ("pack", f"{R}.components.0.component", "parser"),
+    "ledger_version_missing": ("pack", f"{R}.components.0.component", "parser"),
     "validator_version_missing": ("pack", f"{R}.components.1.component", "ocr"),
     "external_reference_in_source_only_mode": ("pack", f"{R}.externalReferences", [{"id": "ref.1", "url": "https://example.org/", "title": "A page", "accessedAt": L.T % 1}]),
     "summary_mismatch": ("pack", f"{R}.validationSummary.totalClaims", 9),
@@ -182,17 +182,25 @@ def found(spark) -> dict[str, set[tuple[str, str]]]:
     whole = L.pack()
     whole["canonicalSources"]["sources"][0]["byteSize"] = 1e3
     rows = [(name, json.dumps(f())) for name, f in PACKS.items()] + [("astral", json.dumps(astral)), ("cut", json.dumps(cut)), ("markup", json.dumps(markup)), ("nulls", json.dumps(nulls)), ("whole", json.dumps(whole)), ("broken", "{not json"), ("null", None), ("list", "[]")]
+    chain = L.pack()
+    extra = copy.deepcopy(chain["analysis"]["claims"][3]) | {"id": "claim.then", "basisClaimIds": ["claim.order"]}
+    chain["analysis"]["claims"].append(extra)
+    chain["receipt"]["validationSummary"] |= {"totalClaims": 8, "accepted": 6}
+    loops = copy.deepcopy(chain)
+    loops["analysis"]["claims"][3]["basisClaimIds"] = ["claim.then", "claim.order", "claim.rent"]
+    rows += [("chain", json.dumps(chain)), ("loops", json.dumps(loops))]
     rows += [(f"={code}", mutated(code)) for code in MUTATIONS]
     docs = spark.createDataFrame(rows, "key string, raw string").repartition(4)
     issues = engine.validate_pack(docs).collect()
     out: dict[str, set] = {key: set() for key, _ in rows}
     for r in issues:
         out[r["key"]].add((r["path"], r["code"]))
+    out["loops, listed"] = sorted((r["path"], r["code"]) for r in issues if r["key"] == "loops")
     assert {r["code"] for r in issues} <= set(MESSAGES)
     return out
 
 
-@pytest.mark.parametrize("key", ["pack", "cloud", "corrected", "astral", "markup", "whole"])
+@pytest.mark.parametrize("key", ["pack", "cloud", "corrected", "astral", "markup", "whole", "chain"])
 def test_valid(found, key):
     assert found[key] == set()
 
@@ -202,6 +210,46 @@ def test_each_code(found, code):
     assert code in {c for _, c in found[f"={code}"]}
 
 
+#: code: all issues of the mutation, where more or less than the one at its path might be expected.
+R_, A_, C_ = "$.receipt", "$.analysis", "$.canonicalSources"
+EXACT = {
+    "unknown_field": {(f"{A_}.claims[0].confidence", "unknown_field")},
+    "too_few_items": {(f"{A_}.claims[0].evidence", "too_few_items")},
+    "active_content": {(f"{A_}.claims[0].statement", "active_content")},
+    "invalid_date": {(f"{A_}.claims[1].normalizedValues[0].value", "invalid_date")},
+    "dangling_segment": {(f"{A_}.claims[0].evidence[0].segmentId", "dangling_segment")},
+    "quote_mismatch": {(f"{A_}.claims[0].evidence[0].quote", "quote_mismatch")},
+    "span_out_of_bounds": {(f"{A_}.claims[0].evidence[0].span.end", "span_out_of_bounds")},
+    "page_out_of_bounds": {(f"{C_}.sourceSegments", "page_out_of_bounds")},
+    "revision_cycle": {(f"{C_}.sourceRevisions", "revision_cycle")},
+    "claim_cycle": {(f"{A_}.claims", "claim_cycle")},
+    "suggestion_chain": {(f"{A_}.claims[4].basisClaimIds[0]", "suggestion_chain")},
+    "invalid_inference_basis": {(f"{A_}.claims[3].basisClaimIds[0]", "invalid_inference_basis")},
+    "timing_value_mismatch": {(f"{A_}.actions[0].timing.date", "timing_value_mismatch")},
+    "conflict_needs_distinct_evidence": {(f"{A_}.claims[6].alternatives", "conflict_needs_distinct_evidence")},
+    "event_time_order": {(f"{R_}.events[2].occurredAt", "event_time_order")},
+    "validation_event_missing": {(f"{R_}.events", "validation_event_missing")},
+    "ledger_version_missing": {(f"{R_}.components", "ledger_version_missing")},
+    "summary_mismatch": {(f"{R_}.validationSummary.totalClaims", "summary_mismatch")},
+    "payload_digest_mismatch": {(f"{R_}.transfers[0].payloadDigest", "payload_digest_mismatch")},
+    "transfer_completion_required": {(f"{R_}.transfers[0].completedAt", "transfer_completion_required")},
+    "retention_event_not_completed": {(f"{R_}.retention[0].eventId", "retention_event_not_completed")},
+    "correction_text_mismatch": {("$.corrections[0].originalText", "correction_text_mismatch")},
+    "correction_receipt_mismatch": {(f"{R_}.correctionIds", "correction_receipt_mismatch")},
+    "unchanged_revision_fingerprint": {("$.corrections[0]", "unchanged_revision_fingerprint")},
+    "regenerated_claim_revision_mismatch": {("$.corrections[0].regeneratedClaimIds[0]", "regenerated_claim_revision_mismatch")},
+}
+
+
+@pytest.mark.parametrize("code", EXACT)
+def test_exact_issues(found, code):
+    assert found[f"={code}"] == EXACT[code]
+
+
+def test_each_way_back_is_a_cycle(found):
+    assert found["loops, listed"] == [("$.analysis.claims", "claim_cycle")] * 2
+
+
 def test_all_codes_are_covered():
     assert set(MUTATIONS) | {"parser_exception"} == set(MESSAGES) and len(MESSAGES) == 127
 
