@@ -1,16 +1,21 @@
 """Byte-level BPE: encoding by ranked merges, decoding by concatenation.
 
-1. Distinct words: every text is cut by the tokenizer's pattern; each task counts, and Spark sums the counts.
-2. The commonest words, at most ``known_words`` of them (a threshold on the count taken from the count of counts), are encoded in the JVM by
-   higher-order functions: a word is an array of its bytes, and a fold merges, step by step, the leftmost neighbours of the lowest rank. Ranks
-   come from a literal: an array of small maps, addressed by a hash of the piece, so a look-up does not scan the vocabulary.
-3. Their ids are broadcast (bounded by ``known_words``), and texts are encoded chunk by chunk with a bounded cache. Words outside the
-   dictionary, rare ones and those of over ``longest`` bytes, are folded by the same rule where they occur, in n log n.
+1. Texts are cut by the tokenizer's pattern, a block of texts at a time. A block is its distinct words, and for each text the places of its words
+   among them; it ends with the partition, or before it holds more than ``block_words`` words or ``block_places`` places.
+2. The distinct words of a block are encoded in the JVM by higher-order functions: a word is an array of its bytes, and a fold merges, step by step,
+   the leftmost neighbours of the lowest rank, and looks up the ranks of the two new neighbours. Ranks come from a literal: an array of small maps,
+   addressed by a hash of the piece, so a look-up does not scan the vocabulary.
+3. The texts of the block get the ids of their words by their places.
+
+All of this is narrow: a partition is encoded where it is read, nothing is shuffled, broadcast or written, and a lost task is run again. A word that
+is in several blocks is folded in each. The fold takes time in the square of a word's length, so a word of over ``longest`` bytes (which prose does not
+have) is folded by the same rule with a heap, in n log n, in Python.
 
 Bytes are carried as Latin-1 strings on the JVM side, one character a byte.
 
-Defined results: a null or empty text has no ids. Repeated rows each get their row. Empty table: empty result. Columns other than the id
-and the text are not read.
+Defined results: a null or empty text has no ids. Repeated rows each get their row, ties of rank are merged from the left. A very long text is encoded
+whole; it is a block of its own at worst. Empty table: empty result. Columns other than the id and the text are not read, so no name clashes, except that
+the id column must not be called ids.
 """
 
 from __future__ import annotations
@@ -18,10 +23,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import uuid
 from array import array
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +33,8 @@ from pyspark.sql import functions as F
 
 from attestry.llm import chunks, common
 
-BUCKETS = 8192
-
-#: Ids of words that a worker has folded, by encoding run; kept as long as the worker lives, for the last run only.
-_folded: dict[str, dict[str, bytes]] = {}
-_most_folded = 200_000
-
-
-def _folded_in(token: str) -> dict[str, bytes]:
-    """The worker's own: a function is sent by name, where a closure's globals would be sent by value."""
-    if token not in _folded:
-        _folded.clear()
-    return _folded.setdefault(token, {})
+BUCKETS = 1 << 16
+NO_RANK = 2147483647
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,52 +53,39 @@ def literal_ranks(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is worked out once."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def fold(word: Column, table: Column) -> Column:
-    """The ids of a word (Latin-1 bytes): ranked merges over its array of bytes."""
+    """The ids of a word (Latin-1 bytes): ranked merges over its bytes. The state of the fold is where pieces start, and the rank of each with its next."""
+    size = F.length(word)
     # two's complement: the low bits of the signed hash are those of the unsigned one
     rank = lambda piece: table[F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")][piece]
-    size = F.length(word)
-    start = F.transform(F.sequence(F.lit(1), size), lambda i: word.substr(i, F.lit(1)))
-
-    def merged(parts: Column, ranks: Column) -> Column:
-        at = F.array_position(ranks, F.array_min(ranks)).cast("int")
-        joined = F.array(F.concat(parts[at - 1], parts[at]))
-        return F.when(F.array_min(ranks).isNull(), parts).otherwise(F.concat(F.slice(parts, F.lit(1), at - 1), joined, F.slice(parts, at + 2, F.size(parts))))
-
-    def step(parts: Column, _: Column) -> Column:
-        pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: rank(F.concat(a, b)))
-        held = F.transform(F.array(F.when(F.size(parts) > 1, pairs)), lambda ranks: F.when(ranks.isNull(), parts).otherwise(merged(parts, ranks)))
-        return held.getItem(0)
-
-    pieces = F.when(size < 2, start).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), start, step))
-    return F.transform(pieces, rank)
-
-
-def fold_here(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same for one word in Python."""
-    if word in ranks:
-        return [ranks[word]]
-    return _fold_long(word, ranks) if len(word) > 64 else _fold_short(word, ranks)
-
-
-def _fold_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """A list of the ranks of neighbours, of which a merge changes two."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    rank, none = ranks.get, len(ranks)
-    pairs = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
-    while pairs and (best := min(pairs)) < none:
-        at = pairs.index(best)
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        del pairs[at]
-        if at < len(pairs):
-            pairs[at] = rank(parts[at] + parts[at + 1], none)
-        if at:
-            pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
-    return [ranks[p] for p in parts]
-
-
-def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """A heap of candidate merges over a linked list: n log n."""
+    pair = lambda start, stop: F.coalesce(rank(word.substr(start, stop - start)), F.lit(NO_RANK))
+
+    def step(state: Column, _: Column) -> Column:
+        cuts, ranks = state["cuts"], state["ranks"]
+
+        def merged(at: Column) -> Column:  # the piece, from 0, that takes in its next
+            def around(left: Column) -> Column:
+                fresh = lambda r, j: F.when((j == at) | (j == at - 1), pair(left[j], left[j + 2])).otherwise(r)
+                return F.struct(left.alias("cuts"), F.transform(F.filter(ranks, lambda _, j: j != at), fresh).alias("ranks"))
+
+            return let(F.filter(cuts, lambda _, j: j != at + 1), around)
+
+        least = F.coalesce(F.array_min(ranks), F.lit(NO_RANK))
+        return let(least, lambda r: F.when(r == NO_RANK, state).otherwise(let(F.array_position(ranks, r).cast("int") - 1, merged)))
+
+    first = F.struct(F.sequence(F.lit(1), size + 1).alias("cuts"), F.transform(F.sequence(F.lit(1), size - 1), lambda i: pair(i, i + 2)).alias("ranks"))
+    ids = lambda state: F.transform(F.slice(state["cuts"], F.lit(1), F.size(state["cuts"]) - 1), lambda c, j: rank(word.substr(c, state["cuts"][j + 1] - c)))
+    steps = F.aggregate(F.sequence(F.lit(2), size), first, step, ids)
+    return let(rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).when(size > 1, steps).otherwise(F.array().cast("array<int>")))
+
+
+def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for one very long word: a heap of candidate merges over a linked list."""
     n = len(word)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     alive = [True] * n
@@ -127,117 +107,111 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _pieces(text: str | None) -> list[str]:
-    """Stretches of a text that may be encoded apart: its chunks, or the whole."""
-    return ([] if not text else chunks.split(text) if chunks.plain(text) else [text])
-
-
-def _matches(chunk: str, find) -> list[str]:
-    return chunks.words(chunk, find) if max(chunk) < chunks.LATIN else find(chunk)
-
-
-def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """A batch in parts, so that only a part at a time is Python objects."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
-def word_counts(docs: DataFrame, text_col: str, pattern: str, most: int = 200_000) -> DataFrame:
-    """word (Latin-1) and n, summed over the corpus. A task hands its counts on whenever it holds most chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern).findall
-
-        def counted(found: Counter) -> Iterator[pa.RecordBatch]:
-            words: Counter = Counter()
-            for chunk, n in found.items():
-                for word in _matches(chunk, find):
-                    words[word] += n
-            names, numbers = [w.encode().decode("latin-1") for w in words], list(words.values())
-            for at in range(0, len(names), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 50_000]), pa.array(numbers[at : at + 50_000], pa.int64())], ["word", "n"])
-
-        found: Counter = Counter()
-        for batch in batches:
-            for part in _slices(batch):
-                for text in part.column(0).to_pylist():
-                    found.update(_pieces(text))
-                if len(found) > most:
-                    yield from counted(found)
-                    found.clear()
-        yield from counted(found)
-
-    return docs.select(text_col).mapInArrow(common.tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def common_words(counts: DataFrame, most: int) -> DataFrame:
-    """The words that occur at least so often that no more than most do."""
-    tally = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n"))
-    total, least = 0, None
-    for row in tally.toLocalIterator():  # distinct counts, a partition at a time, and only down to the threshold
-        total += row["words"]
-        if total > most:
-            break
-        least = row["n"]
-    return counts.where(F.col("n") >= least) if least is not None else counts.limit(0)
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", known_words: int = 1 << 17, longest: int = 64) -> DataFrame:
+class _Block:
+    """Distinct words in order of first sight, and the places of the words of each text."""
+
+    def __init__(self, find, longest: int):
+        self.find, self.longest = find, longest
+        self.words: dict[str, int] = {}
+        self.long: dict[str, int] = {}  # numbered -1, -2, ...
+        self.known: dict[str, bytes] = {}  # places of the words of a chunk
+        self.rows: list = []
+        self.places: list[bytes] = []
+        self.size = 0
+
+    def _place(self, word: str) -> int:
+        place = self.words.get(word)
+        if place is None:
+            if len(word) * 4 > self.longest and len(word.encode()) > self.longest:
+                return self.long.setdefault(word, -1 - len(self.long))
+            self.words[word] = place = len(self.words)
+        return place
+
+    def _chunk(self, chunk: str) -> bytes:
+        found = chunks.words(chunk, self.find) if max(chunk) < chunks.LATIN else self.find(chunk)
+        return array("i", [self._place(w) for w in found]).tobytes()
+
+    def add(self, row, text: str | None) -> None:
+        known = self.known
+        own = [] if not text else chunks.split(text) if chunks.plain(text) else [text]
+        if len(own) == 1:
+            placed = self._chunk(own[0])
+        else:
+            try:
+                placed = b"".join(map(known.__getitem__, own))
+            except KeyError:
+                for chunk in own:
+                    if chunk not in known:
+                        known[chunk] = self._chunk(chunk)
+                placed = b"".join(map(known.__getitem__, own))
+        self.rows.append(row)
+        self.places.append(placed)
+        self.size += len(placed) // 4
+
+    def batch(self, ranks: dict[bytes, int], kind: pa.DataType) -> pa.RecordBatch:
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        sizes = [len(p) // 4 for p in self.places]
+        words = [w.encode().decode("latin-1") for w in self.words]
+        long_ids = [fold_long(w.encode(), ranks) for w in self.long]
+        return pa.RecordBatch.from_arrays(
+            [one(self.rows, kind), one(sizes, pa.int32()), pa.array([b"".join(self.places)], pa.binary()), one(words, pa.string()), one(long_ids, pa.list_(pa.int32()))], ["rows", "sizes", "places", "words", "long_ids"]
+        )
+
+
+def _ids_of(rows: pa.Array, sizes: np.ndarray, places: np.ndarray, lists: list[pa.ListArray], most: int) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """The ids of each text of a block, by the places of its words, in parts of about so many places."""
+    flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False).astype(np.int32) for x in lists])
+    offsets = [x.offsets.to_numpy().astype(np.int64) for x in lists]
+    starts, shift = [], 0
+    for own in offsets:
+        starts.append(own[:-1] - own[0] + shift)
+        shift += int(own[-1] - own[0])
+    begin, length = np.concatenate(starts), np.concatenate([np.diff(own) for own in offsets])
+    short = len(offsets[0]) - 1
+    places = np.where(places < 0, short - 1 - places, places)
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(edges // most)) + 1, [len(sizes)]]))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        own = places[edges[lo] : edges[hi]]
+        each = length[own]
+        stop = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(begin[own] - stop[:-1], each) + np.arange(stop[-1])]
+        yield rows.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(stop[edges[lo : hi + 1] - edges[lo]].astype(np.int32)), pa.array(ids))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 1024, block_words: int = 1 << 18, block_places: int = 1 << 22) -> DataFrame:
     """id and ids (array<int>) of every row."""
-    spark = docs.sparkSession
-    counts = common.stage(word_counts(docs, text_col, pattern))
-    words = common_words(counts, known_words).where(F.length("word") <= longest)
-    parts = common.spread(spark, known_words, 4096)
-    known = words.select("word").repartition(parts).select("word", fold(F.col("word"), literal_ranks(ranks)).alias("ids"))
-    got = known.toArrow()
-    ids = got.column("ids").combine_chunks()
-    flat, ends = ids.flatten().to_numpy().astype("<i4"), ids.offsets.to_numpy()
-    held = spark.sparkContext.broadcast(([w.encode("latin-1").decode() for w in got.column("word").to_pylist()], flat, ends - ends[0] if len(ends) else ends, ranks))
     kind = docs.schema[id_col].dataType.simpleString()
-    token = uuid.uuid4().hex
+    held = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary, for very long words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        names, flat, ends, ranks = held.value
-        known = {w: flat[ends[k] : ends[k + 1]].tobytes() for k, w in enumerate(names)}
-        cache: dict[str, bytes] = {}
-
-        folded = _folded_in(token)
-
-        def word_ids(word: str) -> bytes:
-            found = folded.get(word)
-            if found is None:
-                found = array("i", fold_here(word.encode(), ranks)).tobytes()
-                if len(folded) < _most_folded:
-                    folded[word] = found
-            return found
-
-        def chunk_ids(chunk: str) -> bytes:
-            return b"".join([known.get(w) or word_ids(w) for w in _matches(chunk, find)])
-
-        def text_ids(text: str | None) -> bytes:
-            own = _pieces(text)
-            if len(own) == 1:
-                return chunk_ids(own[0])
-            if len(cache) > 150_000:
-                cache.clear()
-            for chunk in own:
-                if chunk not in cache:
-                    cache[chunk] = chunk_ids(chunk)
-            return b"".join(map(cache.__getitem__, own))
-
+        block, id_kind = _Block(find, longest), None
         for batch in batches:
-            for part in _slices(batch):
-                out = list(map(text_ids, part.column(1).to_pylist()))
-                at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(out), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), values)], [id_col, "ids"])
-
-    return docs.select(id_col, text_col).mapInArrow(common.tidy(run), f"`{id_col}` {kind}, ids array<int>")
+            id_kind = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, 256):  # a part at a time is Python objects
+                for row, text in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist(), strict=True):
+                    if block.rows and (len(block.words) >= block_words or block.size + len(text or "") // 4 >= block_places):
+                        yield block.batch(held.value, id_kind)
+                        block = _Block(find, longest)
+                    block.add(row, text)
+        if block.rows:
+            yield block.batch(held.value, id_kind)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, sizes, places, words, long_ids = (batch.column(c)[k] for c in range(5))
+                own = np.frombuffer(places.as_py(), dtype="<i4")
+                for part, ids in _ids_of(rows.values, sizes.values.to_numpy(), own, [words.values, long_ids.values], 1 << 18):
+                    yield pa.RecordBatch.from_arrays([part, ids], [id_col, "ids"])
+
+    blocks = docs.select(id_col, text_col).mapInArrow(common.tidy(cut), f"rows array<{kind}>, sizes array<int>, places binary, words array<string>, long_ids array<array<int>>")
+    table = literal_ranks(ranks)
+    folded = blocks.select("rows", "sizes", "places", F.transform("words", lambda w: fold(w, table)).alias("word_ids"), "long_ids")
+    return folded.mapInArrow(common.tidy(place), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:

@@ -324,18 +324,24 @@ def test_byte_bpe(spark, docs, texts, bpe, empty):
     ranks, pattern, own = bpe
     odd = [(200, "漢字かな 😀😀 naïve\u00a0\u2003x  \n\n\n y\t<|endoftext|>"), (201, "a" * 3000), (202, "\x00\x01 \x1c"), (203, " ")]
     df = docs.unionByName(spark.createDataFrame(odd, DOCS))
-    for known in (1 << 17, 5):  # with and without most words in the dictionary
-        rows = byte_bpe.decode(byte_bpe.encode(df, ranks, pattern, known_words=known), ranks).collect()
+    for options in ({}, {"block_words": 7, "block_places": 20}, {"longest": 4}):  # large and small blocks; nearly all words by the heap
+        rows = byte_bpe.decode(byte_bpe.encode(df, ranks, pattern, **options), ranks).collect()
         assert sorted((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in rows) == sorted((d, tuple(own.encode_ordinary(t or "")), (t or "").encode()) for d, t in texts + odd)
     assert byte_bpe.encode(empty, ranks, pattern).collect() == []
+    clash = df.selectExpr("doc_id AS words", "text", "1 AS rows", "2 AS ids", "3 AS places")
+    assert byte_bpe.encode(clash, ranks, pattern, id_col="words").columns == ["words", "ids"]
+    assert byte_bpe.encode(clash, ranks, pattern, id_col="words").count() == df.count()
 
 
-def test_fold_in_python(bpe):
+def test_fold(spark, bpe):
     ranks, _, own = bpe
     rng = random.Random(4)
-    for _ in range(300):
-        word = "".join(rng.choice("aeinrst thX1é漢") for _ in range(rng.randint(1, 30))).strip() or "a"
-        assert byte_bpe.fold_here(word.encode(), ranks) == own._encode_single_piece(word.encode())
+    words = ["".join(rng.choice("aeinrst thX1é漢") for _ in range(rng.randint(1, 30))).strip() or "a" for _ in range(300)] + ["", "a" * 200]
+    df = spark.createDataFrame([(w.encode().decode("latin-1"),) for w in words], "word string").coalesce(1)
+    got = [r[0] for r in df.select(byte_bpe.fold(F.col("word"), byte_bpe.literal_ranks(ranks))).collect()]
+    assert got == [own._encode_single_piece(w.encode()) if w else [] for w in words]
+    for word in words[:-2]:
+        assert byte_bpe.fold_long(word.encode(), ranks) == own._encode_single_piece(word.encode())
 
 
 # --- 8 -----------------------------------------------------------------------------------------------------------------------
