@@ -140,6 +140,8 @@ class _Block:
             try:
                 placed = b"".join(map(known.__getitem__, own))
             except KeyError:
+                if len(known) > 150_000:
+                    known.clear()
                 for chunk in own:
                     if chunk not in known:
                         known[chunk] = self._chunk(chunk)
@@ -179,7 +181,7 @@ def _ids_of(rows: pa.Array, sizes: np.ndarray, places: np.ndarray, lists: list[p
         yield rows.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(stop[edges[lo : hi + 1] - edges[lo]].astype(np.int32)), pa.array(ids))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 1024, block_words: int = 1 << 18, block_places: int = 1 << 22) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 1024, block_words: int = 1 << 19, block_places: int = 1 << 22) -> DataFrame:
     """id and ids (array<int>) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary, for very long words

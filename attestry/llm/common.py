@@ -9,27 +9,45 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestry.functions import staging
+
 #: Folders written by this process; removed when it ends.
 _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="attestry-")
         spark.conf.set("spark.checkpoint.dir", found)
         _staged.append((spark, found))
     return found.rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, survives lost executors, and is computed once."""
+def stage(df: DataFrame, apart: str | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, survives lost executors, and is computed once.
+
+    apart: a column of few values by which files are apart, so that a reader of one value reads no other. What was shuffled for it goes when it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attestry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with staging.settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true"):
+        (df.write.partitionBy(apart) if apart else df.write).parquet(path)
     _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1, ..., which no name of an operator's own clashes with, and the columns as they are called."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), df.columns
+
+
+def place_of(df: DataFrame, column: str) -> str:
+    """What numbered() calls a column."""
+    return f"c{df.columns.index(column)}"
 
 
 def release(df: DataFrame) -> None:

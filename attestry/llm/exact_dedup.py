@@ -100,6 +100,7 @@ def _tester(spark, bits: np.ndarray, log_bits: int):
         at = _positions(h.to_numpy(), log_bits)
         return pd.Series(((held.value[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1))
 
+    maybe_repeated.release = held.unpersist
     return maybe_repeated
 
 
@@ -112,10 +113,15 @@ def decide(hashed: DataFrame, id_col: str = "doc_id", max_bits: int = 1 << 28) -
     log_bits = max(SEGMENT, int(np.ceil(np.log2(max(1, total * BITS_A_ROW / slices)))))
 
     alone, maybe = [], []
+    if slices > 1:  # written by slice, so that each is read as often as one alone
+        rows = common.stage(rows.withColumn("_slice", F.pmod(F.xxhash64("_h"), F.lit(slices)).cast("int")), apart="_slice")
     for k in range(slices):
-        part = rows if slices == 1 else rows.where(F.pmod(F.xxhash64("_h"), F.lit(slices)) == k)
+        part = rows if slices == 1 else rows.where(F.col("_slice") == k).drop("_slice")
         test = _tester(spark, repeated_bits(part.select("_h"), log_bits), log_bits)
         tested = part.withColumn("_maybe", test("_h")).drop("_h")
+        if slices > 1:  # tested now, so that its filter need not be kept
+            tested = common.stage(tested)
+            test.release()
         alone.append(tested.where(~F.col("_maybe")).drop("_maybe"))
         maybe.append(tested.where("_maybe").drop("_maybe"))
 
@@ -142,9 +148,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, with their own columns. Texts of rows that are certainly alone are not shuffled."""
-    clashing = [c for c in docs.columns if c in OUTPUT]
-    hidden = {c: f"_own_{c}" for c in clashing}
-    hashed = docs.withColumnsRenamed(hidden).withColumn("text_sha256", normalised_sha256(F.col(hidden.get(text_col, text_col))))
-    kept = decide(hashed, hidden.get(id_col, id_col), **options).where("kept").drop(*OUTPUT)
-    return kept.withColumnsRenamed({v: k for k, v in hidden.items()}).select(*docs.columns)
+    """The rows of docs that stay, with their own columns whatever they are called. Texts of rows that are certainly alone are not shuffled."""
+    own, names = common.numbered(docs)
+    hashed = own.withColumn("text_sha256", normalised_sha256(F.col(common.place_of(docs, text_col))))
+    return decide(hashed, common.place_of(docs, id_col), **options).where("kept").select(*own.columns).toDF(*names)

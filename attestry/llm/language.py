@@ -163,32 +163,50 @@ class Predictor:
         self.table[rows, -1] = np.bincount(owner, minlength=len(new))
         self.place.update(zip(new, rows.tolist(), strict=True))
 
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        words = WORDS.findall(text.lower()) if text and self.model.names else []
-        if not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0, True
-        try:
-            at = list(map(self.place.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            at = list(map(self.place.__getitem__, words))
-        total = self.table[at].sum(axis=0)
-        p = self.model.scores(total[:-1] / total[-1])
-        best = int(p.argmax())
-        return self.model.names[best], float(p[best]), bool(p[best] < self.model.threshold)
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and whether it is rejected, of each text."""
+        words = [WORDS.findall(t.lower()) if t and self.model.names else [] for t in texts]
+        words = [own if any(c.isalpha() for w in own for c in w) else [] for own in words]
+        names, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+        some = [k for k, own in enumerate(words) if own]
+        for lo in range(0, len(some), 256):
+            part = some[lo : lo + 256]
+            flat = [w for k in part for w in words[k]]
+            try:
+                at = list(map(self.place.__getitem__, flat))
+            except KeyError:
+                self._learn(flat)
+                at = list(map(self.place.__getitem__, flat))
+            starts = np.cumsum([0, *(len(words[k]) for k in part[:-1])])
+            total = self._sums(np.array(at), starts)
+            p = self.model.scores(total[:, :-1] / total[:, -1:])
+            best = p.argmax(axis=1)
+            for k, b in zip(part, best.tolist(), strict=True):
+                names[k] = self.model.names[b]
+            scores[part] = p.max(axis=1)
+            rejected[part] = scores[part] < self.model.threshold
+        return names, scores, rejected
+
+    def _sums(self, at: np.ndarray, starts: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """Sums of the table's rows, from each start to the next; a long stretch is summed in parts."""
+        if len(at) <= most:
+            return np.add.reduceat(self.table[at], starts, axis=0)
+        ends = [*starts[1:].tolist(), len(at)]
+        return np.stack([sum(self.table[at[k : min(k + most, e)]].sum(axis=0) for k in range(s, e, most)) for s, e in zip(starts.tolist(), ends, strict=True)])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected beside their own columns (columns of these names are replaced)."""
+    """docs with lang_pred, score and rejected beside their own columns. Columns of these three names are replaced; any other name is kept."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(OUT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         one, texts = Predictor(held.value), None
         for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=["lang_pred", "score", "rejected"])
+            yield pd.DataFrame(dict(zip(("lang_pred", "score", "rejected"), one(texts.tolist()), strict=True)))
         del one, texts
         common.trim()
 
-    own = docs.drop("lang_pred", "score", "rejected")
-    return own.withColumn("_p", run(text_col)).select(*own.columns, "_p.lang_pred", "_p.score", "_p.rejected")
+    own, names = common.numbered(docs.drop("lang_pred", "score", "rejected"))
+    text = F.col(own.columns[names.index(text_col)])
+    return own.withColumn("p", run(text)).select(*own.columns, "p.*").toDF(*names, "lang_pred", "score", "rejected")

@@ -12,7 +12,8 @@ are as in simhash.links.
 
 Missed pairs: at similarity 0.8, one slice in 3.6 agrees within 2 bits, so that all 21 fail for one pair in 1000; of sets of a few shingles more do.
 
-Defined results: as in simhash. Documents without a word are all alike, as are those of one fingerprint. Fewer words than a shingle: the whole sequence
+Defined results: a null, empty or all-white-space text has no word; repeated rows are one group; of ids that are repeated, null or no integers, the first row
+stays; a very long text is one set of shingles; an empty table gives an empty result. Documents without a word are all alike, as are those of one fingerprint. Fewer words than a shingle: the whole sequence
 is the one shingle.
 """
 
@@ -331,12 +332,14 @@ def groups(docs: DataFrame, row_col: str, text_col: str, words: int = 5, similar
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay: of each group the one with the smallest id. Columns as they are."""
+    """The rows of docs that stay: of each group the one with the smallest id. Columns as they are, whatever they are called."""
+    own, names = common.numbered(docs)
+    ident, text = common.place_of(docs, id_col), common.place_of(docs, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    if kind in ("bigint", "int") and docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
-        keyed = docs.withColumn("_row", F.col(id_col).cast("long"))
+    if kind in ("bigint", "int") and own.groupBy(ident).count().where((F.col("count") > 1) | F.col(ident).isNull()).isEmpty():
+        keyed = own.withColumn("row", F.col(ident).cast("long"))
     else:
-        keyed = common.stage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    grouped = groups(keyed, "_row", text_col, **options)
-    dropped = grouped.where(F.col("_row") != F.col("root")).select("_row")
-    return keyed.join(dropped, "_row", "left_anti").select(*docs.columns)
+        keyed = common.stage(own.withColumn("row", F.monotonically_increasing_id()))
+    grouped = groups(keyed, "row", text, **options)
+    dropped = grouped.where(F.col("row") != F.col("root")).select("row")
+    return keyed.join(dropped, "row", "left_anti").select(*own.columns).toDF(*names)
