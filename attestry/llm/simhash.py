@@ -74,6 +74,15 @@ def _near_masks(bits: int, radius: int) -> list[int]:
     return out
 
 
+def find(parents: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The roots of some members of a forest of parents, which then hang on them directly."""
+    roots = parents[at]
+    while ((up := parents[roots]) != roots).any():
+        roots = up
+    parents[at] = roots
+    return roots
+
+
 def _forest(radius: int):
     """Rows (cell, role, fp) sorted by cell and role, members (role 0) first -> links that join something new."""
 
@@ -91,18 +100,14 @@ def _forest(radius: int):
                 a, b = [], []
                 for own in np.split(np.arange(len(q)), np.flatnonzero(np.diff(q)) + 1):
                     who, near = q[own[0]], m[own]
-                    labels, first = np.unique(groups[near], return_index=True)
-                    label = labels[0]
-                    if inner and groups[who] != label:
-                        mine = groups[who]
-                        groups[groups == mine] = label
-                        keep = labels != mine
-                        labels, first = labels[keep], first[keep]
-                    elif inner:
-                        labels, first = labels[1:], first[1:]
-                    for other in labels:
-                        if other != label:
-                            groups[groups == other] = label
+                    roots, first = np.unique(find(groups, near), return_index=True)
+                    if inner:
+                        keep = roots != find(groups, q[own[:1]])[0]
+                        groups[find(groups, q[own[:1]])] = roots[0]
+                        groups[roots] = roots[0]
+                        first = first[keep]
+                    else:
+                        groups[roots] = roots[0]
                     a.extend([values[who]] * len(first))
                     b.extend(members[near[first]])
                 if a:
