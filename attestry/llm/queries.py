@@ -126,9 +126,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without the bytes of repeated 400-byte strings."""
-    left = suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
-    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """What is left of every document without the bytes of repeated 400-byte strings; and whether a passage of over 50 words, which may be shorter, repeats."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    left = common.stage(suffixes.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+    repeats = suffixes.with_passages(docs).withColumn("repeats", F.lit(True))
+    return left.join(repeats, "doc_id", "left").withColumn("repeats", F.coalesce("repeats", F.lit(False)))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ Sampling, which is exact: in each window of ``length`` bytes one place is chosen
 there. The choice depends on the window's content alone, so equal windows choose the same place in them, and a window can only
 repeat if the gram at its place does. A place is chosen by a run of neighbouring windows; run and text under it are its context.
 
-1. Every task hashes all bytes of its texts (a rolling hash in numpy) and writes one row per chosen place: hash of the gram, hash of the
-   context, document, first window, number of windows, offset of the place. This is staged; it is about a tenth of the texts.
+1. Every task hashes all bytes of its texts (a rolling hash in numpy) and writes one row per chosen place: hash of the gram, XXH3 of the
+   context's bytes, document, first window, number of windows, offset of the place. This is staged; it is about a tenth of the texts.
 2. Counts by (gram, context) and by gram, pre-aggregated. A context that occurs twice is repeated in full. A gram that occurs once is
    no repeat. Contexts that occur once, under a gram that does not, are compared: one place per distinct context fetches its bytes.
 3. The compared places meet by gram. Their suffixes (the text from the place on) are sorted deep-shallow: multikey quicksort to a shallow
@@ -19,7 +19,8 @@ repeat if the gram at its place does. A place is chosen by a run of neighbouring
 5. Windows become runs of bytes per document, and the documents are rewritten.
 
 Defined results: a null text is empty and stays null where texts are returned. Matches never cross documents; two rows are two documents even with
-the same id (a row number tells them apart). Empty table: empty result. Columns of the input are kept where texts are returned.
+the same id (a row number tells them apart). A very long text is gone through in pieces that overlap. Empty table: empty result. Columns of the input are
+kept, whatever they are called.
 """
 
 from __future__ import annotations
@@ -34,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from attestry.llm import common
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-GAP = 1 << 20  # bytes hashed at a time
+GAP = 1 << 18  # bytes hashed at a time
 PLACES = "gram long, context long, doc long, first int, windows short, offset short"
 
 
@@ -91,8 +93,9 @@ class Sampler:
         windows = np.diff(np.append(first, n))
         place = chosen[first]
         end = first + windows + self.length - 1
-        context = _mixed((sums[end] - sums[first]) * self.down[first] + _mixed((windows.astype(np.uint64) << np.uint64(20)) + (place - first).astype(np.uint64)))
-        return grams[place], context, first, windows, place - first
+        raw, shape = text.tobytes(), _mixed((windows.astype(np.uint64) << np.uint64(20)) + (place - first).astype(np.uint64))
+        bytes_of = np.array([xxh3_64_intdigest(raw[s:e]) for s, e in zip(first.tolist(), end.tolist(), strict=True)], dtype=np.uint64)
+        return grams[place], bytes_of ^ shape, first, windows, place - first
 
 
 def _sample(length: int, gram: int):
@@ -328,7 +331,10 @@ def repeated_runs(texts: DataFrame, length: int = 400, gram: int = 128, group_pl
     singly = crowded.mapInArrow(common.tidy(_windows(length)), "hash binary, doc long, start long, n long")
     often = singly.groupBy("hash").agg(F.sum("n").alias("times")).where("times > 1")
     apart = singly.where("n = 1").join(often, "hash", "left_semi").select("doc", "start", F.lit(1).cast("long").alias("windows"))
-    return runs.unionByName(compared).unionByName(apart)
+    found = common.stage(runs.unionByName(compared).unionByName(apart))
+    for done in (places, classes, contexts):
+        common.release(done)
+    return found
 
 
 def _rewrite(length: int, text_place: int, runs_place: int):
@@ -367,17 +373,47 @@ def whole_characters(kept: pd.Series) -> pd.Series:
     return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
+def _worded(length: int, words: int):
+    """(doc, text, runs) -> (doc, repeats): whether some run of repeated windows has more than so many words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, runs in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                spans: list[list[int]] = []
+                for start, windows in sorted((r["start"], r["windows"]) for r in runs):
+                    stop = start + windows - 1 + length
+                    if spans and start <= spans[-1][1]:
+                        spans[-1][1] = max(stop, spans[-1][1])
+                    else:
+                        spans.append([start, stop])
+                found.append(any(len(text[a:b].split()) > words for a, b in spans))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.bool_())], ["doc", "repeats"])
+
+    return run
+
+
+def with_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 240, gram: int = 96, words: int = 50) -> DataFrame:
+    """id_col (a unique integer) of the documents with a passage of over so many words, and of length bytes at least, that also stands elsewhere."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    by_doc = repeated_runs(texts, length, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    found = texts.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(common.tidy(_worded(length, words)), "doc long, repeats boolean")
+    return found.where("repeats").select(F.col("doc").alias(id_col)).distinct()
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 128, group_places: int = 20_000) -> DataFrame:
-    """docs without its text, and with kept (the remaining bytes), n_bytes, n_removed and n_spans (columns of these names are replaced)."""
-    own = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
+    """docs without its text, and with kept (the remaining bytes), n_bytes, n_removed and n_spans. Columns of these four names are replaced; any other is kept."""
+    own, names = common.numbered(docs.drop("kept", "n_bytes", "n_removed", "n_spans"))
+    ident, text = (own.columns[names.index(c)] for c in (id_col, text_col))
     kind = docs.schema[id_col].dataType.simpleString()
-    if kind in ("bigint", "int") and docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
-        keyed = own.withColumn("_doc", F.col(id_col).cast("long"))
+    if kind in ("bigint", "int") and own.groupBy(ident).count().where((F.col("count") > 1) | F.col(ident).isNull()).isEmpty():
+        keyed = own.withColumn("doc", F.col(ident).cast("long"))
     else:
-        keyed = common.stage(own.withColumn("_doc", F.monotonically_increasing_id()))
-    runs = repeated_runs(keyed.select(F.col("_doc").alias("doc"), F.col(text_col).alias("text")), length, gram, group_places)
-    by_doc = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("_runs"))
-    joined = keyed.join(by_doc, keyed["_doc"] == by_doc["doc"], "left").select(*own.columns, "_runs")
-    rest = [f for f in own.schema if f.name != text_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return joined.mapInArrow(common.tidy(_rewrite(length, own.columns.index(text_col), len(own.columns))), f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
+        keyed = common.stage(own.withColumn("doc", F.monotonically_increasing_id()))
+    runs = repeated_runs(keyed.select("doc", F.col(text).alias("text")), length, gram, group_places)
+    by_doc = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
+    joined = keyed.join(by_doc, "doc", "left").select(*own.columns, "runs")
+    rest = [f for f in own.schema if f.name != text]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest)
+    cut = joined.mapInArrow(common.tidy(_rewrite(length, own.columns.index(text), len(own.columns))), f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return cut.toDF(*[n for n in names if n != text_col], "kept", "n_bytes", "n_removed", "n_spans")
