@@ -29,7 +29,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with a swapped last answer; digests of what is rendered, and what the masks cover."""
-    pairs = preferences.format_pairs(*preferences.swapped_answers(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+    pairs = preferences.format_sides(preferences.swapped_answers(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
     covered = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return pairs.select(
         "pair_id", "block", "prompt_turns", F.sha2("prompt", 256).alias("prompt_sha256"), F.sha2("chosen", 256).alias("chosen_sha256"), F.sha2("rejected", 256).alias("rejected_sha256"),
@@ -51,12 +51,12 @@ paired AS (
 said AS (SELECT pair_id, turn, role, text, 'c' AS side FROM paired UNION SELECT pair_id, turn, role, other, 'r' FROM paired),
 at_turn AS (SELECT pair_id, turn, side, list({'role': role, 'text': text} ORDER BY role, text) AS said FROM said GROUP BY ALL),
 split AS (
-  SELECT c.pair_id, min(CASE WHEN c.said IS DISTINCT FROM r.said THEN coalesce(c.turn, r.turn) END) AS split
+  SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, count(*) AS n, min(CASE WHEN c.said IS DISTINCT FROM r.said THEN coalesce(c.turn, r.turn) END) AS split
   FROM (SELECT * FROM at_turn WHERE side = 'c') c FULL JOIN (SELECT * FROM at_turn WHERE side = 'r') r ON c.pair_id = r.pair_id AND c.turn = r.turn
-  GROUP BY c.pair_id),
+  GROUP BY 1),
 marked AS (
   SELECT pair_id, turn, role, text, CASE WHEN split IS NULL OR turn < split THEN 'p' ELSE side END AS part, side,
-    '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered, CAST(floor(greatest(turn, 0) / 512.0) AS BIGINT) AS block
+    '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered, CASE WHEN n <= 512 THEN 0 ELSE CAST(floor(greatest(turn, 0) / 512.0) AS BIGINT) END AS block
   FROM said JOIN split USING (pair_id)),
 once AS (SELECT * FROM marked WHERE part <> 'p' OR side = 'c')
 SELECT pair_id, block,
