@@ -2,6 +2,9 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame. run() writes what a stage returns as Parquet
 into the shared folder and gives it, read again, to the next. All stages but the last return the columns of documents.
+
+Defined results: a document keeps all its columns, whatever further ones it has and whatever they are called. Repeated rows and ties are settled by the
+operators (of equal or similar texts the smallest doc_id stays). An empty table goes through as one.
 """
 
 from __future__ import annotations
@@ -17,10 +20,13 @@ PASSAGE_GRAM = 96
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; lang becomes the predicted one where it was null."""
+    """Documents whose language is recognised; lang becomes the predicted one where it was null. Null and empty texts and those without a letter go."""
     common.ship(spark)
-    predicted = language.predict(docs, language.fit(docs)).where(~F.col("rejected"))
-    return predicted.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    own, names = common.numbered(docs)
+    at = {name: own.columns[names.index(name)] for name in ("doc_id", "text", "lang")}
+    model = language.fit(own, at["doc_id"], at["text"], at["lang"])
+    predicted = language.predict(own, model, at["text"]).where(~F.col("rejected"))
+    return predicted.withColumn(at["lang"], F.coalesce(at["lang"], "lang_pred")).select(*own.columns).toDF(*names)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +42,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that occur elsewhere; those of which nothing is left go, unless they were empty before."""
+    """Documents without passages that occur elsewhere; those of which nothing is left go, unless they were empty before. A null text stays null."""
     common.ship(spark)
-    left = suffixes.remove_repeats(docs.withColumn("_text", F.col("text")), length=PASSAGE_BYTES, gram=PASSAGE_GRAM)
-    rest = F.when(F.col("n_removed") == 0, F.col("_text")).otherwise(suffixes.whole_characters(F.col("kept")))
-    written = left.withColumn("text", rest).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    counted = written.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return counted.select(*docs.columns)
+    own, names = common.numbered(docs)
+    ident, text, chars = (own.columns[names.index(name)] for name in ("doc_id", "text", "n_chars"))
+    left = suffixes.remove_repeats(own.withColumn("whole", F.col(text)), ident, "whole", length=PASSAGE_BYTES, gram=PASSAGE_GRAM)
+    same = F.col("n_removed") == 0
+    written = left.withColumn(text, F.when(same, F.col(text)).otherwise(suffixes.whole_characters(F.col("kept")))).where(same | (F.trim(text) != ""))
+    return written.withColumn(chars, F.when(same, F.col(chars)).otherwise(F.length(text).cast("long"))).select(*own.columns).toDF(*names)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
