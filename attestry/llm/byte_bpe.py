@@ -211,8 +211,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     yield pa.RecordBatch.from_arrays([part, ids], [id_col, "ids"])
 
     blocks = docs.select(id_col, text_col).mapInArrow(common.tidy(cut), f"rows array<{kind}>, sizes array<int>, places binary, words array<string>, long_ids array<array<int>>")
-    table = literal_ranks(ranks)
-    folded = blocks.select("rows", "sizes", "places", F.transform("words", lambda w: fold(w, table)).alias("word_ids"), "long_ids")
+    word_ids = let(literal_ranks(ranks), lambda table: F.transform("words", lambda w: fold(w, table)))  # one table, however often the fold names it
+    folded = blocks.select("rows", "sizes", "places", word_ids.alias("word_ids"), "long_ids")
     return folded.mapInArrow(common.tidy(place), f"`{id_col}` {kind}, ids array<int>")
 
 
