@@ -163,6 +163,26 @@ def issue_union(*streams: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, streams)
 
 
+def toggled(done: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys done after each touched one has changed sides: a key in one table only. Each counts once in either table."""
+    either = done.select(*keys, F.lit(1).alias("side")).unionByName(touched.select(*keys, F.lit(2).alias("side"))).distinct()
+    return either.groupBy(*keys).agg(F.count("*").alias("sides")).where("sides = 1").select(*keys)
+
+
+def added(done: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys done with more of them; adding a key again changes nothing."""
+    return done.select(*keys).unionByName(more.select(*keys)).distinct()
+
+
+def upserted(state: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """state with, for each key, its last change by order in place of what it was. Columns of state; order columns are those of changes only."""
+    values = [c for c in state.columns if c not in keys]
+    was = state.select(*keys, F.struct(F.lit(0).alias("new"), F.struct(*[F.lit(None).cast(changes.schema[o].dataType).alias(o) for o in order]).alias("at"), F.struct(*values).alias("values")).alias("row"))
+    now = changes.select(*keys, F.struct(F.lit(1).alias("new"), F.struct(*order).alias("at"), F.struct(*values).alias("values")).alias("row"))
+    last = was.unionByName(now).groupBy(*keys).agg(F.max_by("row", F.struct("row.new", "row.at")).alias("row"))
+    return last.select(*keys, "row.values.*").select(*state.columns)
+
+
 def size_label(n: Column) -> Column:
     """Bytes for people: MB with one decimal above 1 MiB, else whole KB, one at least."""
     return F.when(n > 1048576, F.concat(F.format_number(n / 1048576, 1), F.lit(" MB"))).otherwise(F.concat(F.greatest(F.lit(1), F.floor(n / 1024 + 0.5)).cast("string"), F.lit(" KB")))

@@ -366,6 +366,35 @@ def unpivoted_pointers(read):
     return pointers.join(names, "ref", "left").select("c_custkey", "field", "found")
 
 
+@query("""
+WITH done AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), touched AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error')
+SELECT user_id FROM (SELECT * FROM done UNION ALL SELECT * FROM touched) GROUP BY 1 HAVING count(*) = 1
+""")
+def toggled_set(read):
+    """A set of what is done, of which each touched member changes sides."""
+    of = lambda kind: read("events", "user_id", "event_type").where(F.col("event_type") == kind)
+    return tabular.toggled(of("purchase"), of("error"), ["user_id"])
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE event_type IN ('purchase', 'error')")
+def added_set(read):
+    """Members added to a set, once each."""
+    of = lambda kind: read("events", "user_id", "event_type").where(F.col("event_type") == kind)
+    return tabular.added(of("purchase"), of("error"), ["user_id"])
+
+
+@query("""
+SELECT c_custkey, coalesce(o.s, 'none') AS status, coalesce(o.p, c_acctbal) AS amount FROM customer LEFT JOIN (
+  SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS p FROM orders GROUP BY 1) o ON o_custkey = c_custkey
+UNION ALL SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)), arg_max(o_totalprice, (o_orderdate, o_orderkey)) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey) GROUP BY 1
+""")
+def upserted_state(read):
+    """A table of states, in which the last change of a key replaces what it was."""
+    state = read("customer", "c_custkey", "c_acctbal").select("c_custkey", F.lit("none").alias("status"), F.col("c_acctbal").alias("amount"))
+    orders = read("orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    return tabular.upserted(state, orders.selectExpr("o_custkey AS c_custkey", "o_orderstatus AS status", "o_totalprice AS amount", "o_orderdate", "o_orderkey"), ["c_custkey"], ["o_orderdate", "o_orderkey"])
+
+
 for _f, _text in ledgers.QUERIES.values():
     query(_text)(_f)
 

@@ -26,6 +26,15 @@ def from_objects(spark: SparkSession, documents: dict[str, object]) -> DataFrame
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in documents.items()], "key string, raw string")
 
 
+def sample(spark: SparkSession, name: str) -> DataFrame:
+    """One valid document that comes with the library: pack, draft (its sources are those of context) or context. Columns key, raw, and for a draft context."""
+    from importlib.resources import files
+
+    text = lambda n: (files("attestry.fixtures") / f"{n}.json").read_text()
+    row = (name, text(name), text("context")) if name == "draft" else (name, text(name))
+    return spark.createDataFrame([row], "key string, raw string" + (", context string" if name == "draft" else ""))
+
+
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and time of files whose content is not read."""
     files = spark.read.format("binaryFile").load(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,28 +14,72 @@ ORDER_OUT = "key string, sequence long, code string"
 ORDER_STATE = "sequence long, at timestamp"
 
 
+def _gathered(batches: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    parts = [b[columns] for b in batches]
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
+
+
 def _order(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     sequence, at = state.get if state.exists else (-1, None)
-    rows = []
-    for batch in batches:
-        for now, when in batch.sort_values(["sequence", "at"])[["sequence", "at"]].itertuples(index=False):
-            if now <= sequence:
-                rows.append((key[0], now, "event_order"))
-            if at is not None and not pd.isna(when) and when < pd.Timestamp(at):
-                rows.append((key[0], now, "event_time_order"))
-            sequence = int(now)
-            at = at if pd.isna(when) else when.to_pydatetime()
-    state.update((sequence, at))
-    yield pd.DataFrame(rows, columns=["key", "sequence", "code"])
-
-
-def order_issues(events: DataFrame) -> DataFrame:
+    rows = _gathered(batches, ["sequence", "at"]).sort_values(["sequence", "at"], kind="stable")
+    numbers = rows["sequence"].to_numpy(dtype=np.int64)
+    before = np.concatenate([[sequence], numbers[:-1]])
+    seen = pd.concat([pd.Series([pd.NaT if at is None else pd.Timestamp(at)]), rows["at"].reset_index(drop=True)], ignore_index=True).ffill()
+    late = (rows["at"].reset_index(drop=True) < seen[:-1].reset_index(drop=True)).to_numpy()
+    last = seen.iloc[-1]
+    state.update((int(numbers[-1]) if len(numbers) else sequence, None if pd.isna(last) else last.to_pydatetime()))
+    if (now := state.getCurrentWatermarkMs()) >= 0:
+        state.setTimeoutTimestamp(max(now, 0 if pd.isna(last) else int(last.timestamp() * 1000)) + KEPT_MS)
+    found = [(numbers[numbers <= before], "event_order"), (numbers[late], "event_time_order")]
+    yield pd.concat([pd.DataFrame({"key": key[0], "sequence": n, "code": code}) for n, code in found], ignore_index=True).sort_values(["sequence", "code"])
+
+
+#: How long the state of a ledger without events is kept behind the watermark.
+KEPT_MS = 7 * 24 * 3600 * 1000
+
+
+def order_issues(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """events (streaming): key, sequence, at. An issue for each event that does not come after the last one of its ledger, in sequence or time.
 
-    The state of a ledger is its last sequence and time. Within a batch events are taken by sequence; between batches as they arrive.
+    The state of a ledger is its last sequence and time; it goes a week after the watermark has passed them. Within a batch events are taken by
+    sequence, between batches as they arrive, so what is found depends on which events come together. A null time is no time.
+    """
+    typed = events.select(F.col("key").cast("string").alias("key"), F.col("sequence").cast("long").alias("sequence"), F.col("at").cast("timestamp").alias("at")).withWatermark("at", lateness)
+    return typed.groupBy("key").applyInPandasWithState(_order, ORDER_OUT, ORDER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: The states of retention are fixed values of the format. Which may follow which is this library's choice: what is deleted or was never stored stays so.
+FOLLOWS = {
+    "not_stored": (), "deletion_requested": ("provider_reported_deleted", "locally_cleared", "status_unavailable"), "provider_reported_deleted": (), "locally_cleared": (),
+    "status_unavailable": ("deletion_requested", "provider_reported_deleted", "locally_cleared"),
+}
+RETENTION_OUT = "key string, subject string, state string, previous string, allowed boolean"
+
+
+def _retained(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    (now,) = state.get if state.exists else (None,)
+    out = []
+    for to in _gathered(batches, ["at", "state"]).sort_values("at", kind="stable")["state"]:
+        allowed = now is None or to == now or to in FOLLOWS.get(now, ())
+        if to != now:
+            out.append((*key, to, now, allowed))
+        now = to if allowed else now
+    if now is not None:
+        state.update((now,))
+    yield pd.DataFrame(out, columns=["key", "subject", "state", "previous", "allowed"])
+
+
+def retention_states(records: DataFrame) -> DataFrame:
+    """records (streaming): key, subject, state, at. Each change of a subject's state, and whether its last allowed state may be followed by it.
+
+    A change that is not allowed is reported and leaves the state as it was. The state of a subject, one word, is kept for good, as what is deleted stays deleted.
+    Within a batch records are taken by time.
     """
-    typed = events.select(F.col("key").cast("string").alias("key"), F.col("sequence").cast("long").alias("sequence"), F.col("at").cast("timestamp").alias("at"))
-    return typed.groupBy("key").applyInPandasWithState(_order, ORDER_OUT, ORDER_STATE, "append", GroupStateTimeout.NoTimeout)
+    typed = records.select(*[F.col(c).cast("string").alias(c) for c in ("key", "subject", "state")], F.col("at").cast("timestamp").alias("at"))
+    return typed.groupBy("key", "subject").applyInPandasWithState(_retained, RETENTION_OUT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def first_seen(events: DataFrame, lateness: str = "1 hour") -> DataFrame:

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from attestry.operators import tabular
-from attestry.sources import documents
+from attestry.sources import documents, schemas
 from attestry.streaming import ledger
 
 
@@ -24,6 +24,23 @@ def test_order_issues(spark, tmp_path):
     assert sorted(got) == [("a", 2, "event_order")]
 
 
+def test_order_issues_of_several_kinds(spark, tmp_path):
+    rows = [("a", 1, "2027-01-01 00:00:05"), ("a", 2, None), ("a", 3, "2027-01-01 00:00:01"), ("a", 4, "2027-01-01 00:00:06"), ("a", 4, "2027-01-01 00:00:07")]
+    spark.createDataFrame(rows, "key string, sequence long, at string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, sequence long, at string").parquet(str(tmp_path / "in"))
+    assert sorted(drained(ledger.order_issues(stream), "order_kinds", spark)) == [("a", 3, "event_time_order"), ("a", 4, "event_order")]
+
+
+def test_retention_states(spark, tmp_path):
+    rows = [("p", "provider", "status_unavailable", 1), ("p", "provider", "deletion_requested", 2), ("p", "provider", "provider_reported_deleted", 3), ("p", "provider", "deletion_requested", 4), ("p", "browser", "not_stored", 1)]
+    made = spark.createDataFrame([(k, s, x, f"2027-01-01 00:00:0{t}") for k, s, x, t in rows], "key string, subject string, state string, at string")
+    made.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
+    got = sorted(drained(ledger.retention_states(stream), "retention_states", spark), key=repr)
+    assert got == sorted([("p", "browser", "not_stored", None, True), ("p", "provider", "status_unavailable", None, True), ("p", "provider", "deletion_requested", "status_unavailable", True),
+                          ("p", "provider", "provider_reported_deleted", "deletion_requested", True), ("p", "provider", "deletion_requested", "provider_reported_deleted", False)], key=repr)
+
+
 def test_first_seen(spark, tmp_path):
     rows = [("a", "x", "2027-01-01 00:00:00"), ("a", "x", "2027-01-01 00:00:05"), ("a", "y", "2027-01-01 00:00:09")]
     spark.createDataFrame(rows, "key string, id string, at string").coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -41,6 +58,13 @@ def test_sources(spark, tmp_path):
     assert documents.from_objects(spark, {"k": {"x": 1}}).first()["raw"] == '{"x": 1}'
 
 
+def test_samples_and_schemas(spark):
+    for name, schema in (("pack", schemas.PACK), ("draft", schemas.ANALYSIS), ("context", schemas.CONTEXT)):
+        row = schemas.typed(documents.sample(spark, name), schema).first()
+        without = lambda x: {k: without(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else [without(v) for v in x] if isinstance(x, list) else str(x)
+        assert without(row["doc"].asDict(recursive=True)) == without(json.loads(row["raw"]))
+
+
 def test_short_quotes_and_edges(spark):
     texts = spark.createDataFrame([(1, "one two three four five six seven"), (2, ""), (3, None), (4, "xone two three four five sixy")], "t long, text string")
     quotes = spark.createDataFrame([(1, "one two three four five six"), (2, "two"), (3, ""), (4, None)], "q long, text string")
