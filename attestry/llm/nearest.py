@@ -2,7 +2,7 @@
 
 Vectors are projected onto a few random Gaussian directions. Since the Gaussian is 2-stable, the squared distance of two projections over the
 squared distance of the vectors is a chi-square variable with as many degrees of freedom as there are directions. A query takes its neighbours in
-the projected space one leaf after another, nearest first, out of a kd-tree, and verifies each by its true distance. It stops when the next
+the projected space in order of their distance there, out of a kd-tree, and verifies each by its true distance. It stops when the next
 projected distance is so large that a vector better than its k-th best so far would lie within it with the given confidence:
 next^2 > quantile(chi-square, confidence) * best_k^2.
 
@@ -72,41 +72,55 @@ class KdTree:
                     mid = (hi - lo) // 2
                     self.order[lo:hi] = self.order[lo:hi][np.argpartition(own[:, axis], mid)]
                     stack += [(lo, lo + mid, at, 0), (lo + mid, hi, at, 1)]
-        self.low = np.array([n[4] for n in self.nodes])
-        self.high = np.array([n[5] for n in self.nodes])
-
-    def leaves(self, query: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """(squared distance below which nothing is left, places of a leaf's points), nearest leaf first."""
-        outside = np.maximum(0, np.maximum(self.low - query, query - self.high))
-        far = np.einsum("ij,ij->i", outside, outside)
-        heap = [(far[0], 0)]
-        while heap:
-            distance, at = heapq.heappop(heap)
+        self.boxes = [(n[4], n[5]) for n in self.nodes]
+
+    def _outside(self, at: int, query: np.ndarray) -> float:
+        low, high = self.boxes[at]
+        gap = np.maximum(0, np.maximum(low - query, query - high))
+        return float(gap @ gap)
+
+    def increments(self, query: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(squared distances, places) of points in order of distance, so many at a time as no unopened node can come before. Nodes are met as they are reached."""
+        heap = [(self._outside(0, query), 0)]
+        far, places = np.zeros(0), np.zeros(0, dtype=np.int64)
+        while heap or len(far):
+            bound = heap[0][0] if heap else np.inf
+            n = int(np.searchsorted(far, bound, side="right"))
+            if n:
+                yield far[:n], places[:n]
+                far, places = far[n:], places[n:]
+                continue
+            _, at = heapq.heappop(heap)
             lo, hi, left, right, _, _ = self.nodes[at]
-            if left < 0:
-                yield distance, self.order[lo:hi]
-            else:
-                heapq.heappush(heap, (far[left], left))
-                heapq.heappush(heap, (far[right], right))
+            if left >= 0:
+                for child in (left, right):
+                    heapq.heappush(heap, (self._outside(child, query), child))
+                continue
+            own = self.order[lo:hi]
+            diff = self.points[own] - query
+            far, places = np.concatenate([far, np.einsum("ij,ij->i", diff, diff)]), np.concatenate([places, own])
+            order = np.argsort(far, kind="stable")
+            far, places = far[order], places[order]
 
 
 def _top(vectors: np.ndarray, ids: list[np.ndarray], tree: KdTree, query: np.ndarray, projected: np.ndarray, own: int, k: int, quantile: float) -> tuple[list[float], list[int]]:
-    """The k nearest that are found, as (distance, id) ascending."""
+    """The k nearest that are found, as (distance, id) ascending. Points are verified in order of projected distance until one stands the stopping test."""
     best: list[tuple[float, int]] = []
-    for distance, places in tree.leaves(projected):
-        if len(best) >= k and distance > quantile * best[k - 1][0] ** 2:
-            break
-        diff = vectors[places] - query
-        found = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    for far, places in tree.increments(projected):
         limit = best[k - 1][0] if len(best) >= k else np.inf
+        within = int(np.searchsorted(far, quantile * limit**2, side="right")) if np.isfinite(limit) else len(far)
+        diff = vectors[places[:within]] - query
+        found = np.sqrt(np.einsum("ij,ij->i", diff, diff))
         for place in np.flatnonzero(found <= limit):
             best += [(float(found[place]), int(i)) for i in ids[places[place]] if i != own]
         best.sort()
         del best[k:]
+        if within < len(far):
+            break
     return [d for d, _ in best], [i for _, i in best]
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, m: int = 10, confidence: float = 0.5, block_rows: int = 20_000, query_rows: int = 10_000) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, m: int = 10, confidence: float = 0.95, block_rows: int = 20_000, query_rows: int = 10_000) -> DataFrame:
     """queries: rows like those of vectors, searched against all of them but the one with their own id. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     valid = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(
