@@ -17,19 +17,18 @@ def components(edges: DataFrame) -> DataFrame:
     Edges from a node to itself count for nothing; nulls and no edges at all give no rows.
     """
     now = common.stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before, rows = None, 2 * now.count()
     while True:
-        both = common.stage(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        rows = both.count()
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
         large = common.stage(common.attach(both, least, "u", "n", rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        small = common.stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         hung = common.attach(large, small, "u", "n", rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = common.stage(small.select("u", F.col("m").alias("v")).unionByName(hung).distinct())
         total = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for done in (both, least, large, small, now):
+        for done in (least, large, now):
             common.release(done)
-        now = after
+        now, rows = after, 2 * total[0]
         if tuple(total) == before or not total[0]:
             break
         before = tuple(total)
