@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import byte_bpe, common, exact_dedup, language, licences, nearest, packing, preferences, simhash, suffixes, url_filter
+from attestry.llm import align, byte_bpe, common, exact_dedup, language, licences, nearest, packing, phrases, preferences, simhash, suffixes, tree_bpe, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -182,6 +182,53 @@ FROM hashed WINDOW same AS (PARTITION BY text_sha256)
 """
 
 
+def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids by the segment tree, and what they decode to, as digests."""
+    path = tokenizer_file("word_bpe_49k.json")
+    decoded = tree_bpe.decode(tree_bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path), path)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups of tokens of two tokenizers, and how common its links are in the corpus."""
+    aligned = align.align(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.encode("groups", "UTF-8"), 256))
+    return aligned.select("doc_id", *align.NUMBERS, digest.alias("groups_sha256"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language that hang together most."""
+    return phrases.mine(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS p, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents)),
+said AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM said GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM said, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)),
+known AS (SELECT lang, phrase, min(k) AS k, count(*) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, phrase, k, f AS a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS part, array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM known WHERE k > 1)),
+scored AS (
+  SELECT c.lang, c.phrase, c.k, c.a, c.c, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN known x ON x.lang = c.lang AND x.phrase = c.part JOIN known y ON y.lang = c.lang AND y.phrase = c.rest),
+candidates AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+around AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, max(a) AS longest
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates WHERE k > 2)) GROUP BY ALL),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN around o ON o.lang = c.lang AND o.phrase = c.phrase WHERE o.longest IS NULL OR CAST(100 AS HUGEINT) * o.longest < CAST(80 AS HUGEINT) * c.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -202,6 +249,9 @@ def queries() -> dict:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_nearest": op9_nearest,
         "op10_url_filter": op10_url_filter,
+        "op11_tree_bpe": op11_tree_bpe,
+        "op12_align": op12_align,
+        "op13_phrases": op13_phrases,
     }
 
 
@@ -211,4 +261,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_preferences": OP3_SQL,
         "op5_licences": _licence_sql(),
         "op10_url_filter": OP10_SQL,
+        "op13_phrases": OP13_SQL,
     }
