@@ -1,33 +1,72 @@
-"""Where intermediate tables go: the folder that the driver and all executors share."""
+"""Where intermediate tables go, which is the folder that the driver and all executors share; and the package's code on the executors."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process has written, with their sessions; removed when it ends.
+written: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where that is unset, as in tests, a temporary folder is set, but only if driver and executors are one machine."""
+    """spark.checkpoint.dir. Where that is unset, as in tests, a temporary folder is set, but only if driver and executors are one machine; it goes when the process ends."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="attestry-")
         spark.conf.set("spark.checkpoint.dir", found)
+        written.append((spark, found))
     return found.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df as computed once, without its lineage."""
+    """df as computed once, without its lineage. Its files go when the process ends."""
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(spark))
+        written.append((spark, context._jsc.sc().getCheckpointDir().get()))
     return df.checkpoint()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in written:
+        try:
+            if spark.sparkContext._jsc is not None:
+                delete(spark, path)
+            elif path.startswith("file:"):  # the session was stopped before
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
+        except Exception:  # the JVM may be gone when Python ends
+            return
+    written.clear()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python, once per context: their workers import it by name."""
+    context = spark.sparkContext
+    if not getattr(context, "_attestry_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        target = Path(tempfile.mkdtemp(prefix="attestry-code-"))
+        context.addPyFile(shutil.make_archive(str(target / "attestry"), "zip", root, "attestry"))
+        atexit.register(shutil.rmtree, target, True)
+        context._attestry_shipped = True
+    return spark
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """The session's settings (with _ for .) while a table is computed; put back afterwards."""

@@ -1,54 +1,65 @@
-"""The ledger's order rules on streams of events."""
+"""The ledger's rules on streams of events: order, retention, duplicates, pairing, counts.
+
+Order and retention work by ``ordered``: the same is found for any cut of the input into batches. They need Spark's RocksDB state store (``use_rocksdb``).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-ORDER_OUT = "key string, sequence long, code string"
-ORDER_STATE = "sequence long, at timestamp"
+from attestry.functions import staging
+from attestry.streaming import ordered
+
+DAY = 24 * 3600 * ordered.SECOND
+
+
+def use_rocksdb(spark: SparkSession) -> SparkSession:
+    """Sets the session's state store, and sends the rules to the executors."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.PROVIDER)
+    return staging.ship(spark)
+
 
+class Order(ordered.Rule):
+    event = "sequence long, at long"
+    state = "sequence long, at long, seen long"
+    result = "received timestamp, sequence long, code string"
 
-def _gathered(batches: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
-    parts = [b[columns] for b in batches]
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=columns)
+    def __init__(self, kept: int):
+        self.kept = kept
 
+    def take(self, state, time, event):
+        (last, last_at), (sequence, at) = (state[:2] if state else (-1, None)), event
+        wrong = sequence is not None and sequence <= last, at is not None and last_at is not None and at < last_at
+        found = [(_timestamp(time), sequence, code) for code, is_wrong in zip(("event_order", "event_time_order"), wrong, strict=True) if is_wrong]
+        return (last if sequence is None else sequence, last_at if at is None else at, time), found
 
-def _order(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    sequence, at = state.get if state.exists else (-1, None)
-    rows = _gathered(batches, ["sequence", "at"]).sort_values(["sequence", "at"], kind="stable")
-    numbers = rows["sequence"].to_numpy(dtype=np.int64)
-    before = np.concatenate([[sequence], numbers[:-1]])
-    seen = pd.concat([pd.Series([pd.NaT if at is None else pd.Timestamp(at)]), rows["at"].reset_index(drop=True)], ignore_index=True).ffill()
-    late = (rows["at"].reset_index(drop=True) < seen[:-1].reset_index(drop=True)).to_numpy()
-    last = seen.iloc[-1]
-    state.update((int(numbers[-1]) if len(numbers) else sequence, None if pd.isna(last) else last.to_pydatetime()))
-    if (now := state.getCurrentWatermarkMs()) >= 0:
-        state.setTimeoutTimestamp(max(now, 0 if pd.isna(last) else int(last.timestamp() * 1000)) + KEPT_MS)
-    found = [(numbers[numbers <= before], "event_order"), (numbers[late], "event_time_order")]
-    yield pd.concat([pd.DataFrame({"key": key[0], "sequence": n, "code": code}) for n, code in found], ignore_index=True).sort_values(["sequence", "code"])
+    def deadline(self, state):
+        return state[2] + self.kept
 
 
-#: How long the state of a ledger without events is kept behind the watermark.
-KEPT_MS = 7 * 24 * 3600 * 1000
+def _timestamp(time: int) -> datetime:
+    return datetime.fromtimestamp(0, UTC) + timedelta(microseconds=time)
 
 
-def order_issues(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """events (streaming): key, sequence, at. An issue for each event that does not come after the last one of its ledger, in sequence or time.
+def order_issues(events: DataFrame, lateness: str = "1 hour", kept_days: int = 7) -> DataFrame:
+    """events: key, received, sequence, at. The events whose sequence is not over the last one's, or whose time is before it: key, received, sequence, code.
 
-    The state of a ledger is its last sequence and time; it goes a week after the watermark has passed them. Within a batch events are taken by
-    sequence, between batches as they arrive, so what is found depends on which events come together. A null time is no time.
+    Events of a ledger are taken in the order in which they were received (ties by sequence, then by time), and each is the next one's last, even if it is wrong. A sequence or a time
+    that is null is no last one. For a stream, and for a table with the same result, but that a stream forgets a ledger kept_days after its last event; an event without
+    received has no place and is left out. Events more than the lateness behind are left out of a stream.
     """
-    typed = events.select(F.col("key").cast("string").alias("key"), F.col("sequence").cast("long").alias("sequence"), F.col("at").cast("timestamp").alias("at")).withWatermark("at", lateness)
-    return typed.groupBy("key").applyInPandasWithState(_order, ORDER_OUT, ORDER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    typed = events.select(F.col("key").cast("string").alias("key"), F.col("received").cast("timestamp").alias("received"), F.col("sequence").cast("long").alias("sequence"), F.unix_micros(F.col("at").cast("timestamp")).alias("at")).where("received IS NOT NULL")
+    if events.isStreaming:
+        use_rocksdb(events.sparkSession)
+        return ordered.in_order(typed, Order(kept_days * DAY), ["key"], "received", lateness)
+    before = Window.partitionBy("key").orderBy("received", "sequence", "at").rowsBetween(Window.unboundedPreceding, -1)
+    last, last_at = (F.last(c, ignorenulls=True).over(before) for c in ("sequence", "at"))
+    wrong = typed.withColumns({"event_order": F.col("sequence") <= F.coalesce(last, F.lit(-1)), "event_time_order": F.col("at") < last_at})
+    codes = F.array(*[F.when(F.col(c), F.lit(c)) for c in ("event_order", "event_time_order")])
+    return wrong.select("key", "received", "sequence", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
 
 
 #: The states of retention are fixed values of the format. Which may follow which is this library's choice: what is deleted or was never stored stays so.
@@ -56,30 +67,47 @@ FOLLOWS = {
     "not_stored": (), "deletion_requested": ("provider_reported_deleted", "locally_cleared", "status_unavailable"), "provider_reported_deleted": (), "locally_cleared": (),
     "status_unavailable": ("deletion_requested", "provider_reported_deleted", "locally_cleared"),
 }
-RETENTION_OUT = "key string, subject string, state string, previous string, allowed boolean"
 
 
-def _retained(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (now,) = state.get if state.exists else (None,)
-    out = []
-    for to in _gathered(batches, ["at", "state"]).sort_values("at", kind="stable")["state"]:
-        allowed = now is None or to == now or to in FOLLOWS.get(now, ())
-        if to != now:
-            out.append((*key, to, now, allowed))
-        now = to if allowed else now
-    if now is not None:
-        state.update((now,))
-    yield pd.DataFrame(out, columns=["key", "subject", "state", "previous", "allowed"])
+class Retention(ordered.Rule):
+    event = "state string"
+    state = "state string, since long, seen long, told boolean"
+    result = "at timestamp, state string, previous string, code string"
+
+    def __init__(self, answer: int, kept: int):
+        self.answer, self.kept = answer, kept
+
+    def take(self, state, time, event):
+        (to,) = event
+        now, since, _, told = state or (None, time, time, False)
+        if to == now:
+            return (now, since, time, told), []
+        allowed = now is None or to in FOLLOWS.get(now, ())
+        after = (to, time, time, False) if allowed else (now, since, time, told)
+        return after, [(_timestamp(time), to, now, "changed" if allowed else "not_allowed")]
+
+    def deadline(self, state):
+        now, since, seen, told = state
+        forgotten = max(seen, since + self.answer) + self.kept
+        return since + self.answer if now == "deletion_requested" and not told else forgotten
+
+    def expired(self, state, time):
+        now, since, seen, told = state
+        if now == "deletion_requested" and not told:
+            return (now, since, seen, True), [(_timestamp(time), now, now, "unanswered")]
+        return None, []
 
 
-def retention_states(records: DataFrame) -> DataFrame:
-    """records (streaming): key, subject, state, at. Each change of a subject's state, and whether its last allowed state may be followed by it.
+def retention_states(records: DataFrame, lateness: str = "1 hour", answer_days: int = 30, kept_days: int = 365) -> DataFrame:
+    """records (streaming): key, subject, at, state. Each change of a subject's state, and each request for deletion that has no answer: key, subject, at, state, previous, code.
 
-    A change that is not allowed is reported and leaves the state as it was. The state of a subject, one word, is kept for good, as what is deleted stays deleted.
-    Within a batch records are taken by time.
+    Records are taken in order of time. A change is ``changed``, or ``not_allowed`` if the state may not be followed by it; then the state stays as it was. A request that nothing follows
+    for answer_days is ``unanswered``, once, at the time when that was clear. A subject is forgotten kept_days after its last record (and after its answer was due), so state is bounded
+    by the subjects that have records. Records without a time or a state, or more than the lateness behind, are left out.
     """
-    typed = records.select(*[F.col(c).cast("string").alias(c) for c in ("key", "subject", "state")], F.col("at").cast("timestamp").alias("at"))
-    return typed.groupBy("key", "subject").applyInPandasWithState(_retained, RETENTION_OUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    use_rocksdb(records.sparkSession)
+    typed = records.select(*[F.col(c).cast("string").alias(c) for c in ("key", "subject", "state")], F.col("at").cast("timestamp").alias("at")).where("at IS NOT NULL AND state IS NOT NULL")
+    return ordered.in_order(typed, Retention(answer_days * DAY, kept_days * DAY), ["key", "subject"], "at", lateness)
 
 
 def first_seen(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
