@@ -16,11 +16,11 @@ from attestry.functions import staging
 from attestry.functions import values as V
 from attestry.operators import parts, relations
 from attestry.operators.messages import MESSAGES
-from attestry.operators.structure import At, Check
+from attestry.operators.structure import UNKNOWN, At, Check, places
 
 #: So many tables of issues are looked at in one job: a task carries the expressions of them all.
 TOGETHER = 6
-ISSUES = "key string, path string, code string, message string"
+ISSUES = "key string, path string, code string, message string, ord array<int>"
 
 
 class LedgerError(ValueError):
@@ -45,28 +45,31 @@ def _parsed(docs: DataFrame, rules: relations.Rules, *columns: str) -> DataFrame
 
 
 def _structural(rows: DataFrame, check: str) -> DataFrame:
-    return rows.selectExpr("key", f"explode({check}) AS i").select("key", "i.path", "i.code")
+    return rows.selectExpr("key", f"explode({check}) AS i").select("key", "i.path", "i.code", "i.ord")
 
 
-def _elements(rows: DataFrame, v: str, path: str, checks: dict[str, Check]) -> list[DataFrame]:
-    """The structural issues of the elements of a document's arrays."""
+def _elements(rows: DataFrame, v: str, path: str, checks: dict[str, Check], ranks: dict[str, int], above: tuple = ()) -> list[DataFrame]:
+    """The structural issues of the elements of a document's arrays, which have these ranks below those above."""
     found = []
     for name, check in checks.items():
-        listed = rows.selectExpr("key", f"posexplode({V.items(V.get(v, name))}) AS (at, item)").selectExpr("key", "item", f"concat('{path}.{name}[', at, ']') AS path")
-        found.append(_structural(listed, check(At("item", "path"))))
+        listed = rows.selectExpr("key", f"posexplode({V.items(V.get(v, name))}) AS (at, item)").selectExpr("key", "at", "item", f"concat('{path}.{name}[', at, ']') AS path")
+        found.append(_structural(listed, check(At("item", "path", (*above, ranks[name], "at")))))
     return found
 
 
 def _unreadable(rows: DataFrame, column: str) -> DataFrame:
     """A document that is no JSON at all has this one issue."""
-    return rows.where(f"{column} IS NULL").selectExpr("key", "'$' AS path", "'parser_exception' AS code")
+    return rows.where(f"{column} IS NULL").selectExpr("key", "'$' AS path", "'parser_exception' AS code", f"{places()} AS ord")
 
 
-def computed(docs: DataFrame, rules_of, product: str) -> DataFrame:
-    """The issues of all tables that rules_of(rules) returns. Tables dealt out by key meet by (key, id) as they are, which Spark has a setting for."""
+def computed(docs: DataFrame, rules_of, product: str, raw: dict[str, str]) -> DataFrame:
+    """The issues of all tables that rules_of(rules) returns: key, path, code, message, ord. Tables dealt out by key meet by (key, id) as they are, which Spark has a setting for.
+
+    raw: the columns of docs with JSON text, by the paths that they are called by.
+    """
     spark = docs.sparkSession
     rules = relations.Rules(spark)
-    own = {"spark_sql_requireAllClusterKeysForCoPartition": "false", "spark_sql_optimizer_canChangeCachedPlanOutputPartitioning": "false", "spark_sql_autoBroadcastJoinThreshold": "-1"}
+    own = {"spark_sql_variant_allowDuplicateKeys": "true", "spark_sql_requireAllClusterKeysForCoPartition": "false", "spark_sql_optimizer_canChangeCachedPlanOutputPartitioning": "false", "spark_sql_autoBroadcastJoinThreshold": "-1"}
     with staging.settings(spark, **own):
         try:
             tables = [*rules_of(rules), *rules.tables]
@@ -74,20 +77,52 @@ def computed(docs: DataFrame, rules_of, product: str) -> DataFrame:
             issues = reduce(DataFrame.unionByName, [staging.checkpointed(g) for g in groups])
         finally:
             rules.release()
+    issues = in_document_order(issues, docs, raw)
     text = F.create_map(*[F.lit(x) for pair in messages(product).items() for x in pair])
-    return issues.withColumn("message", F.try_element_at(text, F.col("code")))
+    return issues.select("key", "path", "code", F.try_element_at(text, F.col("code")).alias("message"), "ord")
+
+
+def in_document_order(issues: DataFrame, docs: DataFrame, raw: dict[str, str]) -> DataFrame:
+    """Issues whose unknown members are ranked as they are written, which a VARIANT, whose members are sorted, does not say: the JSON text of documents that have such members is read for it."""
+    unknown = issues.where("code = 'unknown_field'")
+    if unknown.isEmpty():
+        return issues
+    staging.ship(docs.sparkSession)
+    asked = unknown.groupBy("key").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    texts = docs.select(F.col("key").cast("string").alias("k"), *raw.values())
+    met = asked.join(texts, F.col("key").eqNullSafe(F.col("k")))
+    found = met.select("key", F.explode(_written(*raw)("paths", *raw.values())).alias("w")).select("key", "w.path", "w.place")
+    written = found.groupBy(F.col("key").alias("k"), F.col("path").alias("p")).agg(F.min("place").alias("place"))
+    ranked = unknown.join(written, F.col("key").eqNullSafe(F.col("k")) & (F.col("path") == F.col("p")), "left")
+    ord_ = F.transform("ord", lambda x: F.when(x == UNKNOWN, F.coalesce("place", F.lit(UNKNOWN))).otherwise(x))
+    return issues.where("code <> 'unknown_field'").unionByName(ranked.select("key", "path", "code", ord_.alias("ord")))
+
+
+def _written(*names: str):
+    """A function of paths and JSON texts called by names: (path, place) of each path that is a member of an object, the place among its members."""
+
+    @F.pandas_udf("array<struct<path:string,place:int>>")
+    def places_of(*columns):
+        import pandas as pd
+
+        from attestry.functions.members import places
+
+        paths, *texts = columns
+        return pd.Series([places(set(wanted), dict(zip(names, own, strict=True))) for wanted, *own in zip(paths, *texts, strict=True)])
+
+    return places_of
 
 
 def validate_context(docs: DataFrame, product: str = parts.PRODUCT) -> DataFrame:
-    """docs: key, raw (a canonical source context as JSON text). Returns issues: key, path, code, message."""
+    """docs: key, raw (a canonical source context as JSON text). Returns issues: key, path, code, message, ord; sorted by ord, those of a document are in the order of a walk through it."""
 
     def rules_of(rules: relations.Rules) -> list[DataFrame]:
         rows = _parsed(docs, rules, "raw")
         read = rows.where("raw IS NOT NULL")
-        relations.canonical(read, "raw", "$", rules)
-        return [_unreadable(rows, "raw"), _structural(read, parts.context(At("raw", "'$'"))), *_elements(read, "raw", "$", parts.CONTEXT_ELEMENTS)]
+        relations.canonical(read, "raw", "$", (), rules)
+        return [_unreadable(rows, "raw"), _structural(read, parts.context(At("raw", "'$'"))), *_elements(read, "raw", "$", parts.CONTEXT_ELEMENTS, parts.CONTEXT_RANKS)]
 
-    return computed(docs, rules_of, _named(product))
+    return computed(docs, rules_of, _named(product), {"$": "raw"})
 
 
 def validate_draft(docs: DataFrame, product: str = parts.PRODUCT) -> DataFrame:
@@ -95,34 +130,43 @@ def validate_draft(docs: DataFrame, product: str = parts.PRODUCT) -> DataFrame:
 
     def rules_of(rules: relations.Rules) -> list[DataFrame]:
         rows = _parsed(docs, rules, "raw", "context")
-        bad = rows.where("raw IS NULL OR context IS NULL").selectExpr("key", "'$' AS path", "'parser_exception' AS code")
+        bad = rows.where("raw IS NULL OR context IS NULL").selectExpr("key", "'$' AS path", "'parser_exception' AS code", f"{places()} AS ord")
         read = rows.where("raw IS NOT NULL AND context IS NOT NULL")
         usable = read.where(V.is_object("context"))
-        known = relations.canonical(read, "context", "$context", rules)
-        relations.analysis(usable.selectExpr("key", "raw AS a"), "a", "$", known, False, rules)
-        shapes = [_structural(read, parts.context(At("context", "'$context'"))), _structural(usable, parts.analysis(False, product)(At("raw", "'$'")))]
-        return [bad, *shapes, *_elements(read, "context", "$context", parts.CONTEXT_ELEMENTS), *_elements(usable, "raw", "$", parts.analysis_elements(False, product))]
+        known = relations.canonical(read, "context", "$context", (0,), rules)
+        relations.analysis(usable.selectExpr("key", "raw AS a"), "a", "$", (1,), known, False, rules)
+        shapes = [_structural(read, parts.context(At("context", "'$context'", (0,)))), _structural(usable, parts.analysis(False, product)(At("raw", "'$'", (1,))))]
+        elements = _elements(read, "context", "$context", parts.CONTEXT_ELEMENTS, parts.CONTEXT_RANKS, (0,))
+        return [bad, *shapes, *elements, *_elements(usable, "raw", "$", parts.analysis_elements(False, product), _next(parts.ANALYSIS_RANKS), (1,))]
+
+    return computed(docs, rules_of, _named(product), {"$": "raw", "$context": "context"})
+
 
-    return computed(docs, rules_of, _named(product))
+def _next(ranks: dict[str, int]) -> dict[str, int]:
+    """The elements of an array come after it."""
+    return {name: rank + 1 for name, rank in ranks.items()}
 
 
 def validate_pack(docs: DataFrame, product: str = parts.PRODUCT) -> DataFrame:
-    """docs: key, raw (an action pack as JSON text). Returns issues: key, path, code, message."""
+    """docs: key, raw (an action pack as JSON text). Returns issues: key, path, code, message, ord; sorted by ord, those of a document are in the order of a walk through it."""
 
     def rules_of(rules: relations.Rules) -> list[DataFrame]:
         rows = _parsed(docs, rules, "raw").withColumnRenamed("raw", "doc")
         read = rows.where("doc IS NOT NULL").selectExpr("key", "doc", *(f"{V.get('doc', k)} AS {n}" for k, n in (("canonicalSources", "context"), ("analysis", "analysis"), ("receipt", "receipt"), ("corrections", "corrections"))))
-        known = relations.canonical(read, "context", "$.canonicalSources", rules)
+        at = parts.PACK_RANKS
+        above = {k: (at[k],) for k in at}
+        known = relations.canonical(read, "context", "$.canonicalSources", above["canonicalSources"], rules)
         usable = read.where(f"{V.is_object('doc')} AND {V.is_object('context')}")
-        found = relations.analysis(usable.select("key", "analysis"), "analysis", "$.analysis", known, True, rules)
-        ledger = relations.receipt(usable.select("key", "analysis", "receipt"), known, found, product, rules)
+        found = relations.analysis(usable.select("key", "analysis"), "analysis", "$.analysis", above["analysis"], known, True, rules)
+        ledger = relations.receipt(usable.select("key", "analysis", "receipt"), above["receipt"], known, found, product, rules)
         relations.corrections(usable, known, found, ledger["events"], rules)
         return [
-            _unreadable(rows, "doc"), _structural(read, parts.pack(At("doc", "'$'"), product)), *_elements(read, "context", "$.canonicalSources", parts.CONTEXT_ELEMENTS), *_elements(usable, "analysis", "$.analysis", parts.analysis_elements(True, product)),
-            *_elements(usable, "receipt", "$.receipt", parts.receipt_elements(product)), *_elements(usable, "doc", "$", {"corrections": parts.correction}),
+            _unreadable(rows, "doc"), _structural(read, parts.pack(At("doc", "'$'"), product)), *_elements(read, "context", "$.canonicalSources", parts.CONTEXT_ELEMENTS, parts.CONTEXT_RANKS, above["canonicalSources"]),
+            *_elements(usable, "analysis", "$.analysis", parts.analysis_elements(True, product), _next(parts.ANALYSIS_RANKS), above["analysis"]),
+            *_elements(usable, "receipt", "$.receipt", parts.receipt_elements(product), _next(parts.RECEIPT_RANKS), above["receipt"]), *_elements(usable, "doc", "$", {"corrections": parts.correction}, _next(at)),
         ]
 
-    return computed(docs, rules_of, _named(product))
+    return computed(docs, rules_of, _named(product), {"$": "raw"})
 
 
 def verdicts(docs: DataFrame, issues: DataFrame) -> DataFrame:
@@ -133,9 +177,9 @@ def verdicts(docs: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def format_issues(issues: DataFrame) -> DataFrame:
-    """key and text: one line per issue, in order of path and code."""
+    """key and text: one line per issue, in the order in which a walk through the document meets them."""
     line = F.format_string("%s [%s] %s", "path", "code", "message")
-    return issues.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "code", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return issues.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "path", "code", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
 
 
 def assert_valid(docs: DataFrame, issues: DataFrame) -> DataFrame:

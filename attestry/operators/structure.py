@@ -1,30 +1,43 @@
 """Structural rules: what each part of a document may look like, as a table of fields compiled to one SQL expression per part.
 
-A check is SQL for an array of (path, code) structs. Parts are looked at where they stand, and small arrays in them are gone through with higher-order
+A check is SQL for an array of (path, code, ord) structs. ord, an array of integers, is the place of an issue among those of its document: at each level the rank of the member or the
+place of the element, and last the rank of the rule. It is only made for an issue that is raised. Parts are looked at where they stand, and small arrays in them are gone through with higher-order
 functions; the elements of a document's long arrays (sources, claims, events, ...) are rows of their own. Neither needs a join or a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import count
 
 from attestry.functions import values as V
 
-NONE = "CAST(array() AS array<struct<path:string,code:string>>)"
+NONE = "CAST(array() AS array<struct<path:string,code:string,ord:array<int>>>)"
 _names = count()
 
 
+def places(*ranks: str | int) -> str:
+    """SQL for an ord: each rank is a number or SQL for one; a first one that begins with * is SQL for an ord that goes before."""
+    if ranks and str(ranks[0]).startswith("*"):
+        return f"concat({str(ranks[0])[1:]}, {places(*ranks[1:])})"
+    return f"CAST(array({', '.join(map(str, ranks))}) AS array<int>)"
+
+
 @dataclass(frozen=True)
 class At:
-    """A value and where it is: SQL for a variant and for its path."""
+    """A value and where it is: SQL for a variant and for its path, and the ranks on the way to it."""
 
     v: str
     path: str
+    ord: tuple[str | int, ...] = ()
 
     def __getitem__(self, name: str) -> At:
-        return At(V.get(self.v, name), f"concat({self.path}, '.{name}')")
+        return At(V.get(self.v, name), f"concat({self.path}, '.{name}')", self.ord)
+
+    def under(self, *ranks: str | int) -> At:
+        """The same with further ranks."""
+        return replace(self, ord=(*self.ord, *ranks))
 
 
 Check = Callable[[At], str]
@@ -33,7 +46,7 @@ Check = Callable[[At], str]
 def bound(at: At, body: Callable[[At], str]) -> str:
     """The body over a value and path that are worked out once, and named once, however often the body uses them."""
     o = f"o{next(_names)}"
-    return f"transform(array(named_struct('v', {at.v}, 'p', {at.path})), {o} -> {body(At(f'{o}.v', f'{o}.p'))})[0]"
+    return f"transform(array(named_struct('v', {at.v}, 'p', {at.path})), {o} -> {body(At(f'{o}.v', f'{o}.p', at.ord))})[0]"
 
 
 def named(expression: str, body: Callable[[str], str]) -> str:
@@ -41,9 +54,13 @@ def named(expression: str, body: Callable[[str], str]) -> str:
     return f"transform(array({expression}), {n} -> {body(n)})[0]"
 
 
-def found(*rules: tuple[str, str, str]) -> str:
-    """(condition, path, code) of each issue that may be raised."""
-    return "filter(array(%s), i -> i IS NOT NULL)" % ", ".join(f"CASE WHEN {c} THEN named_struct('path', {p}, 'code', '{code}') END" for c, p, code in rules)
+def issue(at: At, path: str, code: str, *ranks: str | int) -> str:
+    return f"named_struct('path', {path}, 'code', '{code}', 'ord', {places(*at.ord, *ranks)})"
+
+
+def found(at: At, *rules: tuple[str, str, str], first: int = 0) -> str:
+    """(condition, path, code) of each issue that may be raised; a rule's rank is its number, counted from first."""
+    return "filter(array(%s), i -> i IS NOT NULL)" % ", ".join(f"CASE WHEN {c} THEN {issue(at, p, code, first + k)} END" for k, (c, p, code) in enumerate(rules))
 
 
 def both(*checks: str) -> str:
@@ -66,7 +83,7 @@ def text(low: int = 1, high: int = 20_000, plain: bool = False, pattern: tuple[s
             rules.append((f"{s} RLIKE '{V.ACTIVE}'", at.path, "active_content"))
         if pattern:
             rules.append((f"NOT {s} RLIKE '{pattern[0]}'", at.path, pattern[1]))
-        return found(*rules)
+        return found(at, *rules)
 
     return check
 
@@ -81,15 +98,15 @@ token = text(1, 128, pattern=(V.TOKEN, "invalid_token"))
 
 def one_of(*choices: str) -> Check:
     listed = ", ".join(f"'{c}'" for c in choices)
-    return lambda at: found((f"NOT coalesce({V.string(at.v)} IN ({listed}), FALSE)", at.path, "invalid_enum"))
+    return lambda at: found(at, (f"NOT coalesce({V.string(at.v)} IN ({listed}), FALSE)", at.path, "invalid_enum"))
 
 
 def literal(value: str) -> Check:
-    return lambda at: found((f"NOT {V.string(at.v)} <=> '{value}'", at.path, "invalid_literal"))
+    return lambda at: found(at, (f"NOT {V.string(at.v)} <=> '{value}'", at.path, "invalid_literal"))
 
 
 def flag(at: At) -> str:
-    return found((f"{V.kind(at.v)} <> 'BOOLEAN'", at.path, "invalid_type"))
+    return found(at, (f"{V.kind(at.v)} <> 'BOOLEAN'", at.path, "invalid_type"))
 
 
 def integer(low: int = 0, high: int = 9007199254740991) -> Check:
@@ -97,7 +114,7 @@ def integer(low: int = 0, high: int = 9007199254740991) -> Check:
         return bound(at, lambda at: named(V.safe_integer(at.v), lambda n: rules_of(at, n)))
 
     def rules_of(at: At, n: str) -> str:
-        return found((f"{n} IS NULL", at.path, "invalid_integer"), (f"NOT {n} BETWEEN {low} AND {high}", at.path, "integer_out_of_range"))
+        return found(at, (f"{n} IS NULL", at.path, "invalid_integer"), (f"NOT {n} BETWEEN {low} AND {high}", at.path, "integer_out_of_range"))
 
     return check
 
@@ -108,19 +125,19 @@ def real(low: str, high: str) -> Check:
 
     def rules_of(at: At, n: str) -> str:
         infinite = f"{n} IS NULL OR isnan({n}) OR abs({n}) = double('Infinity')"
-        return found((infinite, at.path, "invalid_number"), (f"NOT ({infinite}) AND NOT {n} BETWEEN {low} AND {high}", at.path, "number_out_of_range"))
+        return found(at, (infinite, at.path, "invalid_number"), (f"NOT ({infinite}) AND NOT {n} BETWEEN {low} AND {high}", at.path, "number_out_of_range"))
 
     return check
 
 
 def moment(at: At) -> str:
-    wrong = lambda at: named(V.string(at.v), lambda s: found((f"{s} IS NOT NULL AND {V.instant(s)} IS NULL", at.path, "invalid_timestamp")))
+    wrong = lambda at: named(V.string(at.v), lambda s: found(at, (f"{s} IS NOT NULL AND {V.instant(s)} IS NULL", at.path, "invalid_timestamp"), first=9))
     return both(text(1, 64)(at), bound(at, wrong))
 
 
 def day(at: At) -> str:
     s = V.string(at.v)
-    return both(text(1, 10)(at), found((f"{V.is_string(at.v)} AND NOT ({s} RLIKE '{V.CALENDAR_DATE}' AND try_to_date({s}, 'yyyy-MM-dd') IS NOT NULL)", at.path, "invalid_date")))
+    return both(text(1, 10)(at), found(at, (f"{V.is_string(at.v)} AND NOT ({s} RLIKE '{V.CALENDAR_DATE}' AND try_to_date({s}, 'yyyy-MM-dd') IS NOT NULL)", at.path, "invalid_date"), first=9))
 
 
 def url(at: At) -> str:
@@ -130,23 +147,42 @@ def url(at: At) -> str:
 def _url(at: At, s: str) -> str:
     scheme = f"lower(try_parse_url({s}, 'PROTOCOL'))"
     good = f"coalesce({scheme} IN ('http', 'https') AND coalesce(try_parse_url({s}, 'HOST'), '') <> '', FALSE)"
-    return both(text(1, 2048)(at), found((f"{V.is_string(at.v)} AND {good} AND coalesce(try_parse_url({s}, 'USERINFO'), '') NOT IN ('', ':')", at.path, "url_credentials"), (f"{V.is_string(at.v)} AND NOT {good}", at.path, "invalid_url")))
+    return both(text(1, 2048)(at), found(at, (f"{V.is_string(at.v)} AND {good} AND coalesce(try_parse_url({s}, 'USERINFO'), '') NOT IN ('', ':')", at.path, "url_credentials"), (f"{V.is_string(at.v)} AND NOT {good}", at.path, "invalid_url"), first=9))
+
+
+#: The rank of a member that the format does not know, before its place among the members as they are written (see engine.in_document_order).
+UNKNOWN = -1
+
 
+def thing(
+    required: dict[str, Check], optional: dict[str, Check] | None = None, more: Callable[[At], str] | None = None, open_keys: Sequence[str] = (),
+    order: Sequence[str] = (), after: dict[str, Callable[[At], str]] | None = None, ranks: dict[str, int] | None = None,
+) -> Check:
+    """A closed object: these members, those if they are present, no others (open_keys are checked elsewhere).
 
-def thing(required: dict[str, Check], optional: dict[str, Check] | None = None, more: Callable[[At], str] | None = None, open_keys: Sequence[str] = ()) -> Check:
-    """A closed object: these members, those if they are present, no others (open_keys are checked elsewhere)."""
-    allowed = [*required, *(optional or {}), *open_keys]
+    Members are looked at in order, or as they are listed, and have the ranks 1, 2, ... (or those of ranks); what is unknown comes first. after: rules on the whole object that follow a member; more: those
+    at the end.
+    """
+    checks = {**required, **(optional or {})}
+    allowed = [*checks, *open_keys]
+    listed = list(order) or list(checks)
+    rank = {k: (ranks or {}).get(k, n + 1) for n, k in enumerate(listed)}
 
     def check(at: At) -> str:
         return bound(at, members)
 
     def members(at: At) -> str:
         names = ", ".join(f"'{k}'" for k in allowed)
-        unknown = f"transform(array_except({V.keys(at.v)}, array({names})), k -> named_struct('path', concat({at.path}, '.', k), 'code', 'unknown_field'))"
-        parts = [unknown, *(c(at[k]) for k, c in required.items()), *(given(V.has(at.v, k), c(at[k])) for k, c in (optional or {}).items())]
+        unknown = f"transform(array_except({V.keys(at.v)}, array({names})), k -> {issue(at, f'concat({at.path}, {chr(39)}.{chr(39)}, k)', 'unknown_field', 0, UNKNOWN)})"
+        parts = [unknown]
+        for name in listed:
+            own = checks[name](at[name].under(rank[name]))
+            parts.append(own if name in required else given(V.has(at.v, name), own))
+            if name in (after or {}):
+                parts.append(after[name](at.under(rank[name], 9)))
         if more:
-            parts.append(more(at))
-        return f"CASE WHEN {V.is_object(at.v)} THEN {both(*parts)} ELSE array(named_struct('path', {at.path}, 'code', 'invalid_type')) END"
+            parts.append(more(at.under(max(rank.values(), default=0) + 1)))
+        return f"CASE WHEN {V.is_object(at.v)} THEN {both(*parts)} ELSE array({issue(at, at.path, 'invalid_type', 0)}) END"
 
     return check
 
@@ -160,14 +196,14 @@ def variants(tag: str, kinds: dict[str, Check], common_keys: Sequence[str] = ())
     def by_kind(at: At, tagged: str) -> str:
         unknown_kind = both(thing({tag: one_of(*kinds)}, open_keys=common_keys)(at))
         cases = " ".join(f"WHEN {tagged} = '{name}' THEN {c(at)}" for name, c in kinds.items())
-        return f"CASE WHEN NOT {V.is_object(at.v)} THEN array(named_struct('path', {at.path}, 'code', 'invalid_type')) {cases} ELSE {unknown_kind} END"
+        return f"CASE WHEN NOT {V.is_object(at.v)} THEN array({issue(at, at.path, 'invalid_type', 0)}) {cases} ELSE {unknown_kind} END"
 
     return check
 
 
 def size(at: At, low: int, high: int) -> str:
     n = f"size({V.items(at.v)})"
-    return found((f"NOT {V.is_array(at.v)}", at.path, "invalid_type"), (f"{V.is_array(at.v)} AND {n} < {low}", at.path, "too_few_items"), (f"{V.is_array(at.v)} AND {n} > {high}", at.path, "too_many_items"))
+    return found(at.under(0), (f"NOT {V.is_array(at.v)}", at.path, "invalid_type"), (f"{V.is_array(at.v)} AND {n} < {low}", at.path, "too_few_items"), (f"{V.is_array(at.v)} AND {n} > {high}", at.path, "too_many_items"))
 
 
 def array_of(low: int, high: int) -> Check:
@@ -183,22 +219,22 @@ def each(check: Check, low: int, high: int) -> Check:
 
     def gone_through(at: At) -> str:
         n = next(_names)
-        item = At(f"x{n}", f"concat({at.path}, '[', i{n}, ']')")
+        item = At(f"x{n}", f"concat({at.path}, '[', i{n}, ']')", (*at.ord, 1, f"i{n}"))
         return both(size(at, low, high), f"flatten(transform({V.items(at.v)}, (x{n}, i{n}) -> {check(item)}))")
 
     return run
 
 
-def repeats(listed: str, path: str, member: str = "") -> str:
+def repeats(listed: str, at: At) -> str:
     """An issue for each element of an array of strings that stands further ahead, too."""
     n = next(_names)
-    at = f"concat({path}, '[', i{n}, ']{member}')"
-    return f"filter(transform({listed}, (s{n}, i{n}) -> CASE WHEN array_position({listed}, s{n}) <= i{n} THEN named_struct('path', {at}, 'code', 'duplicate_id') END), i -> i IS NOT NULL)"
+    path = f"concat({at.path}, '[', i{n}, ']')"
+    return f"filter(transform({listed}, (s{n}, i{n}) -> CASE WHEN array_position({listed}, s{n}) <= i{n} THEN {issue(at, path, 'duplicate_id', f'i{n}')} END), i -> i IS NOT NULL)"
 
 
 def listed(check: Check, low: int = 0, high: int = 20_000) -> Check:
     """An array of different strings."""
-    return lambda at: both(each(check, low, high)(at), repeats(V.strings(at.v), at.path))
+    return lambda at: both(each(check, low, high)(at), repeats(V.strings(at.v), at.under(2)))
 
 
 def ids(low: int = 0, high: int = 20_000) -> Check:
@@ -208,7 +244,7 @@ def ids(low: int = 0, high: int = 20_000) -> Check:
 def choices(*allowed: str) -> Check:
     """1 to 10 different of these."""
     names = ", ".join(f"'{c}'" for c in allowed)
-    return lambda at: both(each(one_of(*allowed), 1, 10)(at), repeats(f"filter({V.strings(at.v)}, s -> s IN ({names}))", at.path))
+    return lambda at: both(each(one_of(*allowed), 1, 10)(at), repeats(f"filter({V.strings(at.v)}, s -> s IN ({names}))", at.under(2)))
 
 
 digest = thing({"algorithm": literal("sha-256"), "value": text(64, 64, pattern=(V.SHA_256, "invalid_digest"))})

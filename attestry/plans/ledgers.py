@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from attestry.operators import engine
 
@@ -105,6 +106,22 @@ UNION ALL SELECT key, '$.sections.planActionIds[0]', 'dangling_action' FROM d WH
 """
 
 
+def ledger_issue_order(read) -> DataFrame:
+    """The issues of every document's draft, numbered in the order of a walk through it."""
+    issues = engine.validate_draft(document_drafts(read("documents", "doc_id", "text")))
+    return issues.select("key", F.row_number().over(Window.partitionBy("key").orderBy("ord")).alias("place"), "path", "code")
+
+
+def _in_order(sql: str) -> str:
+    """SQL for issues with their place: contexts come before drafts, elements of claims before what they are to each other, and so on."""
+    place = """CASE
+      WHEN path LIKE '$context%' THEN [0, CASE code WHEN 'control_character' THEN 1 ELSE 0 END]
+      WHEN path LIKE '%.evidence%' THEN [1, CAST(substr(path, 10, 1) AS INTEGER), CASE code WHEN 'string_too_short' THEN 0 WHEN 'control_character' THEN 1 ELSE 2 END]
+      WHEN path LIKE '%.basisClaimIds%' THEN [2, CAST(substr(path, 10, 1) AS INTEGER)]
+      WHEN path = '$.claims' THEN [3] WHEN path LIKE '$.document%' THEN [4] WHEN path LIKE '%missing%' THEN [5] ELSE [6] END"""
+    return f"SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY {place}) AS INTEGER) AS place, path, code FROM ({sql})"
+
+
 def user_packs(events: DataFrame) -> DataFrame:
     """key and raw: each user's events as the ledger of a pack that is otherwise well formed."""
     typed = events.selectExpr(
@@ -153,4 +170,4 @@ UNION ALL SELECT key, '$.receipt.processingMode', 'run_mode_mismatch' FROM u WHE
 UNION ALL SELECT key, '$.analysis.claims[0].validation.checks.semanticSupport', 'accepted_without_semantic_support' FROM u WHERE user_id % 3 = 0
 """
 
-QUERIES = {"ledger_contexts": (ledger_contexts, CONTEXTS_SQL), "ledger_drafts": (ledger_drafts, DRAFTS_SQL), "ledger_packs": (ledger_packs, PACKS_SQL)}
+QUERIES = {"ledger_contexts": (ledger_contexts, CONTEXTS_SQL), "ledger_drafts": (ledger_drafts, DRAFTS_SQL), "ledger_packs": (ledger_packs, PACKS_SQL), "ledger_issue_order": (ledger_issue_order, _in_order(DRAFTS_SQL))}
