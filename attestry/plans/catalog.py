@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import values as V
 from attestry.operators import structure, tabular
-from attestry.plans import ledgers
+from attestry.plans import ledgers, streams
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -397,6 +397,8 @@ def upserted_state(read):
 
 for _f, _text in ledgers.QUERIES.values():
     query(_text)(_f)
+for _name, (_f, _text) in streams.QUERIES.items():
+    _queries[_name], _sql[_name] = _f, _text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from attestry.operators import engine
 
 
 def read_json_files(spark: SparkSession, path: str) -> DataFrame:
@@ -45,3 +50,19 @@ def write_issues(issues: DataFrame, verdicts: DataFrame, path: str) -> None:
     """issues and verdicts as Parquet below path, issues apart by code so that a reader of one code reads little."""
     issues.write.mode("overwrite").partitionBy("code").parquet(f"{path}/issues")
     verdicts.write.mode("overwrite").parquet(f"{path}/verdicts")
+
+
+def write_checked(docs: DataFrame, path: str, checkpoint: str, validate: Callable[[DataFrame], DataFrame] = engine.validate_pack, **trigger) -> StreamingQuery:
+    """docs: a stream with the columns that validate takes. Issues and verdicts of each batch as Parquet below path, in folders by the batch's number (a column batch when they are read).
+
+    A batch that is run again, after a failure, has its number and its documents again, and its folders are written anew: what was written of it before counts for nothing, so every
+    document's issues are there once. trigger: as for writeStream.trigger.
+    """
+
+    def check(batch: DataFrame, number: int) -> None:
+        issues = validate(batch)
+        issues.write.mode("overwrite").parquet(f"{path}/issues/batch={number}")
+        engine.verdicts(batch, issues).write.mode("overwrite").parquet(f"{path}/verdicts/batch={number}")
+
+    stream = docs.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
+    return (stream.trigger(**trigger) if trigger else stream).start()

@@ -1,12 +1,18 @@
 from __future__ import annotations
 
 import json
+import os
+import random
+from datetime import datetime, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from attestry.operators import tabular
+from attestry.operators import engine, tabular
 from attestry.sources import documents, schemas
 from attestry.streaming import ledger
+from tests import ledgers as L
 
 
 def drained(query_df, name, spark, mode="append"):
@@ -16,29 +22,83 @@ def drained(query_df, name, spark, mode="append"):
     return [tuple(r) for r in spark.table(name).collect()]
 
 
-def test_order_issues(spark, tmp_path):
-    rows = [("a", 0, "2027-01-01 00:00:00"), ("a", 2, "2027-01-01 00:00:02"), ("a", 2, "2027-01-01 00:00:01"), ("b", 5, "2027-01-01 00:00:00")]
-    spark.createDataFrame(rows, "key string, sequence long, at string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("key string, sequence long, at string").parquet(str(tmp_path / "in"))
-    got = drained(ledger.order_issues(stream), "order_issues", spark)
-    assert sorted(got) == [("a", 2, "event_order")]
-
-
-def test_order_issues_of_several_kinds(spark, tmp_path):
-    rows = [("a", 1, "2027-01-01 00:00:05"), ("a", 2, None), ("a", 3, "2027-01-01 00:00:01"), ("a", 4, "2027-01-01 00:00:06"), ("a", 4, "2027-01-01 00:00:07")]
-    spark.createDataFrame(rows, "key string, sequence long, at string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("key string, sequence long, at string").parquet(str(tmp_path / "in"))
-    assert sorted(drained(ledger.order_issues(stream), "order_kinds", spark)) == [("a", 3, "event_time_order"), ("a", 4, "event_order")]
-
-
-def test_retention_states(spark, tmp_path):
-    rows = [("p", "provider", "status_unavailable", 1), ("p", "provider", "deletion_requested", 2), ("p", "provider", "provider_reported_deleted", 3), ("p", "provider", "deletion_requested", 4), ("p", "browser", "not_stored", 1)]
-    made = spark.createDataFrame([(k, s, x, f"2027-01-01 00:00:0{t}") for k, s, x, t in rows], "key string, subject string, state string, at string")
-    made.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
-    got = sorted(drained(ledger.retention_states(stream), "retention_states", spark), key=repr)
-    assert got == sorted([("p", "browser", "not_stored", None, True), ("p", "provider", "status_unavailable", None, True), ("p", "provider", "deletion_requested", "status_unavailable", True),
-                          ("p", "provider", "provider_reported_deleted", "deletion_requested", True), ("p", "provider", "deletion_requested", "provider_reported_deleted", False)], key=repr)
+BASE = datetime(2027, 1, 1)
+ORDER = "key string, received timestamp, sequence long, at timestamp"
+RETAINED = "key string, subject string, at timestamp, state string"
+
+
+def cuts(spark, tmp_path, rows, schema, time, jitter):
+    """The rows as a stream in one, three and eight batches, each another mixture within the lateness, and two rows of another key, late enough that all others have passed."""
+    rng = random.Random(4)
+    for n in (1, 3, 8):
+        mixed = sorted(rows, key=lambda r: r[time].timestamp() + rng.random() * jitter)
+        size = -(-len(mixed) // n)
+        parts = [mixed[k : k + size] for k in range(0, len(mixed), size)] + [[("end", *(BASE + timedelta(days=5000 + k) if c == time else (None if schema is ORDER else "x") for c in range(1, 4)))] for k in range(2)]
+        for k, part in enumerate(parts):
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/{n}/{k}")
+            for file in (tmp_path / str(n) / str(k)).glob("part-*"):
+                os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))  # the source takes files by time
+        yield n, spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{n}")
+
+
+def test_order_does_not_depend_on_batches(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), BASE + timedelta(seconds=7 * k, microseconds=rng.randrange(10**6)), rng.choice([None, *range(40)]), rng.choice([None, *(BASE + timedelta(seconds=s) for s in range(90))])) for k in range(150)]
+    want = sorted(tuple(r) for r in ledger.order_issues(spark.createDataFrame(rows, ORDER)).collect())
+    last, plain = {}, []
+    for key, received, sequence, at in sorted(rows, key=lambda r: r[1]):
+        before, before_at = last.get(key, (-1, None))
+        plain += [(key, received, sequence, "event_order")] if sequence is not None and sequence <= before else []
+        plain += [(key, received, sequence, "event_time_order")] if at and before_at and at < before_at else []
+        last[key] = (before if sequence is None else sequence, at or before_at)
+    assert want == sorted(plain, key=str) or sorted(want, key=str) == sorted(plain, key=str)
+    for n, stream in cuts(spark, tmp_path, rows, ORDER, 1, 60):
+        assert sorted(drained(ledger.order_issues(stream, "2 minutes"), f"order_{n}", spark), key=str) == sorted(plain, key=str)
+
+
+def test_retention_does_not_depend_on_batches(spark, tmp_path):
+    day = lambda n: BASE + timedelta(days=n)
+    rows = [
+        ("p", "provider", day(1), "status_unavailable"), ("p", "provider", day(2), "deletion_requested"), ("p", "provider", day(3), "provider_reported_deleted"), ("p", "provider", day(4), "deletion_requested"),
+        ("p", "browser", day(1), "not_stored"), ("q", "provider", day(1), "deletion_requested"), ("q", "provider", day(20), "deletion_requested"), ("q", "provider", day(40), "provider_reported_deleted"),
+        ("r", "provider", day(5), "deletion_requested"), ("r", "provider", day(2000), "deletion_requested"),
+    ]
+    want = {
+        ("p", "provider", day(1), "status_unavailable", None, "changed"), ("p", "provider", day(2), "deletion_requested", "status_unavailable", "changed"),
+        ("p", "provider", day(3), "provider_reported_deleted", "deletion_requested", "changed"), ("p", "provider", day(4), "deletion_requested", "provider_reported_deleted", "not_allowed"),
+        ("p", "browser", day(1), "not_stored", None, "changed"), ("q", "provider", day(1), "deletion_requested", None, "changed"), ("q", "provider", day(31), "deletion_requested", "deletion_requested", "unanswered"),
+        ("q", "provider", day(40), "provider_reported_deleted", "deletion_requested", "changed"), ("r", "provider", day(5), "deletion_requested", None, "changed"),
+        ("r", "provider", day(35), "deletion_requested", "deletion_requested", "unanswered"), ("r", "provider", day(2000), "deletion_requested", None, "changed"),  # forgotten in between
+        ("r", "provider", day(2030), "deletion_requested", "deletion_requested", "unanswered"), ("end", "x", BASE + timedelta(days=5000), "x", None, "changed"),
+    }
+    for n, stream in cuts(spark, tmp_path, rows, RETAINED, 2, 0):
+        got = drained(ledger.retention_states(stream), f"retention_{n}", spark)
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_issues_once_although_a_run_is_killed(spark, tmp_path):
+    """A run that fails after it has written half of its second batch, and is started again."""
+    bad = L.pack() | {"packId": "9"}
+    for k in range(3):
+        spark.createDataFrame([(f"{k}.good", json.dumps(L.pack())), (f"{k}.bad", json.dumps(bad))], "key string, raw string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("key string, raw string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    calls = []
+
+    def fails_once(docs):
+        calls.append(1)
+        issues = engine.validate_pack(docs)
+        if len(calls) == 2:
+            issues.limit(1).write.mode("overwrite").parquet(f"{tmp_path}/out/issues/batch=1")
+            raise RuntimeError("killed")
+        return issues
+
+    run = lambda: documents.write_checked(stream, f"{tmp_path}/out", f"{tmp_path}/state", fails_once, availableNow=True)
+    with pytest.raises(StreamingQueryException):
+        run().awaitTermination()
+    run().awaitTermination()
+    issues = spark.read.parquet(f"{tmp_path}/out/issues")
+    assert sorted((r.key, r.path, r.code) for r in issues.collect()) == [(f"{k}.bad", "$.packId", "invalid_id") for k in range(3)]
+    assert sorted((r.key, r.success) for r in spark.read.parquet(f"{tmp_path}/out/verdicts").collect()) == sorted((f"{k}.{x}", x == "good") for k in range(3) for x in ("good", "bad"))
 
 
 def test_first_seen(spark, tmp_path):
