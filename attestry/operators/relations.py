@@ -141,16 +141,15 @@ def analysis(base: DataFrame, a: str, path: str, above: tuple, known: dict[str,
     cited = direct.unionByName(indirect).selectExpr("key", "path", "ord", f"{st('sourceId')} AS source", f"{st('sourceRevisionId')} AS revision", f"{st('segmentId')} AS segment", f"{st('quote')} AS quote", f"{end('start')} AS start", f"{end('end')} AS end").where("source IS NOT NULL AND revision IS NOT NULL AND segment IS NOT NULL")
     e = joined(cited, known["sources"], "source", "s", {})
     e = joined(e, known["revisions"], "revision", "r", {"status": "status"})
-    e = joined(e, known["segments"], "segment", "g", {k: k for k in ("source", "revision", "text", "method", "anchor")})
+    e = joined(e, known["segments"], "segment", "g", {k: k for k in ("source", "revision", "method", "anchor")})
     e = joined(e, allowed, "revision", "a", {}, key="ref")
-    measured = "g_text IS NOT NULL AND quote IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL"
-    over = f"end > {V.utf16_length('g_text')}"
     rules.raised(
         e, ("*ord", 90), ("s_found IS NULL", "concat(path, '.sourceId')", "dangling_source"), ("r_found IS NULL", "concat(path, '.sourceRevisionId')", "dangling_revision"), ("a_found IS NULL", "concat(path, '.sourceRevisionId')", "revision_not_analyzed"),
         ("g_found IS NULL", "concat(path, '.segmentId')", "dangling_segment"), ("r_found AND NOT r_status <=> 'active'", "concat(path, '.sourceRevisionId')", "stale_revision"),
         ("g_found AND NOT (g_source <=> source AND g_revision <=> revision)", "path", "evidence_source_mismatch"), ("g_method = 'ocr' AND NOT g_anchor <=> 'page_region'", "path", "ocr_region_required"),
-        (f"{measured} AND {over}", "concat(path, '.span.end')", "span_out_of_bounds"), (f"{measured} AND NOT {over} AND NOT {V.utf16_slice('g_text', 'start', 'end')} <=> {V.utf16('quote')}", "concat(path, '.quote')", "quote_mismatch"),
     )
+    quoted = cited.where("quote IS NOT NULL").selectExpr("key", "segment", "path", "ord", "start", "end", "quote")
+    rules.tables.append(_spans(quoted, known["segments"], (".span.end", "span_out_of_bounds", 7), (".quote", "quote_mismatch", 8)))
 
     def refer(refs: DataFrame, at: tuple, *more: tuple[str, str, str]) -> None:
         """References to claims: dangling, blocked, and rules on what they find."""
@@ -190,6 +189,23 @@ def analysis(base: DataFrame, a: str, path: str, above: tuple, known: dict[str,
     return {"claims": clm, "actions": act, "analyzed": allowed}
 
 
+def _spans(cited: DataFrame, segments: DataFrame, over: tuple, differs: tuple) -> DataFrame:
+    """cited: key, segment, path, ord, start, end, quote. Issues of citations that end beyond their segment, or whose quote is not what stands there.
+
+    The citations of a segment are gathered, each with a digest in place of its quote, and settled together: a segment's text meets them once, and is made into UTF-16 once, however often
+    it is cited. over, differs: what an issue's path ends with, its code and its rank, after ord and 90.
+    """
+    span = f"struct(path, ord, start, end, sha2({V.utf16('quote')}, 256) AS digest)"
+    gathered = cited.where("start IS NOT NULL AND end IS NOT NULL").selectExpr("key", "segment", f"{span} AS s").groupBy("key", "segment").agg(F.collect_list("s").alias("spans"))
+    met = joined(gathered, segments, "segment", "g", {"text": "text"}).where("g_text IS NOT NULL")
+    issue = lambda rule: f"named_struct('path', concat(s.path, '{rule[0]}'), 'code', '{rule[1]}', 'ord', {places('*s.ord', 90, rule[2])})"
+    place = lambda x: f"if({x} < 0, greatest(0D, octet_length(u) / 2 + {x}), least({x}, octet_length(u) / 2))"  # noqa: E731  # from the end, if it is negative
+    low = f"least({place('s.start')}, {place('s.end')})"
+    stands = f"sha2(substring(u, CAST(2 * {low} + 1 AS INT), CAST(2 * ({place('s.end')} - {low}) AS INT)), 256)"
+    settled = f"filter(transform(spans, s -> CASE WHEN 2 * s.end > octet_length(u) THEN {issue(over)} WHEN NOT {stands} <=> s.digest THEN {issue(differs)} END), i -> i IS NOT NULL)"
+    return met.selectExpr("key", f"explode(transform(array({V.utf16('g_text')}), u -> {settled})[0]) AS i").select("key", "i.path", "i.code", "i.ord")
+
+
 def _back_edges(claims: DataFrame) -> DataFrame:
     """key, node, nth: an inference that a depth-first walk over bases meets while it is still on the way down from it, once for every such meeting.
 
@@ -332,24 +348,23 @@ def corrections(base: DataFrame, known: dict[str, DataFrame], parts: dict[str, D
     """base: key, doc, analysis, receipt, corrections."""
     cor = _exploded(base, "corrections", "'$.corrections'", f"{st('id')} AS id", *(f"{st(k)} AS {n}" for k, n in (("sourceId", "source"), ("priorRevisionId", "prior"), ("resultingRevisionId", "resulting"), ("targetSegmentId", "segment"), ("originalText", "original"), ("createdAt", "created"))), at="raw")
     end = lambda k: V.safe_integer(V.get(V.get("v", "targetSpan"), k))
-    c = cor.selectExpr("*", f"{end('start')} AS start", f"{end('end')} AS end")
     columns = {k: k for k in ("source", "status", "prior", "print")}
-    c = joined(joined(c, known["sources"], "source", "s", {}), known["revisions"], "prior", "p", columns)
-    c = joined(joined(c, known["revisions"], "resulting", "r", columns), known["segments"], "segment", "g", {"revision": "revision", "text": "text"})
+    c = joined(joined(cor, known["sources"], "source", "s", {}), known["revisions"], "prior", "p", columns)
+    c = joined(joined(c, known["revisions"], "resulting", "r", columns), known["segments"], "segment", "g", {"revision": "revision"})
     c = joined(c, _completed(events, "correction_recorded"), "id", "e", {"at": "at", "location": "location"}, key="related")
     at = lambda k: f"concat(path, '.{k}')"
-    measured = "g_text IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL"
-    over = f"end > {V.utf16_length('g_text')}"
     own = (10, "raw", 90)  # after the check of the correction itself
     rules.raised(
         c, own, ("s_found IS NULL", at("sourceId"), "dangling_source"), ("p_found IS NULL", at("priorRevisionId"), "dangling_revision"), ("p_found AND NOT p_status <=> 'superseded'", at("priorRevisionId"), "prior_revision_not_superseded"),
         ("r_found IS NULL", at("resultingRevisionId"), "dangling_revision"), ("r_found AND NOT r_status <=> 'active'", at("resultingRevisionId"), "resulting_revision_not_active"),
         ("p_found AND r_found AND NOT (p_source <=> r_source AND r_prior <=> prior)", "path", "correction_revision_mismatch"), ("p_found AND source IS NOT NULL AND NOT p_source <=> source", at("sourceId"), "correction_source_mismatch"),
         ("r_found AND source IS NOT NULL AND NOT r_source <=> source", at("sourceId"), "correction_source_mismatch"), ("p_found AND r_found AND p_print <=> r_print", "path", "unchanged_revision_fingerprint"),
-        ("g_found IS NULL OR (p_found AND NOT g_revision <=> prior)", at("targetSegmentId"), "correction_segment_mismatch"), (f"{measured} AND {over}", at("targetSpan.end"), "span_out_of_bounds"),
-        (f"{measured} AND NOT {over} AND NOT {V.utf16_slice('g_text', 'start', 'end')} <=> {V.utf16('original')}", at("originalText"), "correction_text_mismatch"), None, ("id IS NOT NULL AND e_found IS NULL", "path", "correction_event_missing"),
+        ("g_found IS NULL OR (p_found AND NOT g_revision <=> prior)", at("targetSegmentId"), "correction_segment_mismatch"),
+        None, None, None, ("id IS NOT NULL AND e_found IS NULL", "path", "correction_event_missing"),
         ("e_found AND NOT e_at <=> created", at("createdAt"), "correction_event_time_mismatch"), ("e_found AND NOT coalesce(e_location IN ('browser', 'device'), FALSE)", "path", "correction_actor_mismatch"),
     )
+    told = cor.selectExpr("key", "segment", "path", f"{places(10, 'raw')} AS ord", f"{end('start')} AS start", f"{end('end')} AS end", "original AS quote")
+    rules.tables.append(_spans(told, known["segments"], (".targetSpan.end", "span_out_of_bounds", 10), (".originalText", "correction_text_mismatch", 11)))
     refs = f"if(provenance = 'conflict', flatten(transform({V.records(V.get('v', 'alternatives'))}, x -> {V.records(V.get('x', 'evidence'))})), {V.records(V.get('v', 'evidence'))})"
     latest = _last(parts["claims"]).selectExpr("key", "id", f"transform({refs}, x -> {V.string(V.get('x', 'sourceRevisionId'))}) AS cited")
     again = joined(_members(cor, "regeneratedClaimIds", strings=True), latest, "ref", "c", {"cited": "cited"})

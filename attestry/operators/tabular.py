@@ -5,9 +5,11 @@ All are DataFrame expressions. Keys go into equi-joins, aggregations that combin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,33 +17,72 @@ from pyspark.sql import functions as F
 def quote_matches(texts: DataFrame, quotes: DataFrame, text_id: str, quote_id: str, anchor_words: int = 4, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """Which quotes stand in which texts, letter for letter, and where first: text id, quote id, start, end (characters).
 
-    texts, quotes: a unique id and a column text. An occurrence has all words of the quote, the first and the last perhaps as parts of longer
-    ones. So a text and a quote meet by the hash of the run of words that follows the quote's first: as many words as the quote has between its ends, at
-    most anchor_words. Only hashes and ids are dealt out to meet, each run of a text once; the texts and the quotes of the pairs join them afterwards. Quotes
-    of one or two words have no word between their ends: they are looked for in every text, all of them in blocks of bounded size, as there is no
-    place where they could meet. Quotes of no more than broadcast_bytes in all are broadcast. Null and empty quotes and null texts match nothing.
+    texts, quotes: an id and a column text. Quotes of broadcast_bytes in all, which is looked at first, go to every task as one automaton (Aho-Corasick), and each text is gone through
+    once: nothing is shuffled or joined. More quotes are parted. Those of three words or more meet their texts by the hash of the run of words that follows the first one: as many
+    words as the quote has between its ends, at most anchor_words. Only hashes and ids are dealt out to meet, each run of a text once; the texts and the quotes of the pairs join them
+    afterwards. Shorter quotes have no place where they could meet a text: they go through the texts in automata of broadcast_bytes each, one after the other.
+
+    Defined results: null and empty quotes and null texts match nothing. Rows that repeat an id or a text match for themselves.
     """
-    words = lambda c: F.split(c, r"\s+", -1)
-    asked = quotes.select(F.col(quote_id).alias("q"), F.col("text").alias("quote")).where(F.length("quote") > 0).withColumn("w", words(F.col("quote")))
+    asked = quotes.select(F.col(quote_id).alias("q"), F.col("text").alias("quote")).where(F.length("quote") > 0)
+    said = texts.select(F.col(text_id).alias("t"), F.col("text"))
+    size = F.octet_length("quote") + 64
+    if (asked.agg(F.sum(size)).first()[0] or 0) <= broadcast_bytes:
+        return _spotted(said, asked, text_id, quote_id)
+
+    asked = asked.withColumn("w", F.split("quote", r"\s+", -1))
+    short = asked.where(F.size("w") < 3).select("q", "quote")
+    number = short.withColumn("part", F.pmod(F.xxhash64("quote", "q"), F.lit(max(1, -(-(short.agg(F.sum(size)).first()[0] or 0) * 2 // broadcast_bytes)))))
+    parts = [r["part"] for r in number.select("part").distinct().orderBy("part").collect()]  # bounded by their bytes
+    found = [_spotted(said, number.where(F.col("part") == part).select("q", "quote"), text_id, quote_id) for part in parts]
+    return reduce(DataFrame.unionByName, [*found, _anchored(said, asked.where(F.size("w") >= 3), text_id, quote_id, anchor_words)])
+
+
+def _spotted(said: DataFrame, asked: DataFrame, text_id: str, quote_id: str) -> DataFrame:
+    """said: t and text. asked: q and quote, few enough to be broadcast. Every text is gone through once by an automaton of all quotes."""
+    listed = asked.toArrow()
+    held = said.sparkSession.sparkContext.broadcast((listed.column("q").combine_chunks(), listed.column("quote").to_pylist()))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((said, "t"), (asked, "q"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ids, quotes = held.value
+        of: dict[str, list[int]] = {}
+        for k, quote in enumerate(quotes):
+            of.setdefault(quote, []).append(k)
+        automaton = ahocorasick.Automaton()
+        for quote, rows in of.items():
+            automaton.add_word(quote, (len(quote), rows))
+        automaton.make_automaton()
+        for batch in batches:
+            for at in range(0, batch.num_rows if of else 0, 1024):
+                out: list[tuple[int, int, int, int]] = []
+                for row, text in enumerate(batch.column(1).slice(at, 1024).to_pylist(), at):
+                    seen: set[int] = set()
+                    for last, (length, rows) in automaton.iter(text) if text else ():
+                        if rows[0] not in seen:  # matches come by their ends, so a quote's first one comes first
+                            seen.add(rows[0])
+                            out += [(row, k, last + 1 - length, last + 1) for k in rows]
+                row, k, start, end = zip(*out, strict=True) if out else ((),) * 4
+                whole = lambda values: pa.array(values, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(whole(row)), ids.take(whole(k)), whole(start), whole(end)], ["t", "q", "start", "end"])
+
+    return said.mapInArrow(run, f"t {kinds[0]}, q {kinds[1]}, start long, end long").toDF(text_id, quote_id, "start", "end")
+
+
+def _anchored(said: DataFrame, asked: DataFrame, text_id: str, quote_id: str, anchor_words: int) -> DataFrame:
+    """said: t and text. asked: q, quote and w, its words, three at least."""
     size = F.least(F.size("w") - 2, F.lit(anchor_words))
-    anchored = asked.where(size >= 1).select("q", size.alias("size"), F.xxhash64(size, F.slice("w", F.lit(2), size)).alias("anchor"))
+    anchored = asked.select("q", size.alias("size"), F.xxhash64(size, F.slice("w", F.lit(2), size)).alias("anchor"))
     sizes = [r["size"] for r in anchored.select("size").distinct().orderBy("size").collect()]  # at most anchor_words
-    split = texts.select(F.col(text_id).alias("t"), words(F.col("text")).alias("w"))
+    if not sizes:
+        return _spotted(said, asked.select("q", "quote"), text_id, quote_id)
+    split = said.withColumn("w", F.split("text", r"\s+", -1))
     runs = lambda n: F.when(F.size("w") >= n + 2, F.transform(F.sequence(F.lit(2), F.size("w") - n), lambda i: F.xxhash64(F.lit(n), F.slice("w", i, n)))).otherwise(F.array().cast("array<bigint>"))
-    none = texts.sparkSession.createDataFrame([], f"t {texts.schema[text_id].dataType.simpleString()}, q {quotes.schema[quote_id].dataType.simpleString()}")
-    pairs = none
-    if sizes:
-        met = split.select("t", F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes]))).alias("anchor"))
-        by_anchor = anchored.select("q", "anchor")
-        few = anchored.count() * 64 <= broadcast_bytes
-        pairs = met.join(F.broadcast(by_anchor) if few else by_anchor, "anchor").select("t", "q").distinct()
-    short = asked.where(F.size("w") < 3).select("q", "quote")
-    block = F.floor(F.sum(F.octet_length("quote") + 64).over(Window.partitionBy("part").orderBy("q").rowsBetween(Window.unboundedPreceding, 0)) / (1 << 20))
-    blocks = short.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(64))).withColumn("block", block).groupBy("part", "block").agg(F.collect_list(F.struct("q", "quote")).alias("qs")).select("qs")
-    if not short.isEmpty():
-        seen = texts.select(F.col(text_id).alias("t"), "text").join(blocks, F.lit(True))  # a stated set against all texts, in blocks
-        pairs = pairs.unionByName(seen.select("t", F.explode(F.filter("qs", lambda q: F.contains(F.col("text"), q["quote"]))).alias("m")).select("t", "m.q"))
-    both = pairs.join(asked.select("q", "quote"), "q").join(texts.select(F.col(text_id).alias("t"), "text"), "t")
+    met = split.select("t", F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes]))).alias("anchor"))
+    pairs = met.join(anchored.select("q", "anchor"), "anchor").select("t", "q").distinct()
+    both = pairs.join(asked.select("q", "quote"), "q").join(said, "t")
     start = F.instr("text", F.col("quote")) - 1
     return both.where(F.contains("text", "quote")).select(F.col("t").alias(text_id), F.col("q").alias(quote_id), start.cast("long").alias("start"), (start + F.length("quote")).cast("long").alias("end"))
 
@@ -121,8 +162,9 @@ def cycle_nodes(edges: DataFrame, in_one_task: int = 100_000) -> DataFrame:
     (key, node), each checkpointed, until nothing goes any more or they are small enough. Rounds are as many as the longest way to an end is long.
     An edge with a null leads nowhere. Repeated edges count once.
     """
-    from attestry.functions.staging import checkpointed
+    from attestry.functions.staging import checkpointed, ship
 
+    ship(edges.sparkSession)  # workers import _peeled by name
     left = checkpointed(edges.select("key", "a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
     done, kind = [], edges.schema["a"].dataType.simpleString()
     schema = f"key {edges.schema['key'].dataType.simpleString()}, node {kind}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -299,6 +300,25 @@ def test_details(found):
     assert any(p.endswith(".confidence") for p, _ in found["=unknown_field"])
 
 
+def test_many_citations_of_one_segment(spark):
+    """500 claims with 50 citations each of a text of 200,000 units: the text is made into UTF-16 once, not 25,000 times. Every tenth claim misquotes once."""
+    text = "".join(chr(97 + k * k % 26) if k % 97 else "é" for k in range(199_998)) + "😀"
+    context, draft = L.context(), L.draft()
+    context["sourceSegments"][0]["text"] = text
+    cite = lambda k, n: {"sourceId": "src.1", "sourceRevisionId": "rev.1", "segmentId": "seg.0", "quote": text[k + n : k + n + 20 + n % 7], "span": {"start": k + n, "end": k + n + 20 + n % 7}}
+    draft["claims"] = [L.claim(f"c{n}", "source_fact", evidence=[cite(3900 * k, n) for k in range(50)]) for n in range(500)]
+    for c in draft["claims"][::10]:
+        c["evidence"][7]["quote"] = "x" + c["evidence"][7]["quote"][1:] + "y"
+    draft["claims"][3]["evidence"][0]["span"] = {"start": -20, "end": 200_000}
+    draft["claims"][3]["evidence"][0]["quote"] = text[-19:]  # 20 units, of which the last character has two
+    draft["claims"][4]["evidence"][0]["span"]["end"] = 200_001
+    began = time.perf_counter()
+    issues = engine.validate_draft(spark.createDataFrame([("k", json.dumps(draft), json.dumps(context))], "key string, raw string, context string"))
+    spans = sorted((r["path"], r["code"]) for r in issues.where("code IN ('quote_mismatch', 'span_out_of_bounds')").collect())
+    assert spans == sorted([*((f"$.claims[{n}].evidence[7].quote", "quote_mismatch") for n in range(0, 500, 10)), ("$.claims[4].evidence[0].span.end", "span_out_of_bounds")])
+    assert time.perf_counter() - began < 120
+
+
 def test_context_draft_and_verdicts(spark):
     bad = {"sources": [{"id": "src.x"}], "sourceRevisions": [{"id": "rev.x"}], "sourceSegments": [{"id": "seg.x", "anchor": None, "extraction": None}]}
     contexts = spark.createDataFrame([("good", json.dumps(L.context())), ("bad", json.dumps(bad))], "key string, raw string")

@@ -125,11 +125,19 @@ def test_samples_and_schemas(spark):
         assert without(row["doc"].asDict(recursive=True)) == without(json.loads(row["raw"]))
 
 
-def test_short_quotes_and_edges(spark):
-    texts = spark.createDataFrame([(1, "one two three four five six seven"), (2, ""), (3, None), (4, "xone two three four five sixy")], "t long, text string")
-    quotes = spark.createDataFrame([(1, "one two three four five six"), (2, "two"), (3, ""), (4, None)], "q long, text string")
-    got = sorted(tuple(r) for r in tabular.quote_matches(texts, quotes, "t", "q").collect())
-    assert got == [(1, 1, 0, 27), (1, 2, 4, 7), (4, 1, 1, 28), (4, 2, 5, 8)]
+@pytest.mark.parametrize("limit", [16 << 20, 300, 70])
+def test_quotes(spark, limit):
+    """In one automaton, and parted: short quotes in several, longer ones by anchors."""
+    texts = [(1, "one two three four five six seven"), (2, ""), (3, None), (4, "xone two three four five sixy"), (5, "aaaa"), (6, "été 😀 two two two"), (6, "two again")]
+    quotes = [(1, "one two three four five six"), (2, "two"), (3, ""), (4, None), (5, "aa"), (6, "two"), (7, "two three"), (8, " "), (9, "😀"), (10, "two two two"), (11, "four five six"), (12, "not there at all")]
+    want = sorted((t, q, text.index(quote), text.index(quote) + len(quote)) for t, text in texts for q, quote in quotes if text and quote and quote in text)
+    found = tabular.quote_matches(spark.createDataFrame(texts, "t long, text string").repartition(2), spark.createDataFrame(quotes, "q long, text string"), "t", "q", broadcast_bytes=limit)
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_no_quotes(spark):
+    texts = spark.createDataFrame([("a", "text")], "start string, text string")
+    assert tabular.quote_matches(texts, spark.createDataFrame([], "q string, text string"), "start", "q").collect() == []
 
 
 def test_labels(spark):
