@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import values as V
 from attestry.operators import structure, tabular
-from attestry.plans import ledgers, streams
+from attestry.plans import cloud, ledgers, streams
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -395,7 +395,7 @@ def upserted_state(read):
     return tabular.upserted(state, orders.selectExpr("o_custkey AS c_custkey", "o_orderstatus AS status", "o_totalprice AS amount", "o_orderdate", "o_orderkey"), ["c_custkey"], ["o_orderdate", "o_orderkey"])
 
 
-for _f, _text in ledgers.QUERIES.values():
+for _f, _text in [*ledgers.QUERIES.values(), *cloud.QUERIES.values()]:
     query(_text)(_f)
 for _name, (_f, _text) in streams.QUERIES.items():
     _queries[_name], _sql[_name] = _f, _text
