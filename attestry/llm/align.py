@@ -73,6 +73,25 @@ class Aligned(NamedTuple):
     width: np.ndarray
 
 
+def _pieces(listed: list[list[int]]) -> list[bytes]:
+    """Each list as unsigned 32-bit integers."""
+    sizes = np.fromiter(map(len, listed), dtype=np.int64, count=len(listed))
+    flat = np.fromiter(chain.from_iterable(listed), dtype="<u4", count=int(sizes.sum())).tobytes()
+    ends = (4 * np.cumsum(sizes)).tolist()
+    return [flat[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
+
+#: The tokenizers, kept as long as the Python worker lives.
+_pairs: dict[tuple[str, str], Pair] = {}
+
+
+def pair_of(a: str, b: str) -> Pair:
+    found = _pairs.get((a, b))
+    if found is None:
+        found = _pairs[a, b] = Pair(a, b)
+    return found
+
+
 class Pair:
     """The two tokenizers, and the tokens of at most about so many chunks."""
 
@@ -82,7 +101,7 @@ class Pair:
         from tokenizers import Tokenizer
 
         self.cached = cached
-        self.seen: dict[str, tuple[bytes, bytes] | None] = {}
+        self.seen: dict[str, bytes | None] = {}
         self.a = Tokenizer.from_file(a)
         self.a.encode_special_tokens = True
         own = {c: bytes([n]) for n, c in chunks.byte_alphabet().items()}
@@ -99,14 +118,14 @@ class Pair:
         shown = lambda n, end: np.array([f"{i}{end}" for i in range(n)], dtype=object)
         self.a_text, self.b_text = ([shown(len(parts), end) for end in ends] for parts, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")))
 
-    def encode(self, listed: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Chunks that begin with a space or a line feed: the ids of A and of B (unsigned, 32 bits each); None where their bytes are not those of the chunk."""
+    def encode(self, listed: list[str]) -> list[bytes | None]:
+        """Chunks that begin with a space or a line feed: how many ids of A, these, and those of B (unsigned, 32 bits each); None where their bytes are not those of the chunk."""
         if not listed:
             return []
-        a = [array("I", e.ids).tobytes() for e in self.a.encode_batch_fast(listed, add_special_tokens=False)]
-        b = [array("I", ids).tobytes() for ids in self.b.encode([x[1:] if x[0] == " " else x for x in listed], num_threads=1)]  # it adds a space
-        b = [ids if x[0] == " " else ids[4:] for x, ids in zip(listed, b, strict=True)]
-        return [pair if good else None for pair, good in zip(zip(a, b, strict=True), self._known(listed, a, b), strict=True)]
+        a = _pieces([e.ids for e in self.a.encode_batch_fast(listed, add_special_tokens=False)])
+        b = self.b.encode([x[1:] if x[0] == " " else x for x in listed], num_threads=1)  # it adds a space
+        b = _pieces([ids if x[0] == " " else ids[1:] for x, ids in zip(listed, b, strict=True)])
+        return [(len(x) // 4).to_bytes(4, "little") + x + y if good else None for x, y, good in zip(a, b, self._known(listed, a, b), strict=True)]
 
     def _known(self, listed: list[str], a: list[bytes], b: list[bytes]) -> list[bool]:
         """Which chunks have tokens whose bytes are theirs: all of a list looked at together, or else each half."""
@@ -134,21 +153,28 @@ class Pair:
         many = high - low
         first = np.concatenate([[0], np.cumsum(many)[:-1]])
         other = np.arange(many.sum()) - np.repeat(first - low, many)
-        codes = np.repeat(left << SHIFT, many) | right[other]
-        at = np.repeat(chunk_of_a, many)
-        order = np.lexsort((codes, at))
-        codes, at = codes[order], at[order]
-        fresh = np.flatnonzero(np.concatenate([[True], (np.diff(codes) != 0) | (np.diff(at) != 0)]))
-        times = np.diff(np.append(fresh, len(codes)))
-        groups = self._shown(left, n_a, right, n_b, a_ends, b_ends, b_ends[last_b]) if texts else []
-        return Aligned(n_groups, groups, codes[fresh], times, np.bincount(at[fresh], minlength=len(n_a)))
-
-    def _shown(self, left: np.ndarray, n_a: np.ndarray, right: np.ndarray, n_b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, cuts: np.ndarray) -> list[str]:
+        n_right, n_pairs = len(self.b_bytes), len(self.a_bytes) * len(self.b_bytes)
+        keys = np.repeat(chunk_of_a * n_pairs + left * n_right, many) + right[other]
+        keys.sort()
+        fresh = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
+        times = np.diff(np.append(fresh, len(keys)))
+        keys = keys[fresh]
+        at = keys // n_pairs
+        keys -= at * n_pairs
+        codes = (keys // n_right << SHIFT) | keys % n_right
+        groups = self._shown(left, n_a, right, n_b, a_ends, b_ends, last_b) if texts else []
+        return Aligned(n_groups, groups, codes, times, np.bincount(at, minlength=len(n_a)))
+
+    def _shown(self, left: np.ndarray, n_a: np.ndarray, right: np.ndarray, n_b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, last_b: np.ndarray) -> list[str]:
         """The groups of each chunk as text: the ids of A of a group, then those of B, each with what follows it."""
-        group_a, group_b = np.searchsorted(cuts, a_ends, side="left"), np.searchsorted(cuts, b_ends, side="left")
-        end_a, end_b = (np.diff(np.append(g, g[-1] + 1)) > 0 for g in (group_a, group_b))
-        words = np.concatenate([np.where(end_a, self.a_text[1][left], self.a_text[0][left]), np.where(end_b, self.b_text[1][right], self.b_text[0][right])])
-        listed = words[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tolist()
+        last_a = np.searchsorted(a_ends, b_ends[last_b])
+        words = np.empty(len(left) + len(right), dtype=object)
+        size_a, size_b = (np.diff(last, prepend=-1) for last in (last_a, last_b))  # tokens of each group
+        places_a = np.arange(len(left)) + np.repeat(np.cumsum(size_b) - size_b, size_a)
+        places_b = np.arange(len(right)) + np.repeat(np.cumsum(size_a), size_b)
+        words[places_a], words[places_b] = self.a_text[0][left], self.b_text[0][right]
+        words[places_a[last_a]], words[places_b[last_b]] = self.a_text[1][left[last_a]], self.b_text[1][right[last_b]]
+        listed = words.tolist()
         stops = np.cumsum(n_a + n_b).tolist()
         return ["".join(listed[lo:hi])[:-1] for lo, hi in zip([0, *stops], stops, strict=False)]
 
@@ -175,25 +201,22 @@ class _Block:
         self.places: list[bytes] = []
         self.size = 0
         self.at: dict[str, int] = {}  # chunk -> its place, or -1 where it has no tokens
-        self.tokens: list[tuple[bytes, bytes]] = []  # of the chunks by place
+        self.tokens: list[bytes] = []  # of the chunks by place
 
     def _learn(self, listed: list[str]) -> None:
         seen = self.pair.seen
         new = [chunk for chunk in listed if chunk not in seen]
-        seen.update(zip(new, self.pair.encode(new), strict=True))
+        fresh = dict(zip(new, self.pair.encode(new), strict=True))
         for chunk in listed:
-            found = seen[chunk]
+            found = fresh[chunk] if chunk in fresh else seen[chunk]
             self.at[chunk] = -1 if found is None else len(self.tokens)
             if found is not None:
                 self.tokens.append(found)
-        for chunk in new:
-            if len(chunk) > 200:
-                del seen[chunk]
+        if len(seen) < self.pair.cached:  # the first ones, among which the common ones are
+            seen.update((chunk, found) for chunk, found in fresh.items() if len(chunk) < 200)
 
     def add(self, rows: list, texts: list[str | None]) -> None:
         parts = [split(" " + t) if t else [] for t in texts]
-        if len(self.pair.seen) > self.pair.cached:
-            self.pair.seen.clear()
         self._learn(list(set(chain.from_iterable(parts)).difference(self.at)))
         for row, text, own in zip(rows, texts, parts, strict=True):
             placed = array("i", map(self.at.__getitem__, own))
@@ -209,15 +232,19 @@ class _Block:
 
     def batch(self, block: int, kind: pa.DataType) -> pa.RecordBatch:
         places = np.frombuffer(b"".join(self.places), dtype="<i4")
-        flat = []
-        for side in (0, 1):
-            own = [found[side] for found in self.tokens]
-            flat += [np.frombuffer(b"".join(own), dtype="<u4").astype(np.int64), np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4]
+        size = np.fromiter(map(len, self.tokens), dtype=np.int64, count=len(self.tokens)) // 4
+        ids = np.frombuffer(b"".join(self.tokens), dtype="<u4").astype(np.int64)
+        starts = np.cumsum(size) - size
+        n_a = ids[starts]
+        own = np.arange(len(ids)) - np.repeat(starts, size)  # 0 is the number
+        of_a = own <= np.repeat(n_a, size)
+        flat = [ids[of_a & (own > 0)], n_a, ids[~of_a], size - 1 - n_a]
+        del ids, own, of_a
+        self.at, self.tokens = {}, []
         aligned = self.pair.align(*flat, texts=False)
         pairs, met = np.unique(aligned.pairs, return_inverse=True)
         used = np.repeat(np.bincount(places, minlength=len(aligned.width)), aligned.width)
-        counts = np.zeros(len(pairs), dtype=np.int64)
-        np.add.at(counts, met, aligned.times * used)
+        counts = np.bincount(met, weights=aligned.times * used, minlength=len(pairs)).astype(np.int64)
         some = counts > 0  # a chunk of a text without tokens may be used nowhere
         one = lambda values, kind: pa.array([values], kind)
         arrays = [
@@ -231,7 +258,7 @@ def blocks_of(docs: DataFrame, a: str, b: str, block_chunks: int, block_places:
     """docs: row and text. Staged blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(a, b)
+        pair = pair_of(a, b)
         number = TaskContext.get().partitionId() << 40  # another for every block, the same when a task runs again
         block, kind = _Block(pair), None
         for batch in batches:
@@ -260,7 +287,7 @@ def summed(a: str, b: str):
     """A block with the counts of its pairs -> its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(a, b)
+        pair = pair_of(a, b)
         before = lambda values: np.concatenate([[0], np.cumsum(values)])
         for batch in batches:
             for k in range(batch.num_rows):
@@ -289,7 +316,7 @@ def summed(a: str, b: str):
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", block_chunks: int = 1 << 18, block_places: int = 1 << 21) -> DataFrame:
+def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", block_chunks: int = 1 << 17, block_places: int = 1 << 20) -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups (text: ids of A, |, ids of B; groups apart by ;).
 
     a: file of a byte-level BPE tokenizer; b: file of a sentencepiece model. count_sum adds up, over the document's links, how often the pair of ids is linked in the
