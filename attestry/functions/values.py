@@ -95,11 +95,49 @@ def utf16(s: str) -> str:
     return f"encode({s}, 'UTF-16BE')"
 
 
+#: Dates as people write them, with a time: weekday, day, month, year; or month, day, year. Groups: day, month (or month, day), year, hour, minute, second, zone.
+_TIME = r"([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}}))?(?: ?(Z|UTC?|GMT|[ECMP][SD]T)?([+-][0-9]{{2}}:?[0-9]{{2}})?)(?: ?\\([^()]*\\))?\\z"
+_WEEKDAY = r"\\A(?:(?:Sun|Mon|Tue|Wed|Thu|Fri|Sat)[a-z]*,? +)?"
+_MONTH = r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+DAY_FIRST = f"(?i){_WEEKDAY}([0-9]{{1,2}})[ -]{_MONTH}[ -]([0-9]{{4}}),? +{_TIME}".replace("{{", "{").replace("}}", "}")
+MONTH_FIRST = f"(?i){_WEEKDAY}{_MONTH} +([0-9]{{1,2}}),? +([0-9]{{4}}),? +{_TIME}".replace("{{", "{").replace("}}", "}")
+#: ISO 8601 with what JavaScript takes besides: signed years of six digits, dates without a day or a month, the hour 24. Groups: year, month, day, hour, minute, second, zone.
+ISO_WIDE = r"\\A([0-9]{4}|[+-][0-9]{6})(?:-([0-9]{2}))?(?:-([0-9]{2}))?T([0-9]{2}):([0-9]{2})(?::([0-9]{2}(?:[.][0-9]+)?))?(Z|[+-][0-9]{2}:[0-9]{2})?\\z"
+_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+#: Hours behind UTC of the zones that have names.
+_ZONES = {"EST": 5, "EDT": 4, "CST": 6, "CDT": 5, "MST": 7, "MDT": 6, "PST": 8, "PDT": 7}
+
+
+def _moment(year: str, month: str, day: str, hour: str, minute: str, second: str, ahead: str, more: str = "TRUE") -> str:
+    """A timestamp of numbers. A day of up to 31 that its month doesn't have goes on into the next one; the hour 24 is the next day's first, if nothing follows it. ahead: minutes before UTC."""
+    whole = f"make_timestamp({year}, {month}, 1, {hour} % 24, {minute}, {second}, 'UTC') + make_dt_interval({day} - 1 + {hour} DIV 24, 0, -({ahead}), 0)"
+    fits = f"{year} BETWEEN 1 AND 9999 AND {month} BETWEEN 1 AND 12 AND {day} BETWEEN 1 AND 31 AND {minute} < 60 AND {second} < 60 AND ({hour} < 24 OR {hour} = 24 AND {minute} = 0 AND {second} = 0) AND {more}"
+    return f"CASE WHEN {fits} THEN {whole} END"
+
+
+def _offset(zone: str) -> str:
+    """Minutes ahead of UTC of +hh:mm or +hhmm, 0 of none."""
+    return f"coalesce(try_cast(concat(substr({zone}, 1, 1), '1') AS INT) * (60 * try_cast(substr({zone}, 2, 2) AS INT) + try_cast(right({zone}, 2) AS INT)), 0)"
+
+
+def _inner(s: str, pattern: str, body) -> str:
+    """The body over the groups of a pattern, which are worked out once; a group that isn't there is empty."""
+    groups = f"array({', '.join(f'regexp_extract({s}, {chr(39)}{pattern}{chr(39)}, {k})' for k in range(1, 9 if pattern != ISO_WIDE else 8))})"
+    return f"transform(array({groups}), g -> {body('g')})[0]"
+
+
 def instant(s: str) -> str:
-    """The timestamp of an ISO 8601 date-time, else NULL. Without a zone it is UTC."""
+    """The timestamp of a date-time, else NULL: of what JavaScript's Date.parse takes, ISO 8601 and dates as people write them. Without a zone it is UTC. Years from 1 to 9999."""
     zoned = f"if({s} RLIKE '(Z|[+-][0-9]{{2}}:[0-9]{{2}})\\\\z', {s}, concat({s}, 'Z'))"
     full = f"regexp_replace({zoned}, '(T[0-9]{{2}}:[0-9]{{2}})(Z|[+-])', '$1:00$2')"
-    return f"if({s} RLIKE '{ISO_TIME}', try_cast({full} AS TIMESTAMP), NULL)"
+    plain = f"if({s} RLIKE '{ISO_TIME}', try_cast({full} AS TIMESTAMP), NULL)"
+    number = lambda g, k, kind="INT", default=0: f"coalesce(try_cast({g}[{k}] AS {kind}), {default})"
+    second = lambda g, k: number(g, k, "DECIMAL(16,6)")
+    wide = _inner(s, ISO_WIDE, lambda g: _moment(number(g, 0), number(g, 1, default=1), number(g, 2, default=1), number(g, 3), number(g, 4), second(g, 5), _offset(f"{g}[6]"), f"NOT ({g}[1] = '' AND {g}[2] <> '') AND {g}[0] <> '-000000'"))
+    month = lambda g, k: f"(2 + instr('{_MONTHS.lower()}', lower({g}[{k}]))) DIV 3"
+    named = lambda g: "coalesce(element_at(map(" + ", ".join(f"'{z}', {-60 * h}" for z, h in _ZONES.items()) + f"), upper({g}[6])), 0)"
+    said = lambda pattern, d, m: _inner(s, pattern, lambda g: _moment(number(g, 2), month(g, m), number(g, d), number(g, 3), number(g, 4), second(g, 5), f"{named(g)} + {_offset(f'{g}[7]')}"))
+    return f"coalesce({plain}, CASE WHEN {s} RLIKE '{ISO_WIDE}' THEN {wide} WHEN {s} RLIKE '{DAY_FIRST}' THEN {said(DAY_FIRST, 0, 1)} WHEN {s} RLIKE '{MONTH_FIRST}' THEN {said(MONTH_FIRST, 1, 0)} END)"
 
 
 def same_multiset(a: str, b: str) -> str:
