@@ -127,7 +127,14 @@ def _inner(s: str, pattern: str, body) -> str:
 
 
 def instant(s: str) -> str:
-    """The timestamp of a date-time, else NULL: of what JavaScript's Date.parse takes, ISO 8601 and dates as people write them. Without a zone it is UTC. Years from 1 to 9999."""
+    """The timestamp of a date-time, else NULL: of what JavaScript's Date.parse takes, ISO 8601 and dates as people write them. Without a zone it is UTC. Years from 1 to 9999.
+
+    The text is worked out once, however it is come by.
+    """
+    return f"transform(array({s}), t -> {_instant('t')})[0]"
+
+
+def _instant(s: str) -> str:
     zoned = f"if({s} RLIKE '(Z|[+-][0-9]{{2}}:[0-9]{{2}})\\\\z', {s}, concat({s}, 'Z'))"
     full = f"regexp_replace({zoned}, '(T[0-9]{{2}}:[0-9]{{2}})(Z|[+-])', '$1:00$2')"
     plain = f"if({s} RLIKE '{ISO_TIME}', try_cast({full} AS TIMESTAMP), NULL)"
@@ -144,3 +151,56 @@ def same_multiset(a: str, b: str) -> str:
     """Two variants are arrays with the same elements in some order."""
     text = lambda v: f"array_sort(transform({items(v)}, e -> coalesce({string('e')}, to_json(e), '')))"
     return f"({is_array(a)} AND {is_array(b)} AND {text(a)} = {text(b)})"
+
+
+# --- URLs, as the WHATWG standard's parser takes them -------------------------------------------------------------------------------
+
+#: What the parser takes off the ends, and out of the middle.
+_ENDS, _MIDDLE = r"\\A[\\x00-\\x20]+|[\\x00-\\x20]+\\z", r"[\\t\\n\\r]"
+#: After http: or https:, any slashes of either kind; then the authority.
+_AUTHORITY = r"(?i)\\A(https?):[/\\\\]*([^/\\\\?#]*)"
+#: What no domain may hold, once it is decoded.
+_FORBIDDEN = r"[\\x00-\\x20\\x7F#%/:<>?@\\[\\\\\\]^`{|}\\x{AD}]"
+_NUMBER = "(?:0[xX][0-9a-fA-F]*|[0-9]+)"
+_H16 = "[0-9a-fA-F]{1,4}"
+_V4 = "(?:[0-9]{1,3}[.]){3}[0-9]{1,3}"
+
+
+def _ipv6(h: str) -> str:
+    """Whether what stands between brackets is an IPv6 address: eight groups, or fewer and one ::, of which two may be an IPv4 address."""
+    tail = f"if({h} RLIKE '{_V4}\\\\z', regexp_replace({h}, '{_V4}\\\\z', '0:0'), {h})"
+    four = f"coalesce(forall(split(regexp_extract({h}, '({_V4})\\\\z', 1), '[.]'), p -> p = '' OR (CAST(p AS INT) < 256 AND (p = '0' OR p NOT LIKE '0%'))), TRUE)"
+    groups = "size(filter(split(w, ':'), p -> p <> ''))"
+    whole = f"w RLIKE '\\\\A{_H16}(:{_H16}){{7}}\\\\z'"
+    short = f"(w LIKE '%::%' AND NOT w LIKE '%::%::%' AND NOT w LIKE '%:::%' AND {groups} <= 7 AND w RLIKE '\\\\A(({_H16}:)*{_H16})?::(({_H16}:)*{_H16})?\\\\z')"
+    return f"({four} AND transform(array({tail}), w -> {whole} OR {short})[0])"
+
+
+def _ipv4(h: str) -> str:
+    """Whether a domain whose last label is a number is an IPv4 address: at most four numbers (decimal, octal or hexadecimal), all but the last under 256, the last filling the rest."""
+    value = "CASE WHEN p RLIKE '^0[xX]' THEN coalesce(CAST(conv(if(length(p) > 2, substr(p, 3), '0'), 16, 10) AS DECIMAL(20,0)), 0) WHEN p RLIKE '^0[0-7]+$' THEN CAST(conv(p, 8, 10) AS DECIMAL(20,0)) WHEN p RLIKE '^0[0-9]+$' THEN -1 ELSE try_cast(p AS DECIMAL(20,0)) END"
+    numbers = f"transform(split(regexp_replace({h}, '[.]\\\\z', ''), '[.]'), p -> if(p RLIKE '^{_NUMBER}$' AND length(p) < 20, {value}, -1))"
+    fits = "size(n) <= 4 AND size(filter(n, (v, k) -> NOT (v >= 0 AND v < if(k = size(n) - 1, CAST(pow(256, 5 - size(n)) AS DECIMAL(20,0)), 256)))) = 0"
+    return f"coalesce(transform(array({numbers}), n -> {fits})[0], FALSE)"
+
+
+def web_url(s: str) -> str:
+    """How the standard's parser takes a text as an absolute http or https URL: 'ok', 'credentials' (a name or a password before the host), or 'invalid'. NULL of NULL.
+
+    Spaces and controls at the ends, tabs and line ends, backslashes and missing slashes are repaired, as the parser does. Hosts: IPv6 in brackets, IPv4 in all its forms, domains without
+    forbidden characters once they are percent-decoded. Labels beyond ASCII count as domains if they are letters, marks, digits, hyphens and dots (IDNA's tables are not looked up).
+    """
+    cleaned = f"regexp_replace(regexp_replace({s}, '{_ENDS}', ''), '{_MIDDLE}', '')"
+    authority = f"if(u RLIKE '{_AUTHORITY}', regexp_extract(u, '{_AUTHORITY}', 2), NULL)"
+    user = "if(instr(a, '@') > 0, substr(a, 1, length(a) - instr(reverse(a), '@')), '')"
+    rest = "if(instr(a, '@') > 0, right(a, instr(reverse(a), '@') - 1), a)"
+    port = "regexp_extract(r, ':([0-9]*)\\\\z', 1)"
+    host = "regexp_replace(r, ':[0-9]*\\\\z', '')"
+    good_port = f"coalesce(try_cast(if({port} = '', '0', {port}) AS INT) <= 65535, FALSE)"
+    decoded = "coalesce(try_url_decode(replace(h, '+', '%2B')), '%')"
+    ascii = "lower(translate(d, '\u3002\uff0e\uff61', '...'))"
+    numeric = f"n RLIKE '(\\\\A|[.]){_NUMBER}[.]?\\\\z'"
+    domain = f"n <> '' AND NOT n RLIKE '{_FORBIDDEN}' AND NOT n RLIKE '[^\\\\x00-\\\\x7F\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}.-]' AND if({numeric}, {_ipv4('n')}, NOT n RLIKE '[.][.].|\\\\A[.]+.' OR n RLIKE '\\\\A[\\\\x00-\\\\x7F]*\\\\z')"
+    fits = f"if(h LIKE '[%', h LIKE '%]' AND {_ipv6('substr(h, 2, length(h) - 2)')}, transform(array({decoded}), d -> transform(array({ascii}), n -> {domain})[0])[0])"
+    inner = f"transform(array({host}), h -> CASE WHEN NOT ({good_port} AND {fits}) THEN 'invalid' WHEN replace({user}, ':', '') <> '' THEN 'credentials' ELSE 'ok' END)[0]"
+    return f"transform(array({cleaned}), u -> transform(array({authority}), a -> CASE WHEN {s} IS NULL THEN NULL WHEN a IS NULL THEN 'invalid' ELSE transform(array({rest}), r -> {inner})[0] END)[0])[0]"

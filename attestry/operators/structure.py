@@ -145,9 +145,7 @@ def url(at: At) -> str:
 
 
 def _url(at: At, s: str) -> str:
-    scheme = f"lower(try_parse_url({s}, 'PROTOCOL'))"
-    good = f"coalesce({scheme} IN ('http', 'https') AND coalesce(try_parse_url({s}, 'HOST'), '') <> '', FALSE)"
-    return both(text(1, 2048)(at), found(at, (f"{V.is_string(at.v)} AND {good} AND coalesce(try_parse_url({s}, 'USERINFO'), '') NOT IN ('', ':')", at.path, "url_credentials"), (f"{V.is_string(at.v)} AND NOT {good}", at.path, "invalid_url"), first=9))
+    return both(text(1, 2048)(at), named(V.web_url(s), lambda u: found(at, (f"{u} = 'credentials'", at.path, "url_credentials"), (f"{u} = 'invalid'", at.path, "invalid_url"), first=9)))
 
 
 #: The rank of a member that the format does not know, before its place among the members as they are written (see engine.in_document_order).
