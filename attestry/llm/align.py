@@ -95,7 +95,7 @@ def pair_of(a: str, b: str) -> Pair:
 class Pair:
     """The two tokenizers, and the tokens of at most about so many chunks."""
 
-    def __init__(self, a: str, b: str, cached: int = 500_000):
+    def __init__(self, a: str, b: str, cached: int = 150_000):
         chunks.os_environ_off()
         import sentencepiece
         from tokenizers import Tokenizer
