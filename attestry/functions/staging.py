@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -37,6 +38,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df as computed once, written as Parquet and read again. Unlike a checkpoint it has the size of its files, not one estimated from the plan before, which in a loop of joins grows without end."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/attestry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
