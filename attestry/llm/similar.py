@@ -6,9 +6,11 @@ that is searched within 2 bits; what differs in no more of the 504 bits than the
 A candidate is a link only if the shingle sets themselves, as 64-bit hashes, are that similar.
 
 Sets are large, so few pairs should meet. First, of each document (then of each group that hangs together) the candidate with the smallest key and the
-nearest one are compared. A second search, among documents with a candidate, gives all candidates across the groups found so far; all are compared.
-Only pairs that hang together already are left out, so the groups are those of all candidates. Cells by leading bits, members and queries
-are as in simhash.links.
+nearest one are compared. A second search, among documents with a candidate, gives all candidates across the groups found so far that can be similar
+enough: each document brings the size of its set and a bitmap of it, of 2048 bits, which together say how many shingles two sets have in common at most.
+Those that cannot reach the similarity never leave the task, so many documents that are a little less similar to each other cost no rows; all others are
+compared. No pair that is similar enough is left out but those that hang together already, so the groups are those of all candidates. Cells by leading
+bits, members and queries are as in simhash.links.
 
 Missed pairs: at similarity 0.8, one slice in 3.6 agrees within 2 bits, so that all 21 fail for one pair in 1000; of sets of a few shingles more do.
 
@@ -32,6 +34,7 @@ from attestry.llm.gray_index import GrayIndex
 
 SLICES, WIDTH, RADIUS = 21, 24, 2
 WORDS64 = 8
+BITMAP64 = 32
 
 
 def most_bits(similarity: float, slack: float = 4) -> int:
@@ -53,14 +56,29 @@ def wide_fingerprint(text: bytes | None, words: int) -> bytes:
     return out.tobytes()
 
 
+def size_and_bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The size of a set of 64-bit hashes, and which values their last 11 bits take."""
+    bits = np.zeros(BITMAP64 * 64, dtype=np.uint8)
+    bits[hashes & np.uint64(BITMAP64 * 64 - 1)] = 1
+    return np.concatenate([np.array([len(hashes)], dtype=np.uint64), np.packbits(bits).view(np.uint64)])
+
+
+def may_reach(similarity: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, whether two sets can be so similar: each bit of one bitmap alone stands for at least one hash that the other set lacks."""
+    n, m = a[:, 0].astype(np.int64), b[:, 0].astype(np.int64)
+    only_a, only_b = (np.bitwise_count(x[:, 1:] & ~y[:, 1:]).sum(axis=1).astype(np.int64) for x, y in ((a, b), (b, a)))
+    both = np.minimum(n - only_a, m - only_b)
+    return both >= similarity * (n + m - both) - 1e-9
+
+
 def slices(prints: np.ndarray) -> np.ndarray:
-    """prints: n x 64 bytes. The slices as 24-bit numbers: n x 21."""
+    """prints: n x 64 bytes or more. The slices as 24-bit numbers: n x 21."""
     three = prints[:, : SLICES * 3].reshape(len(prints), SLICES, 3).astype(np.uint32)
     return three[:, :, 0] << 16 | three[:, :, 1] << 8 | three[:, :, 2]
 
 
 def _rows_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, 8 * WORDS64)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
 
 def _dealt(bits: int):
@@ -110,7 +128,8 @@ class _Grouped:
 
     def __init__(self, values: np.ndarray, keys: np.ndarray, labels: np.ndarray, prints: np.ndarray):
         order = np.lexsort((keys, labels, values))
-        values, self.keys, self.labels, self.prints = values[order], keys[order], labels[order], prints[order]
+        values, self.keys, self.labels = values[order], keys[order], labels[order]
+        self.prints, self.sets = prints[order, :WORDS64], prints[order, WORDS64:]
         self.uniq, starts = np.unique(values, return_index=True)
         self.starts = np.append(starts, len(values))
         changed = (np.diff(values) != 0) | (np.diff(self.labels) != 0)
@@ -140,10 +159,10 @@ def _chosen(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np
     return a[at], b[at], d[at]
 
 
-def _candidates(limit: int, every: bool, most_pairs: int = 1 << 16):
+def _candidates(limit: int, every: bool, similarity: float = 0, most_pairs: int = 1 << 16):
     """Rows (cell, role, value, key, label, print) sorted by cell and role, members (role 0) first -> candidates a, b of d differing bits.
 
-    every: all those of different labels; groups of one value and label are left out whole. Otherwise of each fingerprint, as a, the smallest and the
+    every: all those of different labels, and with a similarity only those whose sets may be so similar, prints being followed by sizes and bitmaps; groups of one value and label are left out whole. Otherwise of each fingerprint, as a, the smallest and the
     nearest b; where many have one value they meet only pivots, so a group of near copies costs in proportion to its size, but each that has a candidate gets one.
     """
 
@@ -152,7 +171,9 @@ def _candidates(limit: int, every: bool, most_pairs: int = 1 << 16):
 
         def near(q: _Grouped, m: _Grouped, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             d = np.bitwise_count(q.prints[x] ^ m.prints[y]).sum(axis=1).astype(np.int64)
-            keep = d <= limit
+            keep = np.flatnonzero(d <= limit)
+            if similarity:
+                keep = keep[may_reach(similarity, q.sets[x[keep]], m.sets[y[keep]])]
             return x[keep], y[keep], d[keep]
 
         def to_pivots(q: _Grouped, m: _Grouped, qu: np.ndarray, mu: np.ndarray, inner: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -208,7 +229,7 @@ def _candidates(limit: int, every: bool, most_pairs: int = 1 << 16):
 
         def build() -> Iterator[pa.RecordBatch]:
             nonlocal parts, held
-            columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros((0, WORDS64) if k == 3 else 0, dtype=np.uint64 if k == 3 else np.int64) for k in range(4)]
+            columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros((0, WORDS64 + (1 + BITMAP64 if similarity else 0)) if k == 3 else 0, dtype=np.uint64 if k == 3 else np.int64) for k in range(4)]
             parts = []
             members = _Grouped(*columns)
             if not every:
@@ -240,13 +261,13 @@ def _candidates(limit: int, every: bool, most_pairs: int = 1 << 16):
 
 
 def _searched(prints: DataFrame, similarity: float, every: bool, per_cell: int) -> DataFrame:
-    """prints: key, label, print, staged. Candidates a, b, d, staged."""
+    """prints: key, label, print (for every: followed by size and bitmap), staged. Candidates a, b, d, staged."""
     total = prints.count()
     bits = min(WIDTH - 4, max(0, math.ceil(math.log2(max(1, total / per_cell)))))
     dealt = prints.select("key", "label", "print").mapInArrow(common.tidy(_dealt(bits)), "cell long, role int, value long, key long, label long, print binary")
     parts = common.spread(prints.sparkSession, total * SLICES, per_cell)
     sorted_ = dealt.repartition(parts, "cell").sortWithinPartitions("cell", "role")
-    return common.stage(sorted_.mapInArrow(common.tidy(_candidates(most_bits(similarity), every)), "a long, b long, d long"))
+    return common.stage(sorted_.mapInArrow(common.tidy(_candidates(most_bits(similarity), every, similarity if every else 0)), "a long, b long, d long"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -278,12 +299,12 @@ def _links(docs: DataFrame, row_col: str, text_col: str, distinct: DataFrame, wo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(simhash.shingle_hashes(t.as_py(), words)).tobytes() for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "hashes"])
+            found = [np.unique(simhash.shingle_hashes(t.as_py(), words)) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in found], pa.binary()), pa.array([size_and_bitmap(h).tobytes() for h in found], pa.binary())], ["key", "hashes", "bound"])
 
     first = _searched(distinct.withColumn("label", F.col("key")), similarity, False, per_cell)
     keys = common.stage(first.select(F.col("a").alias("key")).distinct())
-    sets = common.stage(docs.join(keys, docs[row_col] == keys["key"], "left_semi").select(row_col, text_col).mapInArrow(common.tidy(run), "key long, hashes binary"))
+    sets = common.stage(docs.join(keys, docs[row_col] == keys["key"], "left_semi").select(row_col, text_col).mapInArrow(common.tidy(run), "key long, hashes binary, bound binary"))
     labels, tried, links = keys.withColumn("label", F.col("key")), None, None
 
     def compare(pairs: DataFrame) -> bool:
@@ -311,7 +332,8 @@ def _links(docs: DataFrame, row_col: str, text_col: str, distinct: DataFrame, wo
             break
         label()
     if links is not None:
-        compare(_searched(common.stage(distinct.join(labels, "key").select("key", "label", "print")), similarity, True, per_cell))
+        bounded = distinct.join(labels, "key").join(sets.select("key", "bound"), "key").select("key", "label", F.concat("print", "bound").alias("print"))
+        compare(_searched(common.stage(bounded), similarity, True, per_cell))
     return links if links is not None else first.select("a", "b")
 
 

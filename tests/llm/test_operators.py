@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
+import re
 import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -273,6 +276,60 @@ def test_similar_with_many_of_one_slice_value():
         assert {(min(p), max(p)) for p in got} == {(k, k + 1) for k in range(0, 60, 2)}
 
 
+def test_sizes_and_bitmaps_rule_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5, 40, 150, 900, 6000):
+        for share in (0.0, 0.3, 0.6, 0.8, 0.85, 0.888, 0.889, 0.9, 1.0):
+            pool = rng.integers(0, 1 << 63, 3 * n + 2, dtype=np.uint64)
+            x, y = np.unique(pool[:n]), np.unique(np.concatenate([pool[: round(share * n)], pool[n : n + rng.integers(0, n - round(share * n) + 2)]]))
+            both = len(np.intersect1d(x, y))
+            close = both >= 0.8 * (len(x) + len(y) - both) - 1e-9
+            bounds = [similar.size_and_bitmap(h)[None, :] for h in (x, y)]
+            ways = [similar.may_reach(0.8, *pair)[0] for pair in (bounds, bounds[::-1])]
+            assert ways[0] == ways[1] and (ways[0] or not close)
+            assert share > 0.7 or n not in (40, 150, 900) or not ways[0]
+
+
+def test_near_misses_leave_no_rows():
+    n, rng = 600, np.random.default_rng(4)
+    flips = rng.integers(0, 504, (n, 20))
+    bits = np.zeros((n, 512), dtype=np.uint8)
+    bits[np.arange(n)[:, None], flips] = 1
+    shared = rng.integers(0, 1 << 63, 140, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(shared)[:112], rng.integers(0, 1 << 63, 28, dtype=np.uint64)])) for _ in range(n)]
+    sets[1] = np.append(sets[0][1:], np.uint64(7))
+    prints = np.hstack([np.packbits(bits, axis=1).view(np.uint64), np.stack([similar.size_and_bitmap(h) for h in sets])])
+    columns = [pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array([p.tobytes() for p in prints], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["cell", "role", "value", "key", "label", "print"])
+    got = [(a, b) for out in similar._candidates(similar.most_bits(0.8), True, 0.8)(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    assert [tuple(sorted(p)) for p in got] == [(0, 1)]
+
+
+def test_similar_against_all_pairs_of_a_table(spark):
+    """Groups of every text of the table, from the exact similarity of all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    holders, sizes, root = {}, {}, {}
+    for r in docs.orderBy("doc_id").collect():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) if w]
+        own = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else {()}
+        sizes[r.doc_id], root[r.doc_id] = len(own), r.doc_id
+        for shingle in own:
+            holders.setdefault(shingle, []).append(r.doc_id)
+    common_ = Counter(pair for ids in holders.values() for pair in itertools.combinations(ids, 2))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for (a, b), both in common_.items():
+        if both >= 0.8 * (sizes[a] + sizes[b] - both) - 1e-9:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = {r.doc_id: r.root for r in similar.groups(docs, "doc_id", "text").collect()}
+    assert got == {k: find(k) for k in root} and len(set(got.values())) < len(got)
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------------------
 
 
