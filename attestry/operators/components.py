@@ -46,17 +46,23 @@ def strong_components(edges: DataFrame) -> DataFrame:
             found.append(_coloured(left))
             break
         before = now
-    own = reduce(DataFrame.unionByName, loops).distinct()
-    grouped = reduce(DataFrame.unionByName, found) if found else own.withColumn("c", F.col("x")).limit(0)
-    grouped = staged(grouped.unionByName(own.join(grouped, "x", "left_anti").withColumn("c", F.col("x"))))
-    for chain in reversed(chains):
+    none = whole.select("x", F.col("x").alias("c")).limit(0)
+    grouped = staged(reduce(DataFrame.unionByName, found, none))
+    for looped, chain in reversed(list(zip(loops[1:], chains, strict=True))):  # a node that leads to itself here may have been inside a chain later
+        grouped = staged(grouped.unionByName(_alone(looped, grouped)))
         ends = chain.join(grouped.toDF("start", "c"), "start").join(grouped.toDF("stop", "d"), "stop").where("c = d")
         grouped = staged(grouped.unionByName(ends.select("x", "c")))
+    grouped = grouped.unionByName(_alone(loops[0], grouped))
     named = grouped.join(names, "x").select("p", "c")
     least = named.groupBy("c").agg(F.min("p").alias("least"))
     return named.join(least, "c").select("p.key", "p.node", F.col("least.node").alias("component"))
 
 
+def _alone(looped: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Nodes that lead to themselves and are in no component yet are one each."""
+    return looped.distinct().join(grouped, "x", "left_anti").withColumn("c", F.col("x"))
+
+
 def _trimmed(left: DataFrame) -> DataFrame:
     """Without the edges that come from a node without a way in, or lead to one without a way out."""
     return left.join(left.select(F.col("y").alias("x")).distinct(), "x", "left_semi").join(left.select(F.col("x").alias("y")).distinct(), "y", "left_semi").select("x", "y")

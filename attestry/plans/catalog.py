@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestry.functions import values as V
-from attestry.operators import structure, tabular
+from attestry.operators import components, structure, tabular
 from attestry.plans import cloud, ledgers, streams
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -344,6 +344,17 @@ def cycle_nodes_all(read):
     return tabular.cycle_nodes(_edges(read, "'all'"))
 
 
+@query("""
+WITH RECURSIVE edges AS (
+  SELECT DISTINCT event_type AS key, user_id AS a, CAST(json_extract(props, '$.k') AS BIGINT) AS b FROM events),
+reach AS (SELECT key, a, b FROM edges UNION SELECT r.key, r.a, e.b FROM reach r JOIN edges e ON r.key = e.key AND r.b = e.a)
+SELECT r.key AS key, r.a AS node, min(r.b) AS component FROM reach r JOIN reach s ON s.key = r.key AND s.a = r.b AND s.b = r.a GROUP BY r.key, r.a
+""")
+def strong_components(read):
+    """Nodes on a cycle, and the smallest node of those on the same ones, in the graph of each type of event."""
+    return components.strong_components(_edges(read, "event_type"))
+
+
 @query("""
 SELECT o.o_orderkey AS o_orderkey, coalesce(p.o_orderkey, -1) AS prior, p.o_custkey IS DISTINCT FROM o.o_custkey AS other_owner FROM orders o LEFT JOIN orders p ON p.o_orderkey = o.o_orderkey - 7 WHERE p.o_custkey IS NULL OR p.o_custkey <> o.o_custkey
 """)

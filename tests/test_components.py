@@ -42,6 +42,7 @@ GRAPHS = {
     "rings joined by a chain": ring("a", 1, 2, 3) + [("a", 3, 10), ("a", 10, 11), ("a", 11, 12)] + ring("a", 12, 13),
     "loops, nulls and repeats": [("a", 7, 7), ("a", 7, 8), ("a", 6, 7), ("a", 6, 7), ("a", None, 1), ("a", 1, None), (None, 1, 1), (None, 2, 3), (None, 3, 2)],
     "one node of two rings": ring("a", 1, 2, 3) + ring("a", 1, 4, 5, 6),
+    "rings on the chains of others": ring("a", 1, 2, 3, 4) + ring("a", 2, 10, 11) + ring("a", 10, 12) + [("a", 1, 3), ("a", 4, 20), ("a", 20, 21)] + ring("a", 21, 22, 23) + ring("a", 22, 24),
     "keys apart": ring("a", 1, 2) + [("b", 1, 2), ("c", 2, 1)],
     "thin": [("a", rng.randrange(60), rng.randrange(60)) for _ in range(70)],
     "thick": [(rng.choice("ab"), rng.randrange(25), rng.randrange(25)) for _ in range(110)],
