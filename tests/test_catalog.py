@@ -39,3 +39,10 @@ def test_query(spark, duck, name):
     got = catalog.queries()[name](spark, DIR)
     want = duck.execute(catalog.oracle_sql()[name])
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of([d[0] for d in want.description], want.fetchall())
+
+
+def test_issues_of_one_place_are_lines_in_order_of_code(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b" * 8001), (3, "c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (3, 0), (4, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r["text"] for r in catalog.queries()["formatted_issues"](spark, str(tmp_path)).collect()}
+    assert got == {1: "$ [toxic] toxic", 2: "$ [dangling_label] dangling_label\n$ [string_too_long] string_too_long", 4: "$ [toxic] toxic"}
