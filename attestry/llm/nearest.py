@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +52,10 @@ def directions(dim: int, m: int, seed: int = 7) -> np.ndarray:
 
 
 class KdTree:
-    """A kd-tree of points whose leaves hold at most ``leaf`` of them, for taking points in order of distance."""
+    """A kd-tree of points whose leaves hold at most ``leaf`` of them, for taking points in order of distance. order: the points as they lie in the tree, leaf by leaf; places are places in it."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 128):
-        self.points, self.order = points, np.arange(len(points))
+    def __init__(self, points: np.ndarray, leaf: int = 512):
+        self.order = np.arange(len(points))
         self.nodes: list[tuple] = []  # (lo, hi, left, right, min corner, max corner)
         stack = [(0, len(points), -1, 0)]
         while stack:
@@ -72,6 +72,7 @@ class KdTree:
                     mid = (hi - lo) // 2
                     self.order[lo:hi] = self.order[lo:hi][np.argpartition(own[:, axis], mid)]
                     stack += [(lo, lo + mid, at, 0), (lo + mid, hi, at, 1)]
+        self.points = points[self.order]
         self.boxes = [(n[4], n[5]) for n in self.nodes]
 
     def _outside(self, at: int, query: np.ndarray) -> float:
@@ -79,45 +80,65 @@ class KdTree:
         gap = np.maximum(0, np.maximum(low - query, query - high))
         return float(gap @ gap)
 
-    def increments(self, query: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(squared distances, places) of points in order of distance, so many at a time as no unopened node can come before. Nodes are met as they are reached."""
+    def increments(self, query: np.ndarray, opened: Callable[[int, int], np.ndarray], few: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(squared distances, places, what opened gave for them) of points in order of distance, so many at a time as no unopened node can come before. Nodes are met as they are reached, and leaves opened until a few
+        points are there to be put in order; opened gets the places of a leaf."""
         heap = [(self._outside(0, query), 0)]
-        far, places = np.zeros(0), np.zeros(0, dtype=np.int64)
+        far, places, more = np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0)
         while heap or len(far):
-            bound = heap[0][0] if heap else np.inf
-            n = int(np.searchsorted(far, bound, side="right"))
-            if n:
-                yield far[:n], places[:n]
-                far, places = far[n:], places[n:]
-                continue
-            _, at = heapq.heappop(heap)
-            lo, hi, left, right, _, _ = self.nodes[at]
-            if left >= 0:
-                for child in (left, right):
-                    heapq.heappush(heap, (self._outside(child, query), child))
-                continue
-            own = self.order[lo:hi]
-            diff = self.points[own] - query
-            far, places = np.concatenate([far, np.einsum("ij,ij->i", diff, diff)]), np.concatenate([places, own])
+            fresh, n = [(far, places, more)], 0
+            while heap and n < few:
+                _, at = heapq.heappop(heap)
+                lo, hi, left, right, _, _ = self.nodes[at]
+                if left >= 0:
+                    for child in (left, right):
+                        heapq.heappush(heap, (self._outside(child, query), child))
+                    continue
+                diff = self.points[lo:hi] - query
+                fresh.append((np.einsum("ij,ij->i", diff, diff), np.arange(lo, hi), opened(lo, hi)))
+                n += hi - lo
+            far, places, more = (np.concatenate(x) for x in zip(*fresh, strict=True))
             order = np.argsort(far, kind="stable")
-            far, places = far[order], places[order]
-
-
-def _top(vectors: np.ndarray, ids: list[np.ndarray], tree: KdTree, query: np.ndarray, projected: np.ndarray, own: int, k: int, quantile: float) -> tuple[list[float], list[int]]:
-    """The k nearest that are found, as (distance, id) ascending. Points are verified in order of projected distance until one stands the stopping test."""
-    best: list[tuple[float, int]] = []
-    for far, places in tree.increments(projected):
-        limit = best[k - 1][0] if len(best) >= k else np.inf
-        within = int(np.searchsorted(far, quantile * limit**2, side="right")) if np.isfinite(limit) else len(far)
-        diff = vectors[places[:within]] - query
-        found = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        for place in np.flatnonzero(found <= limit):
-            best += [(float(found[place]), int(i)) for i in ids[places[place]] if i != own]
-        best.sort()
-        del best[k:]
-        if within < len(far):
-            break
-    return [d for d, _ in best], [i for _, i in best]
+            far, places, more = far[order], places[order], more[order]
+            n = int(np.searchsorted(far, heap[0][0] if heap else np.inf, side="right"))
+            if n:
+                yield far[:n], places[:n], more[:n]
+                far, places, more = far[n:], places[n:], more[n:]
+
+
+class Block:
+    """Vectors of one length as points of a tree, with the ids of each."""
+
+    def __init__(self, vectors: np.ndarray, ids: list[np.ndarray], m: int):
+        self.axes = directions(vectors.shape[1], m)
+        self.tree = KdTree(vectors @ self.axes)
+        self.vectors, self.ids = vectors[self.tree.order], [ids[i] for i in self.tree.order]
+        self.squares = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        self.largest = float(self.squares.max())
+
+    def top(self, query: np.ndarray, own: int, k: int, quantile: float) -> tuple[list[float], list[int]]:
+        """The k nearest that are found, as (distance, id) ascending. Points are verified in order of projected distance until one stands the stopping test.
+
+        The product with the query, which a leaf's vectors get at once, says nearly how far a point is; only what may be among the nearest by it is measured.
+        """
+        best: list[tuple[float, int]] = []
+        square = float(query @ query)
+        error = 1e-11 * (self.largest + square)  # far more than rounding makes of it
+        for far, places, about in self.tree.increments(query @ self.axes, lambda lo, hi: self.squares[lo:hi] + square - 2 * (self.vectors[lo:hi] @ query)):
+            limit = best[k - 1][0] if len(best) >= k else np.inf
+            within = int(np.searchsorted(far, quantile * limit**2, side="right")) if np.isfinite(limit) else len(far)
+            about = about[:within]
+            most = min(limit**2, np.partition(about, k)[k] + error if within > k else np.inf)  # one of k + 1 may be the query's own
+            places = places[:within][~(about > most + error)]  # what is too large for a product is not a number, and stays
+            diff = self.vectors[places] - query
+            found = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            for place in np.flatnonzero(found <= limit):
+                best += [(float(found[place]), int(i)) for i in self.ids[places[place]] if i != own]
+            best.sort()
+            del best[k:]
+            if within < len(far):
+                break
+        return [d for d, _ in best], [i for _, i in best]
 
 
 def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, m: int = 10, confidence: float = 0.95, block_rows: int = 20_000, query_rows: int = 10_000) -> DataFrame:
@@ -149,13 +170,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
             ask = [i for i in np.flatnonzero(dims == dim) if query[i] is not None]
             if not own or not ask:
                 continue
-            held = np.stack([flat[starts[i] : starts[i] + dim] for i in own])
-            axes = directions(int(dim), m)
-            tree = KdTree(held @ axes)
-            names = [np.array(ids[i]) for i in own]
+            held = Block(np.stack([flat[starts[i] : starts[i] + dim] for i in own]), [np.array(ids[i]) for i in own], m)
             for i in ask:
-                q = flat[starts[i] : starts[i] + dim]
-                found, who = _top(held, names, tree, q, q @ axes, query[i], k, quantile)
+                found, who = held.top(flat[starts[i] : starts[i] + dim], query[i], k, quantile)
                 for column, values in zip(out, ([query[i]] * len(found), who, found), strict=True):
                     column.extend(values)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])

@@ -475,6 +475,19 @@ def test_chi_square():
     assert abs(nearest.chi_square_quantile(0.95, 8) - 15.5073) < 1e-3 and abs(nearest.chi_square_quantile(0.5, 2) - 1.38629) < 1e-4
 
 
+def test_nearest_of_vectors_without_structure_takes_few_rounds_and_is_exact():
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(6000, 64))
+    block = nearest.Block(vectors, [np.array([i]) for i in range(len(vectors))], 10)
+    query = rng.normal(size=64)
+    got = list(block.tree.increments(query @ block.axes, lambda lo, hi: np.arange(lo, hi)))
+    far, places, opened = (np.concatenate(x) for x in zip(*got, strict=True))
+    assert len(got) <= 7 and (np.diff(far) >= 0).all() and (places == opened).all() and sorted(places.tolist()) == list(range(6000))
+    for own, q in ((-1, query), (17, vectors[17]), (-1, query * 1e170)):
+        exact = sorted((float(d), i) for i, d in enumerate(np.sqrt(np.einsum("ij,ij->i", vectors - q, vectors - q))) if i != own)[:10]
+        assert block.top(q, own, 10, np.inf) == ([d for d, _ in exact], [i for _, i in exact])
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------------------
 
 
