@@ -2,23 +2,25 @@
 
 The pattern never joins characters across a single space or line feed that stands between two non-space characters, but for the
 space that opens a chunk. So a text whose white space is only such separators (line feeds may also come in pairs) is the
-concatenation of its chunks' encodings. Any other text is encoded whole. The cache is bounded and emptied when it is full.
+concatenation of its chunks' encodings. Any other text is encoded whole. The cache is bounded.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 #: White space, in Unicode's sense, other than the space and the line feed.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 def plain(text: str) -> bool:
     """All white space is single separators (or pairs of line feeds) between other characters."""
-    return not ("  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[:1] == " " or text.endswith((" ", "\n\n")) or OTHER_SPACE.search(text))
+    return not ("  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[:1] == " " or text.endswith((" ", "\n\n")) or (any(c in text for c in ASCII_SPACE) if text.isascii() else OTHER_SPACE.search(text)))
 
 
 def split(text: str) -> list[str]:
@@ -30,8 +32,8 @@ def split(text: str) -> list[str]:
 #: Below this, Python, the regex module and the tokenizers library agree on what a letter is.
 LATIN = "\u0250"
 
-#: Ids of words, kept as long as the Python worker lives: tasks that follow in the same worker find them.
-_words: dict[str, dict[str, bytes]] = {}
+#: Ids of chunks, kept as long as the Python worker lives: tasks that follow in the same worker find them.
+_chunks: dict[tuple[str, int], "Chunks"] = {}
 
 
 def words(chunk: str, find) -> list[str]:
@@ -44,6 +46,25 @@ def words(chunk: str, find) -> list[str]:
     return find(chunk)
 
 
+class Chunks(dict):
+    """Chunks, without the space that opens them, and their ids, worked out when they are first asked for. When there are most, they give way to new ones, but those that are asked for meanwhile are taken over and not worked out again."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.before = most, {}
+        self.work: Callable[[str], bytes] = str.encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.before.get(chunk)
+        if found is None:
+            found = self.work(chunk if chunk[:1] == "\n" else " " + chunk)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[chunk] = found
+        return found
+
+
 class Encoder:
     """Texts -> little-endian unsigned 32-bit ids as bytes, by the tokenizers library.
 
@@ -59,27 +80,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
-        self.known = _words.setdefault(path, {})
         self.find = regex.compile(pattern).findall
         self.alphabet = byte_alphabet()
-        self.cache: dict[str, bytes] = {}
-        self.most = most
+        self.cache = _chunks.setdefault((path, most), Chunks(most))
+        self.cache.work = self._chunk
+        self.marks: dict[str, bytes] = {}  # single characters
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            found = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
-            if len(self.known) < self.most:
-                self.known[word] = found
-        return found
+    def _tokens(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if max(chunk) >= LATIN:
+        if not chunk.isascii() and max(chunk) >= LATIN:
             return self._whole(chunk)
-        return b"".join([self._word(w) for w in words(chunk, self.find)])
+        found = words(chunk, self.find)
+        if len(found) == 1:
+            return self._tokens(chunk)
+        # a word behind a space is a chunk of its own elsewhere
+        return b"".join([self.cache[w[1:]] if w[0] == " " and w[1:].isalpha() else self._mark(w) for w in found])
+
+    def _mark(self, word: str) -> bytes:
+        if len(word) > 1:
+            return self._tokens(word)
+        found = self.marks.get(word)
+        if found is None:
+            found = self.marks[word] = self._tokens(word)
+        return found
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -91,18 +119,8 @@ class Encoder:
             if not plain(text):
                 out.append(self._whole(text))
                 continue
-            parts = split(text)
-            try:
-                out.append(b"".join(map(cache.__getitem__, parts)))
-                continue
-            except KeyError:
-                pass
-            if len(cache) > self.most:
-                cache.clear()
-            for part in parts:
-                if part not in cache:
-                    cache[part] = self._chunk(part)
-            out.append(b"".join(map(cache.__getitem__, parts)))
+            first, *rest = text.replace("\n", " \n").split(" ")  # as split() does
+            out.append((self._chunk(first) if first else b"") + b"".join(map(cache.__getitem__, rest)))
         return out
 
 

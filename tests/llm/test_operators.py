@@ -119,6 +119,26 @@ def test_chunk_encoder():
         assert list(np.frombuffer(got, "<u4")) == ids_of(text), repr(text)
 
 
+def test_encoder_works_out_what_is_asked_for_again_only_once():
+    import public_tokenizers
+
+    encoder = chunks.Encoder(queries.tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN, 70)
+    asked, model = Counter(), encoder.model
+
+    class Counting:
+        def tokenize(self, word):
+            asked[word] += 1
+            return model.tokenize(word)
+
+    encoder.model = Counting()
+    name = lambda k: "w" + "".join(chr(97 + int(d)) for d in str(k))
+    often = [name(k) for k in range(30)]
+    encoder(["x " + " ".join(name(1000 + k) for k in range(60))])
+    for round_ in range(10):
+        encoder(["x " + " ".join(often + [name(2000 + 30 * round_ + k) for k in range(30)])])
+    assert [asked[chr(0x120) + w] for w in often] == [1] * 30
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------------------
 
 
