@@ -165,12 +165,12 @@ class Predictor:
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, of each text."""
-        words = [WORDS.findall(t.lower()) if t and self.model.names else [] for t in texts]
-        words = [own if any(c.isalpha() for w in own for c in w) else [] for own in words]
         names, scores, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
-        some = [k for k, own in enumerate(words) if own]
-        for lo in range(0, len(some), 256):
-            part = some[lo : lo + 256]
+        for lo in range(0, len(texts) if self.model.names else 0, 256):  # a part at a time is Python objects
+            words = {k: WORDS.findall(t.lower()) for k, t in enumerate(texts[lo : lo + 256], lo) if t}
+            part = [k for k, own in words.items() if any(c.isalpha() for w in own for c in w)]
+            if not part:
+                continue
             flat = [w for k in part for w in words[k]]
             try:
                 at = list(map(self.place.__getitem__, flat))

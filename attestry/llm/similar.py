@@ -208,7 +208,7 @@ def _candidates(limit: int, every: bool, similarity: float = 0, most_pairs: int
 
         def found(q: _Grouped, inner: bool) -> Iterator[pa.RecordBatch]:
             index, m = held
-            for qu, mu in index.search(q.uniq.astype(np.uint64) << np.uint64(64 - WIDTH), RADIUS, 512):
+            for qu, mu in index.search(q.uniq.astype(np.uint64) << np.uint64(64 - WIDTH), RADIUS, 128):  # a query meets thousands of nodes on its way
                 pending, size = [], 0
                 for x, y, d in (across_labels if every else to_pivots)(q, m, qu, mu, inner):
                     if not len(x):

@@ -119,6 +119,18 @@ def test_chunk_encoder():
         assert list(np.frombuffer(got, "<u4")) == ids_of(text), repr(text)
 
 
+def test_language_holds_the_words_of_a_part_of_a_batch_only():
+    model = language.Model(["a", "b"], np.random.default_rng(0).normal(size=(language.BUCKETS, 2)), np.zeros(2), 1.0, 0.4)
+    texts = [" ".join(f"word{chr(97 + (k + j) % 26)}" for j in range(300)) for k in range(3000)]
+    predictor = language.Predictor(model)
+    some = predictor(texts[:300])
+    tracemalloc.start()
+    whole = predictor(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6 and whole[0][:300] == some[0] and np.array_equal(whole[1][:300], some[1])
+
+
 def test_encoder_works_out_what_is_asked_for_again_only_once():
     import public_tokenizers
 
