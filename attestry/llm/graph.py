@@ -21,12 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.stage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
-        large = common.stage(common.attach(both, least, "u", "n", rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        hung = common.attach(large, small, "u", "n", rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = common.stage(common.attach(both, least, "u", "n", rows, staged=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = common.stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        hung = common.attach(large, small, "u", "n", rows, staged=True).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = common.stage(small.select("u", F.col("m").alias("v")).unionByName(hung).distinct())
         total = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        for done in (least, large, now):
+        for done in (least, large, small, now):
             common.release(done)
         now, rows = after, 2 * total[0]
         if tuple(total) == before or not total[0]:

@@ -60,6 +60,15 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, total[at].astype(np.int64)
 
 
+def packed(buckets: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Buckets in two bytes each, counts in one if all are below 256, else in four."""
+    return buckets.astype("<u2").tobytes(), counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpacked(buckets: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(buckets, "<u2"), np.frombuffer(counts, "u1" if 2 * len(counts) == len(buckets) else "<u4")
+
+
 class Model:
     """Class sums per bucket (embeddings times weights), biases, temperature, threshold and class names."""
 
@@ -79,7 +88,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     rng = np.random.default_rng(seed)
     label = {name: k for k, name in enumerate(names)}
-    data = [(at, (n / n.sum()), label[y]) for at, n, y in rows if len(at)]
+    data = [(at, n, label[y]) for at, n, y in rows if len(at)]  # as narrow as they came: shares are worked out where they are used
     order = rng.permutation(len(data))
     held, used = order[: len(data) // 5], order[len(data) // 5 :]
     embed = rng.uniform(-1, 1, (BUCKETS, dim)) / dim
@@ -87,7 +96,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs:
     steps, done = max(1, epochs * len(used)), 0
     for _ in range(epochs):
         for i in rng.permutation(used):
-            at, share, y = data[i]
+            at, n, y = data[i]
+            share = n / n.sum()
             mean = share @ embed[at]
             z = mean @ weights + bias
             p = np.exp(z - z.max())
@@ -101,7 +111,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], dim: int = 16, epochs:
             done += 1
     model = Model(names, embed @ weights, bias)
     if len(held):
-        means = np.stack([data[i][1] @ model.sums[data[i][0]] for i in held])
+        means = np.stack([data[i][1] / data[i][1].sum() @ model.sums[data[i][0]] for i in held])
         truth = np.array([data[i][2] for i in held])
 
         def loss(scale: float) -> float:
@@ -133,12 +143,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [counted(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a.astype("<i4").tobytes() for a, _ in pairs], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in pairs], pa.binary()), batch.column(1)], ["at", "n", "y"])
+            pairs = [packed(*counted(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([n for _, n in pairs], pa.binary()), batch.column(1)], ["at", "n", "y"])
 
     got = sample.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(common.tidy(count), "at binary, n binary, y string").toArrow()
-    rows = [(np.frombuffer(a, "<i4"), np.frombuffer(n, "<i4"), y) for a, n, y in zip(*(got.column(k).to_pylist() for k in range(3)), strict=True)]
-    return train(sorted(rows, key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes())))
+    rows = sorted(zip(*(got.column(k).to_pylist() for k in (2, 0, 1)), strict=True))  # an order of the rows' own: they come in any
+    del got
+    model = train([(*unpacked(a, n), y) for y, a, n in rows])
+    del rows
+    common.trim()  # the driver goes on without what the sample took
+    return model
 
 
 class Predictor:

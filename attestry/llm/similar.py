@@ -287,7 +287,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     for side in ("a", "b"):
         uses = pairs.groupBy(F.col(side).alias("key")).agg(F.count("*").alias("uses"))
         held.append(common.stage(sets.join(uses, "key").select(F.col("key").alias(side), F.col("hashes").alias(f"{side}_hashes"), "uses")))
-        both = common.attach(both, held[-1], side, "uses", total).drop("uses")
+        both = common.attach(both, held[-1], side, "uses", total, staged=True).drop("uses")
     out = common.stage(both.mapInArrow(common.tidy(run), "a long, b long"))
     for facts in held:
         common.release(facts)
@@ -350,7 +350,7 @@ def groups(docs: DataFrame, row_col: str, text_col: str, words: int = 5, similar
     links = common.stage(_links(docs, row_col, text_col, distinct, words, similarity, per_cell))
     roots = graph.components(links).withColumnRenamed("node", "key")
     facts = distinct.join(roots, "key", "left").select("print", "n", F.coalesce("root", "key").alias("root"))
-    return common.attach(prints, common.stage(facts), "print", "n", total).select(row_col, "root")
+    return common.attach(prints, common.stage(facts), "print", "n", total, staged=True).select(row_col, "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -131,6 +131,34 @@ def test_language_holds_the_words_of_a_part_of_a_batch_only():
     assert peak < 25e6 and whole[0][:300] == some[0] and np.array_equal(whole[1][:300], some[1])
 
 
+def test_language_trains_on_packed_counts_as_they_come():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(language.BUCKETS, 1000, replace=False)), rng.integers(1, 300 if k % 9 == 0 else 9, 1000), "ab"[k % 2]) for k in range(600)]
+    packed = [language.packed(at, n) for at, n, _ in rows]
+    assert sum(len(a) + len(n) for a, n in packed) < 3.4 * 1000 * len(rows)  # 8 bytes a bucket before
+    narrow = [(*language.unpacked(*p), y) for p, (_, _, y) in zip(packed, rows, strict=True)]
+    assert all(np.array_equal(x, y) for one, two in zip(narrow, rows, strict=True) for x, y in zip(one[:2], two[:2], strict=True))
+    assert [len(x) for x in language.unpacked(*language.packed(*language.counted(None)))] == [0, 0]
+    want = language.train(rows, epochs=1)
+    tracemalloc.start()
+    model = language.train(narrow, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 9e6 and np.array_equal(model.sums, want.sums) and (model.scale, model.threshold) == (want.scale, want.threshold)
+
+
+def test_attach_plans_no_broadcast_of_heavy_keys_where_there_are_none(spark):
+    rows = spark.range(5000).select((F.col("id") % 7).alias("k"), "id")
+    rows = rows.unionByName(spark.range(3000).select(F.lit(9).cast("long").alias("k"), "id"))
+    facts = common.stage(rows.groupBy("k").agg(F.count("*").alias("n")))
+    plain = common.attach(rows.where("k < 9"), facts.where("k < 5"), "k", "n", 8000, staged=True)
+    heavy = common.attach(rows, facts, "k", "n", 8000, staged=True)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(plain).count("Join") == 1 and plan(heavy).count("Join") > 1
+    for df, own, known in ((plain, rows.where("k < 9"), "k < 5"), (heavy, rows, "true")):
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, own.join(facts.where(known), "k", "left").collect()), key=str)
+
+
 def test_encoder_works_out_what_is_asked_for_again_only_once():
     import public_tokenizers
 
