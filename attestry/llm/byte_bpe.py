@@ -7,8 +7,12 @@
    addressed by a hash of the piece, so a look-up does not scan the vocabulary.
 3. The texts of the block get the ids of their words by their places.
 
-All of this is narrow: a partition is encoded where it is read, nothing is shuffled, broadcast or written, and a lost task is run again. A word that
-is in several blocks is folded in each. The fold takes time in the square of a word's length, so a word of over ``longest`` bytes (which prose does not
+Words that many texts share would be folded in every block. So those that occur more than once in a bounded sample of the texts (about ``sample_rows`` of
+them; the ``dictionary`` commonest at most) are folded first, by the same fold, and broadcast with their ids; a block holds the other words only. The
+sample decides what is folded where, never a result.
+
+The rest is narrow: a partition is encoded where it is read, nothing else is shuffled or written, and a lost task is run again. A word that
+is in no sample and in several blocks is folded in each. The fold takes time in the square of a word's length, so a word of over ``longest`` bytes (which prose does not
 have) is folded by the same rule with a heap, in n log n, in Python.
 
 Bytes are carried as Latin-1 strings on the JVM side, one character a byte.
@@ -24,6 +28,7 @@ import base64
 import heapq
 import json
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -110,8 +115,9 @@ def fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Block:
     """Distinct words in order of first sight, and the places of the words of each text."""
 
-    def __init__(self, find, longest: int):
+    def __init__(self, find, longest: int, common_words: dict[str, int] | None = None):
         self.find, self.longest = find, longest
+        self.common = common_words or {}  # the first places are those of the dictionary
         self.words: dict[str, int] = {}
         self.long: dict[str, int] = {}  # numbered -1, -2, ...
         self.known: dict[str, bytes] = {}  # places of the words of a chunk
@@ -120,11 +126,13 @@ class _Block:
         self.size = 0
 
     def _place(self, word: str) -> int:
-        place = self.words.get(word)
+        place = self.common.get(word)
+        if place is None:
+            place = self.words.get(word)
         if place is None:
             if len(word) * 4 > self.longest and len(word.encode()) > self.longest:
                 return self.long.setdefault(word, -1 - len(self.long))
-            self.words[word] = place = len(self.words)
+            self.words[word] = place = len(self.common) + len(self.words)
         return place
 
     def _chunk(self, chunk: str) -> bytes:
@@ -169,7 +177,7 @@ def _ids_of(rows: pa.Array, sizes: np.ndarray, places: np.ndarray, lists: list[p
         starts.append(own[:-1] - own[0] + shift)
         shift += int(own[-1] - own[0])
     begin, length = np.concatenate(starts), np.concatenate([np.diff(own) for own in offsets])
-    short = len(offsets[0]) - 1
+    short = sum(len(own) - 1 for own in offsets[:-1])
     places = np.where(places < 0, short - 1 - places, places)
     edges = np.concatenate([[0], np.cumsum(sizes)])
     cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(edges // most)) + 1, [len(sizes)]]))
@@ -181,23 +189,60 @@ def _ids_of(rows: pa.Array, sizes: np.ndarray, places: np.ndarray, lists: list[p
         yield rows.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(stop[edges[lo : hi + 1] - edges[lo]].astype(np.int32)), pa.array(ids))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 1024, block_words: int = 1 << 18, block_places: int = 1 << 22) -> DataFrame:
-    """id and ids (array<int>) of every row."""
+def _dictionary(texts: DataFrame, ranks: dict[bytes, int], pattern: str, longest: int, most: int, sample_rows: int) -> tuple[dict[str, int], pa.ListArray]:
+    """The numbers of the words that occur more than once in a sample of the texts, and the ids of each: the most common ones, at most so many."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find, found = regex.compile(pattern).findall, Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for chunk in [] if not text else chunks.split(text) if chunks.plain(text) else [text]:
+                    found.update(chunks.words(chunk, find) if max(chunk) < chunks.LATIN else find(chunk))
+                if len(found) > most:
+                    yield told(found)
+                    found.clear()
+        yield told(found)
+
+    def told(found: Counter) -> pa.RecordBatch:
+        own = {w.encode().decode("latin-1"): n for w, n in found.items() if len(w) * 4 <= longest or len(w.encode()) <= longest}
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], ["word", "n"])
+
+    rows = texts.count() if most else 0
+    if not rows:
+        return {}, pa.array([], pa.list_(pa.int32()))
+    sample = texts.sample(min(1.0, sample_rows / rows), 7) if rows > sample_rows else texts
+    counted = sample.mapInArrow(common.tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    chosen = counted.orderBy(F.desc("n"), "word").limit(most).select("word")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folded = chosen.repartition(parts).select("word", let(literal_ranks(ranks), lambda table: fold(F.col("word"), table)).alias("ids")).toArrow().combine_chunks()
+    words = [w.encode("latin-1").decode() for w in folded.column(0).to_pylist()]
+    lists = folded.column(1).combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    return {w: k for k, w in enumerate(words)}, lists.cast(pa.list_(pa.int32()))
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", longest: int = 1024, block_words: int = 1 << 18, block_places: int = 1 << 22, dictionary: int = 1 << 19, sample_rows: int = 1 << 14) -> DataFrame:
+    """id and ids (array<int>) of every row. dictionary: the most words that are folded beforehand; 0 for none."""
     kind = docs.schema[id_col].dataType.simpleString()
+    words, lists = _dictionary(docs.select(text_col), ranks, pattern, longest, dictionary, sample_rows)
+    numbers = docs.sparkSession.sparkContext.broadcast(words)
+    known = docs.sparkSession.sparkContext.broadcast(lists)
     held = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary, for very long words
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        block, id_kind = _Block(find, longest), None
+        block, id_kind = _Block(find, longest, numbers.value), None
         for batch in batches:
             id_kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 256):  # a part at a time is Python objects
                 for row, text in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist(), strict=True):
                     if block.rows and (len(block.words) >= block_words or block.size + len(text or "") // 4 >= block_places):
                         yield block.batch(held.value, id_kind)
-                        block = _Block(find, longest)
+                        block = _Block(find, longest, numbers.value)
                     block.add(row, text)
         if block.rows:
             yield block.batch(held.value, id_kind)
@@ -207,7 +252,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             for k in range(batch.num_rows):
                 rows, sizes, places, words, long_ids = (batch.column(c)[k] for c in range(5))
                 own = np.frombuffer(places.as_py(), dtype="<i4")
-                for part, ids in _ids_of(rows.values, sizes.values.to_numpy(), own, [words.values, long_ids.values], 1 << 18):
+                for part, ids in _ids_of(rows.values, sizes.values.to_numpy(), own, [known.value, words.values, long_ids.values], 1 << 18):
                     yield pa.RecordBatch.from_arrays([part, ids], [id_col, "ids"])
 
     blocks = docs.select(id_col, text_col).mapInArrow(common.tidy(cut), f"rows array<{kind}>, sizes array<int>, places binary, words array<string>, long_ids array<array<int>>")

@@ -437,6 +437,28 @@ def bpe():
     return ranks, public_tokenizers.PATTERN, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_byte_bpe_folds_shared_words_once(spark, bpe):
+    import regex
+
+    ranks, pattern, own = bpe
+    common.ship(spark)
+    rows = [(k, f"the thing élan日本 {prose(k, 60)} only{chr(97 + k % 26)}{chr(97 + k // 26)}x " + "z" * 1100) for k in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    numbers, lists = byte_bpe._dictionary(df.select("text"), ranks, pattern, 1024, 1 << 19, 100)
+    assert " thing" in numbers and " onlyaax" not in numbers and " " + "z" * 1100 not in numbers
+    assert [lists[k].as_py() for k in numbers.values()] == [own._encode_single_piece(w.encode()) for w in numbers]
+    block = byte_bpe._Block(regex.compile(pattern).findall, 1024, numbers)
+    for row, text in rows:
+        block.add(row, text)
+    often = Counter(w for _, t in rows for w in regex.findall(pattern, t or ""))
+    assert set(block.words) == {w for w, n in often.items() if n == 1}  # only these are folded again, in each block
+    few = byte_bpe._dictionary(df.select("text"), ranks, pattern, 1024, 5, 20)[0]
+    assert len(few) == 5 and byte_bpe._dictionary(df.select("text"), ranks, pattern, 1024, 0, 20)[0] == {}
+    want = {i: own.encode_ordinary(t or "") for i, t in rows}
+    for options in ({}, {"dictionary": 5, "block_words": 10}, {"dictionary": 0}, {"sample_rows": 5}):
+        assert {r.doc_id: list(r.ids) for r in byte_bpe.encode(df, ranks, pattern, **options).collect()} == want
+
+
 def test_byte_bpe(spark, docs, texts, bpe, empty):
     ranks, pattern, own = bpe
     odd = [(200, "漢字かな 😀😀 naïve\u00a0\u2003x  \n\n\n y\t<|endoftext|>"), (201, "a" * 3000), (202, "\x00\x01 \x1c"), (203, " ")]
