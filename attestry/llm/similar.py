@@ -151,11 +151,16 @@ class _Grouped:
 
 def _chosen(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of pairs, those of the smallest and of the nearest partner of every key, which comes first."""
-    a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+    return _best(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d]))
+
+
+def _best(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each a, the pair with the smallest b and that of the smallest d."""
     kept = []
     for order in (np.lexsort((b, a)), np.lexsort((b, d, a))):
         kept.append(order[np.flatnonzero(np.diff(a[order], prepend=a[order[:1]] - 1))])
-    at = np.unique(np.concatenate(kept))
+    smallest, nearest = kept
+    at = np.concatenate([smallest, nearest[b[nearest] != b[smallest]]])  # both have one place for each a, in the order of a
     return a[at], b[at], d[at]
 
 
@@ -163,11 +168,12 @@ def _candidates(limit: int, every: bool, similarity: float = 0, most_pairs: int
     """Rows (cell, role, value, key, label, print) sorted by cell and role, members (role 0) first -> candidates a, b of d differing bits.
 
     every: all those of different labels, and with a similarity only those whose sets may be so similar, prints being followed by sizes and bitmaps; groups of one value and label are left out whole. Otherwise of each fingerprint, as a, the smallest and the
-    nearest b; where many have one value they meet only pivots, so a group of near copies costs in proportion to its size, but each that has a candidate gets one.
+    nearest b of the whole cell, two rows at most; where many have one value they meet only pivots, so a group of near copies costs in proportion to its size, but each that has a candidate gets one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, parts, held = None, [], None
+        pending, size, room = [], 0, 4 * most_pairs  # what is chosen in the cell so far
 
         def near(q: _Grouped, m: _Grouped, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             d = np.bitwise_count(q.prints[x] ^ m.prints[y]).sum(axis=1).astype(np.int64)
@@ -207,9 +213,9 @@ def _candidates(limit: int, every: bool, similarity: float = 0, most_pairs: int
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "d"])
 
         def found(q: _Grouped, inner: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal size, room
             index, m = held
             for qu, mu in index.search(q.uniq.astype(np.uint64) << np.uint64(64 - WIDTH), RADIUS, 128):  # a query meets thousands of nodes on its way
-                pending, size = [], 0
                 for x, y, d in (across_labels if every else to_pivots)(q, m, qu, mu, inner):
                     if not len(x):
                         continue
@@ -218,14 +224,17 @@ def _candidates(limit: int, every: bool, similarity: float = 0, most_pairs: int
                         continue
                     pending.append(_chosen(q.keys[x], m.keys[y], d))
                     size += len(pending[-1][0])
-                    if size > 4 * most_pairs:
-                        pending = [_chosen(*(np.concatenate(c) for c in zip(*pending, strict=True)))]
+                    if size > room:
+                        pending[:] = [_best(*(np.concatenate(c) for c in zip(*pending, strict=True)))]
                         size = len(pending[0][0])
-                        if size > 2 * most_pairs:
-                            yield batch_of(pending[0])
-                            pending, size = [], 0
-                if pending:
-                    yield batch_of(_chosen(*(np.concatenate(c) for c in zip(*pending, strict=True))))
+                        room = max(4 * most_pairs, 2 * size)
+
+        def chosen() -> Iterator[pa.RecordBatch]:
+            nonlocal size, room
+            if pending:
+                yield batch_of(_best(*(np.concatenate(c) for c in zip(*pending, strict=True))))
+            pending.clear()
+            size, room = 0, 4 * most_pairs
 
         def build() -> Iterator[pa.RecordBatch]:
             nonlocal parts, held
@@ -247,6 +256,7 @@ def _candidates(limit: int, every: bool, similarity: float = 0, most_pairs: int
                 if cells[own[0]] != cell:
                     if held is None and parts:
                         yield from build()
+                    yield from chosen()
                     cell, held, parts = cells[own[0]], None, []
                 if roles[own[0]] == 0:
                     parts.append([c[own] for c in columns])
@@ -256,6 +266,7 @@ def _candidates(limit: int, every: bool, similarity: float = 0, most_pairs: int
                     yield from found(_Grouped(*(c[own] for c in columns)), False)
         if held is None and parts:
             yield from build()
+        yield from chosen()
 
     return run
 
@@ -302,7 +313,9 @@ def _links(docs: DataFrame, row_col: str, text_col: str, distinct: DataFrame, wo
             found = [np.unique(simhash.shingle_hashes(t.as_py(), words)) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in found], pa.binary()), pa.array([size_and_bitmap(h).tobytes() for h in found], pa.binary())], ["key", "hashes", "bound"])
 
-    first = _searched(distinct.withColumn("label", F.col("key")), similarity, False, per_cell)
+    found = _searched(distinct.withColumn("label", F.col("key")), similarity, False, per_cell)
+    first = common.stage(found.distinct())  # several slices find the same
+    common.release(found)
     keys = common.stage(first.select(F.col("a").alias("key")).distinct())
     sets = common.stage(docs.join(keys, docs[row_col] == keys["key"], "left_semi").select(row_col, text_col).mapInArrow(common.tidy(run), "key long, hashes binary, bound binary"))
     labels, tried, links = keys.withColumn("label", F.col("key")), None, None
@@ -324,8 +337,10 @@ def _links(docs: DataFrame, row_col: str, text_col: str, distinct: DataFrame, wo
         labels = common.stage(keys.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("label")))
 
     for _ in range(rounds):
-        sides = first.join(labels.toDF("a", "a_label"), "a").join(labels.toDF("b", "b_label"), "b").where("a_label <> b_label")
-        if tried is not None:
+        if tried is None:  # each is a group of its own: nothing is to be looked up
+            sides = first.select("a", "b", "d", F.col("a").alias("a_label"), F.col("b").alias("b_label"))
+        else:
+            sides = first.join(labels.toDF("a", "a_label"), "a").join(labels.toDF("b", "b_label"), "b").where("a_label <> b_label")
             sides = sides.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).join(tried.toDF("low", "high"), ["low", "high"], "left_anti")
         best = sides.groupBy("a_label").agg(F.min(F.struct("b_label", "d", "a", "b")).alias("small"), F.min(F.struct("d", "b_label", "a", "b")).alias("near"))
         if not compare(best.select(F.explode(F.array(*[F.struct(f"{c}.a", f"{c}.b") for c in ("small", "near")])).alias("p")).select("p.a", "p.b")):

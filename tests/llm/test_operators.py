@@ -336,6 +336,40 @@ def test_similar_with_many_of_one_slice_value():
         assert {(min(p), max(p)) for p in got} == {(k, k + 1) for k in range(0, 60, 2)}
 
 
+def test_candidates_of_near_copies_grow_with_their_number():
+    """However many slice values near copies have, and however often each is met, it is with its smallest and its nearest once a cell."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in (1000, 4000):
+        bits = np.zeros((n, 512), dtype=np.uint8)
+        bits[np.arange(n)[:, None], rng.integers(0, 504, (n, 12))] = 1
+        values = (1 << rng.integers(0, 24, (n, 2))).sum(axis=1) * rng.integers(0, 2, n)
+        got, _ = candidates(values, np.arange(n), np.packbits(bits, axis=1).view(np.uint64), False)
+        often = Counter(a for a, _ in got)
+        assert set(often) == set(range(n)) and max(often.values()) <= 2 and len(got) == len(set(got))
+        rows.append(len(got))
+    assert rows[1] <= 4.5 * rows[0]
+
+
+def test_similar_looks_up_each_candidate_once(spark, monkeypatch):
+    """Near copies are candidates in most of the 21 slices; only rows that differ go on, and no more than two of each document are compared at first."""
+    base = prose(9, 400).split(" ")
+    rows = [(k, " ".join([*base[:k], "changed", *base[k + 1 :]])) for k in range(0, 400, 4)]
+    sizes, confirmed = [], similar._confirmed
+
+    def watched(pairs, sets, similarity):
+        sizes.append(pairs.count())
+        return confirmed(pairs, sets, similarity)
+
+    released, release = [], common.release
+    monkeypatch.setattr(similar, "_confirmed", watched)
+    monkeypatch.setattr(common, "release", lambda df: (df.columns == ["a", "b", "d"] and released.append((df.count(), df.distinct().count()))) or release(df))
+    got = similar.groups(spark.createDataFrame(rows, "_row long, text string"), "_row", "text").collect()
+    assert {r.root for r in got} == {0} and sizes[0] <= 2 * len(rows)
+    (found, distinct), = released
+    assert distinct < found <= 21 * 2 * len(rows)
+
+
 def test_sizes_and_bitmaps_rule_out_no_similar_pair():
     rng = np.random.default_rng(5)
     for n in (0, 1, 5, 40, 150, 900, 6000):
