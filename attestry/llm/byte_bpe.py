@@ -120,7 +120,8 @@ class _Block:
         self.common = common_words or {}  # the first places are those of the dictionary
         self.words: dict[str, int] = {}
         self.long: dict[str, int] = {}  # numbered -1, -2, ...
-        self.known: dict[str, bytes] = {}  # places of the words of a chunk
+        self.known = chunks.Chunks(80_000)  # places of the words of a chunk
+        self.known.work = self._chunk
         self.rows: list = []
         self.places: list[bytes] = []
         self.size = 0
@@ -136,30 +137,32 @@ class _Block:
         return place
 
     def _chunk(self, chunk: str) -> bytes:
-        found = chunks.words(chunk, self.find) if max(chunk) < chunks.LATIN else self.find(chunk)
+        body = chunk[1:]
+        if chunk[0] == " " and (body.isascii() or body and max(body) < chunks.LATIN):
+            if body.isalpha():
+                return self._place(chunk).to_bytes(4, "little", signed=True)
+            if body[-1:] in chunks.MARKS and body[:-1].isalpha():  # a word behind a space is a chunk of its own elsewhere
+                return self.known[body[:-1]] + self._place(body[-1]).to_bytes(4, "little", signed=True)
+            found = self.find(chunk)
+        else:
+            found = chunks.words(chunk, self.find) if max(chunk) < chunks.LATIN else self.find(chunk)
         return array("i", [self._place(w) for w in found]).tobytes()
 
     def add(self, row, text: str | None) -> None:
-        known = self.known
-        own = [] if not text else chunks.split(text) if chunks.plain(text) else [text]
-        if len(own) == 1:
-            placed = self._chunk(own[0])
+        if not text:
+            placed = b""
+        elif chunks.plain(text):
+            first, *rest = text.replace("\n", " \n").split(" ")  # as chunks.split() does
+            placed = (self._chunk(first) if first else b"") + b"".join(map(self.known.__getitem__, rest))
         else:
-            try:
-                placed = b"".join(map(known.__getitem__, own))
-            except KeyError:
-                if len(known) > 150_000:
-                    known.clear()
-                for chunk in own:
-                    if chunk not in known:
-                        known[chunk] = self._chunk(chunk)
-                placed = b"".join(map(known.__getitem__, own))
+            placed = self._chunk(text)
         self.rows.append(row)
         self.places.append(placed)
         self.size += len(placed) // 4
 
     def batch(self, ranks: dict[bytes, int], kind: pa.DataType) -> pa.RecordBatch:
         one = lambda values, kind: pa.array([values], pa.list_(kind))
+        self.known = None  # it holds a method of this block, so both would stay
         sizes = [len(p) // 4 for p in self.places]
         words = [w.encode().decode("latin-1") for w in self.words]
         long_ids = [fold_long(w.encode(), ranks) for w in self.long]

@@ -32,6 +32,9 @@ def split(text: str) -> list[str]:
 #: Below this, Python, the regex module and the tokenizers library agree on what a letter is.
 LATIN = "\u0250"
 
+#: What ends a word and is a match of its own.
+MARKS = (",", ".", "!", "?", ";", ":")
+
 #: Ids of chunks, kept as long as the Python worker lives: tasks that follow in the same worker find them.
 _chunks: dict[tuple[str, int], "Chunks"] = {}
 
@@ -41,7 +44,7 @@ def words(chunk: str, find) -> list[str]:
     body = chunk[1:]
     if body.isalpha():
         return ["\n", body] if chunk[0] == "\n" else [chunk] if chunk[0] == " " or chunk[0].isalpha() else find(chunk)
-    if chunk[0] == " " and body[-1:] in (",", ".", "!", "?", ";", ":") and body[:-1].isalpha():
+    if chunk[0] == " " and body[-1:] in MARKS and body[:-1].isalpha():
         return [chunk[:-1], body[-1]]
     return find(chunk)
 

@@ -493,6 +493,23 @@ def test_byte_bpe_folds_shared_words_once(spark, bpe):
         assert {r.doc_id: list(r.ids) for r in byte_bpe.encode(df, ranks, pattern, **options).collect()} == want
 
 
+def test_byte_bpe_takes_chunks_over_that_are_asked_for_again(bpe):
+    import regex
+
+    ranks, pattern, own = bpe
+    block, worked = byte_bpe._Block(regex.compile(pattern).findall, 1024, {" often": 0}), Counter()
+    block.known.most, work = 40, block.known.work
+    block.known.work = lambda chunk: worked.update([chunk]) or work(chunk)
+    texts = [f"Often often again, x{k}y élan{chr(97 + k % 26)}{chr(97 + k // 26)}! 日本{k} don't\nafter, now {k}." for k in range(300)]
+    for k, text in enumerate([*texts, "", None, " odd  text", "\n", "often"]):
+        block.add(k, text)
+    assert {worked[w] for w in (" often", " again,", " again", " don't", "\nafter,", " now")} == {1} and len(worked) > 900
+    words = {0: " often"} | {k: w for w, k in block.words.items()}
+    got = [[words[k] for k in np.frombuffer(p, dtype="<i4").tolist()] for p in block.places]
+    assert got == [regex.findall(pattern, t or "") for t in [*texts, "", None, " odd  text", "\n", "often"]]
+    assert block.batch(ranks, pa.int64()).num_rows == 1 and block.known is None
+
+
 def test_byte_bpe(spark, docs, texts, bpe, empty):
     ranks, pattern, own = bpe
     odd = [(200, "漢字かな 😀😀 naïve\u00a0\u2003x  \n\n\n y\t<|endoftext|>"), (201, "a" * 3000), (202, "\x00\x01 \x1c"), (203, " ")]
