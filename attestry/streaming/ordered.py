@@ -2,7 +2,8 @@
 
 Events of a key wait in a list until the watermark has passed them: then none that belongs before them can still come. They are taken in the order of their time (ties by the rest of
 the event), so what is found depends on the events alone and not on how the input is cut. Times are looked at in whole seconds of the watermark; an event of 10:00:00.2 is taken when
-the watermark has reached 10:00:01.
+the watermark has reached 10:00:01. A key has one timer for what came in a batch, at its first event, and when a timer has gone off one for the first event that still waits: each event that waits has a timer at or before
+its time, and every timer takes all that is due.
 
 A rule keeps a small state for each key. It may have a deadline: if no event comes before it, the rule says so when the watermark passes it. State with a deadline at which the rule
 forgets it is bounded by the keys that are active, and the list by the events of the lateness that is allowed.
@@ -85,8 +86,7 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         events = [(row["time"], *(row[name] for name in self.names)) for row in rows]
-        for at in {up(event[0]) for event in events}:
-            self.handle.registerTimer(at)
+        self.handle.registerTimer(min(up(event[0]) for event in events))
         self.waiting.appendList(events)
         return iter(())
 
@@ -99,6 +99,10 @@ class InOrder(StatefulProcessor):
         if due:
             rest = [row for row in waiting if up(row[0]) > now]
             self.waiting.put(rest) if rest else self.waiting.clear()
+        else:
+            rest = waiting
+        if rest:
+            self.handle.registerTimer(min(up(row[0]) for row in rest))
         if after is None:
             self.state.clear()
         elif after != state:
